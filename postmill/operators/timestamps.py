@@ -51,7 +51,7 @@ UNIT = {
 }
 UNITS = {w: u for u, words in UNIT.items() for w in words.split()}
 
-_LEAD = re.compile(r"^(?:posted|publicerad|veröffentlicht|publié|publicado|publiceret|opslået)?\s*(?:on|den|am|le|el)?\s+", re.I)
+_LEAD = re.compile(r"^(?:(?:posted|publicerad|veröffentlicht|publié|publicado|publiceret|opslået)\s+)?(?:(?:on|den|am|le|el)\s+)?", re.I)
 _AGO = re.compile(r"^(?:vor|il y a|för|for|hace)?\s*(\d+|an?|one)\s*([^\W\d]+)\.?\s*(?:ago|sedan|siden)?$", re.I)
 _CLOCK = r"(\d{1,2})[:.h](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)?\s*([ap]\.?m\.?)?"
 _ISO = re.compile(r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T\s]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*(.*))?$", re.I)
@@ -161,7 +161,7 @@ def readings(value: str | None, fetched_at: str | None, board_zone: str | None,
         n = int(v)
         s, ms = (n, 0) if len(v) <= 10 else divmod(n, 1000)
         return [_instant("epoch", EPOCH + timedelta(seconds=s), ms)]
-    v = _LEAD.sub("", " " + v).strip() if not v[0].isdigit() else v
+    v = _LEAD.sub("", v)
     low = v.lower()
     if low in TODAY or low in YESTERDAY or (ago := _AGO.match(low)):
         tz = zone(board_zone)
