@@ -68,11 +68,11 @@ _END = ".,;:!?"
 # One of these stands in every text that the patterns above can match.
 HINTS = ("{", "<", "[", "@@", "##", "__", "$", "#", "●", "■", "□", ".....", "………", "???", "%(", "(insert", "(enter", "(your", "(fill", "(add", "(to be",
          "null", "NULL", "undefined", "None", "NaN", "N/A", "n/a", "TBD", "TBC", "TODO", "FIXME", "XXX", "xxx")
-ERROR_HINTS = ("found", "404", "http ", "error ", "fel ", "fehler ", "erreur ", "fejl ", "finns inte", "findes ikke", "introuvable", "no encontramos", "not exist",
+ERROR_HINTS = ("found", "404", "http ", "error ", "fel ", "fehler ", "erreur ", "fejl ", "gefunden", "finns inte", "findes ikke", "introuvable", "no encontramos", "not exist",
                "denied", "forbidden", "nekad", "nægtet", "refusé", "denegado", "verweigert", "expired", "gått ut", "udløbet", "expiré", "caducado", "abgelaufen",
                "unavailable", "tillfälligt", "øjeblikket", "indisponible", "disponible", "erreichbar", "wrong", "javascript", "script", "skript", "robot", "human",
                "browser", "captcha", "loading")
-FILLER_HINTS = ("text", "content", "copy", "goes here", "completed by", "hier ", "wird ", "här kommer", "fylls i", "her kommer", "udfyldes", "texte", "contenu",
+FILLER_HINTS = ("text", "tekst", "content", "copy", "goes here", "completed by", "hier ", "wird ", "här kommer", "fylls i", "her kommer", "udfyldes", "texte", "contenu",
                 "ici viendra", "compléter", "texto", "contenido", "aquí irá", "pendiente", "asdf", "qwer", "bla", "test", "xxx", "foo", "lorem", "ipsum", "dolor")
 _PERCENT = re.compile(r"%[A-Z]")
 _MAYBE = re.compile(r"[.!?]\s*$|[{}@#$_●■□…?%]|\b(?:null|NULL|undefined|None|NaN|N/A|n/a|TB[DC]|TODO|FIXME|XXX|xxx)")
@@ -209,8 +209,8 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
                 if not (short or filler or error):
                     continue
                 for s in templates(t):
-                    wrong = error and any(h in s for h in ERROR_HINTS) and bool(ERROR.search(s))
-                    if filler and any(h in s for h in FILLER_HINTS) and (FILLER.search(s) or latin(s)):
+                    wrong = (short or any(h in s for h in ERROR_HINTS)) and bool(ERROR.search(s))
+                    if (short or any(h in s for h in FILLER_HINTS)) and (FILLER.search(s) or latin(s)):
                         out.append((k, "filler", 0, 0, True, short))
                     elif short or wrong:
                         out.append((k, "page", _key("s", s), 0, wrong, short and " " in s))
