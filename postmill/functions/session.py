@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spill(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table to the shared checkpoint folder and read it back.
+
+    Smaller than checkpoint() for wide rows, and later reads take only the columns they need.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{root}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
