@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -229,12 +229,14 @@ def furniture(reader: Reader, texts: list[str], titles: list[str | None]) -> lis
 PAGES_AT_ONCE = 256
 
 
-def page_lines(df: DataFrame, *, key: str = "dedupe_key", text: str = "description_text", title: str = "title", threshold: float = 0.5) -> DataFrame:
+def page_lines(df: DataFrame, *, key: str = "dedupe_key", text: str = "description_text", title: str = "title", also: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
     """Each page with the numbers of its furniture lines and its body lines: (key, title, furniture, body, body_no).
 
     ``furniture`` and ``body_no`` are array<int>, ``body`` array<string> with the lines as they
     stand. Lines are split at \\n and counted from 1; blank lines belong to neither.
 
+    ``also`` names further columns to keep.
+
     * Null, empty and blank texts give empty arrays. A null title is no title.
     * Texts of any length are read whole. Repeated rows come out as often as they went in; a null
       key is kept. Columns not named are left out, so none can clash. Ties at the threshold are
@@ -242,8 +244,9 @@ def page_lines(df: DataFrame, *, key: str = "dedupe_key", text: str = "descripti
 
     Every page is read on its own: no shuffle, nothing sent to the driver.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(title).alias("name"), F.col(text).alias("t"))
+    rows = df.select(F.col(key).alias("k"), F.col(title).alias("name"), F.col(text).alias("t"), *[F.col(c).alias(f"also_{i}") for i, c in enumerate(also)])
     kind = df.schema[key].dataType.simpleString()
+    more = [(f"also_{i}", df.schema[c].dataType.simpleString()) for i, c in enumerate(also)]
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = load()
@@ -259,10 +262,10 @@ def page_lines(df: DataFrame, *, key: str = "dedupe_key", text: str = "descripti
                 for t, ns in zip(texts, on):
                     split = t.split("\n")
                     bodies.append([split[i - 1] for i in ns])
-                yield pd.DataFrame({"k": part["k"], "name": part["name"], "furniture": off, "body": bodies, "body_no": on})
+                yield pd.DataFrame({"k": part["k"], "name": part["name"], "furniture": off, "body": bodies, "body_no": on, **{c: part[c] for c, _ in more}})
 
-    out = rows.mapInPandas(read, f"k {kind}, name string, furniture array<int>, body array<string>, body_no array<int>")
-    return out.select(F.col("k").alias(key), F.col("name").alias("title"), "furniture", "body", "body_no")
+    out = rows.mapInPandas(read, f"k {kind}, name string, furniture array<int>, body array<string>, body_no array<int>" + "".join(f", {c} {t}" for c, t in more))
+    return out.select(F.col("k").alias(key), F.col("name").alias("title"), "furniture", "body", "body_no", *[F.col(f"also_{i}").alias(c) for i, c in enumerate(also)])
 
 
 def in_scope(pages: DataFrame, excluded: DataFrame, *, key: str = "dedupe_key", text: str = "description_text") -> DataFrame:

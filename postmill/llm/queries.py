@@ -4,14 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions.session import table
+from postmill.functions.session import spill, table
+from postmill.llm.langid import languages
+from postmill.llm.neardup import expanded, near_duplicates
+from postmill.llm.pages import page_lines
 from postmill.llm.places import map_places
 from postmill.llm.residue import find_residue
 
 
+def with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "jobs").where(F.col("description_text").isNotNull() & (F.col("description_text") != ""))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = page_lines(with_text(spark, sf_dir)).select("dedupe_key", "furniture")
+    kept = lines.join(p6_found(spark, sf_dir), "dedupe_key", "left_anti")
+    return kept.select("dedupe_key", F.explode("furniture").alias("line_no"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = with_text(spark, sf_dir)
+    found = languages(page_lines(jobs, also=("lang_label",))).join(p6_found(spark, sf_dir), "dedupe_key", "left_anti")
+    wrong = F.col("lang").isNotNull() & ~F.col("declared").eqNullSafe(F.col("lang"))
+    title = F.col("lang").isNotNull() & F.col("title_lang").isNotNull() & (F.col("title_lang") != F.col("lang"))
+
+    def case(part: str, no: Column, lang: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), no.cast("int").alias("line_no"), lang.alias("lang"))
+
+    main = F.col("lang")
+    lines = F.transform(
+        F.filter("segments", lambda s: (s["pieces"] >= 4) & (s["lang"] != main)), lambda s: case("line", s["line_no"], s["lang"])
+    )
+    cases = F.concat(
+        F.array_compact(F.array(F.when(wrong, case("record", F.lit(0), main)), F.when(title, case("title", F.lit(0), F.col("title_lang"))))), lines
+    )
+    return found.select("dedupe_key", F.explode(cases).alias("c")).select("dedupe_key", "c.part", "c.line_no", "c.lang")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_lines(with_text(spark, sf_dir)).select("dedupe_key", F.concat_ws(" ", "title", F.array_join("body", " ")).alias("text"))
+    members, links = near_duplicates(pages, key="dedupe_key", width=3, threshold=0.6)
+    kept = members.join(p6_found(spark, sf_dir), "dedupe_key", "left_anti")
+    return expanded(kept, links, key="dedupe_key")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "jobs").select(F.lit("jobs").alias("tbl"), F.col("dedupe_key").alias("rec_key"), F.col("location").alias("value"))
     path = table(spark, sf_dir, "path_feed").select(
@@ -26,7 +65,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
 }
 SQL: dict[str, str] = {}
