@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
@@ -68,12 +70,15 @@ _END = ".,;:!?"
 # One of these stands in every text that the patterns above can match.
 HINTS = ("{", "<", "[", "@@", "##", "__", "$", "#", "●", "■", "□", ".....", "………", "???", "%(", "(insert", "(enter", "(your", "(fill", "(add", "(to be",
          "null", "NULL", "undefined", "None", "NaN", "N/A", "n/a", "TBD", "TBC", "TODO", "FIXME", "XXX", "xxx")
-ERROR_HINTS = ("found", "404", "http ", "error ", "fel ", "fehler ", "erreur ", "fejl ", "gefunden", "finns inte", "findes ikke", "introuvable", "no encontramos", "not exist",
-               "denied", "forbidden", "nekad", "nægtet", "refusé", "denegado", "verweigert", "expired", "gått ut", "udløbet", "expiré", "caducado", "abgelaufen",
-               "unavailable", "tillfälligt", "øjeblikket", "indisponible", "disponible", "erreichbar", "wrong", "javascript", "script", "skript", "robot", "human",
-               "browser", "captcha", "loading")
-FILLER_HINTS = ("text", "tekst", "content", "copy", "goes here", "completed by", "hier ", "wird ", "här kommer", "fylls i", "her kommer", "udfyldes", "texte", "contenu",
-                "ici viendra", "compléter", "texto", "contenido", "aquí irá", "pendiente", "asdf", "qwer", "bla", "test", "xxx", "foo", "lorem", "ipsum", "dolor")
+ERROR_HINTS = ("not found", "be found", "404", "http ", "error ", "fel ", "fehler ", "erreur ", "fejl ", "gefunden", "finns inte", "findes ikke", "introuvable",
+               "no encontramos", "not exist", "denied", "forbidden", "nekad", "nægtet", "refusé", "denegado", "verweigert", "expired", "gått ut", "udløbet", "expiré",
+               "caducado", "abgelaufen", "unavailable", "tillfälligt", "øjeblikket", "indisponible", "no disponible", "erreichbar", "went wrong", "javascript",
+               "script", "skript", "robot", "you are human", "your browser", "captcha", "loading vacancy")
+FILLER_HINTS = ("sample ", "dummy", "example ", "placeholder", "filler", "test ", "goes here", "insert ", "completed by", "text text", "text goes", "blindtext",
+                "mustertext", "beispieltext", "platzhaltertext", "fülltext", "hier steht", "hier kommt", "hier folgt", "ergänzt", "ausgefüllt", "exempeltext", "provtext",
+                "här kommer", "fylls i", "eksempeltekst", "her kommer", "udfyldes", "testtekst", "d'exemple", "factice", "provisoire", "remplissage", "à remplacer",
+                "ici viendra", "à compléter", "de ejemplo", "de muestra", "de relleno", "de prueba", "aquí irá", "pendiente de", "asdf", "qwer", "bla bla", "xxx", "foo bar",
+                "lorem", "ipsum", "dolor ")
 _PERCENT = re.compile(r"%[A-Z]")
 _MAYBE = re.compile(r"[.!?]\s*$|[{}@#$_●■□…?%]|\b(?:null|NULL|undefined|None|NaN|N/A|n/a|TB[DC]|TODO|FIXME|XXX|xxx)")
 _FIGURES = re.compile(r"\d+(?:[.,:]\d+)*")
@@ -92,6 +97,34 @@ def squashed(s: str) -> str:
     return _FIGURES.sub("9", s) if _ANY_FIGURE.search(s) else s
 
 
+@lru_cache(maxsize=1)
+def hints() -> ahocorasick.Automaton:
+    """Finds the openings of error and filler sentences in one pass over a text."""
+    auto = ahocorasick.Automaton()
+    for h in (*ERROR_HINTS, *FILLER_HINTS):
+        auto.add_word(h, h)
+    auto.make_automaton()
+    return auto
+
+
+def hinted(text: str) -> str:
+    """The lines of a text with a hint, in lower case."""
+    low = text.lower()
+    out, end = [], -1
+    for at, _ in hints().iter(low):
+        if at > end:
+            start = low.rfind("\n", 0, at) + 1
+            end = low.find("\n", at)
+            end = len(low) if end < 0 else end
+            out.append(low[start:end])
+    return "\n".join(out)
+
+
+def head_of(words: list[str]) -> str:
+    """What a sentence is known by before it is read: its first word and its length."""
+    return f"{words[0].casefold()}\0{len(words)}"
+
+
 def templates(text: str) -> list[str]:
     """The distinct sentences of a text as templates; menus (lines of separated items) left out."""
     out = {}
@@ -151,28 +184,32 @@ def residues(text: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def slots(text: str) -> Iterator[tuple[str, str]]:
-    """(position, word) for every word of a text, aligned like residues()."""
-    for line in text.replace("\xa0", " ").split("\n"):
-        words = line.split()
-        if len(words) < 3:
+def slots(text: str, wanted: Callable[[str], bool] = lambda w: True) -> Iterator[tuple[str, str]]:
+    """(position, word) for every word of a text that follows a ``wanted`` one, aligned like residues()."""
+    memo: dict[str, bool] = {}
+    for line in text.casefold().replace("\xa0", " ").split("\n"):
+        low = line.split()
+        if len(low) < 3:
             continue
-        if _BULLET.fullmatch(words[0] + " "):
-            words = words[1:]
+        if _BULLET.fullmatch(low[0] + " "):
+            low = low[1:]
         prev = "^"
-        low = [w.casefold() for w in words]
-        last = len(words) - 1
+        last = len(low) - 1
         for i, w in enumerate(low):
+            on = memo.get(prev)
+            if on is None:
+                on = memo[prev] = wanted(prev)
             end = w[-1]
-            if end in _END and len(w) > 1:
-                nxt, word = end, w[:-1]
-            elif i == last:
-                nxt, word = "$", w
-            else:
-                nxt, word = low[i + 1], w
-                if nxt[-1] in _END and len(nxt) > 1:
-                    nxt = nxt.rstrip(_END)
-            yield f"{prev}\0{nxt}", word
+            if on:
+                if end in _END and len(w) > 1:
+                    nxt, word = end, w[:-1]
+                elif i == last:
+                    nxt, word = "$", w
+                else:
+                    nxt, word = low[i + 1], w
+                    if nxt[-1] in _END and len(nxt) > 1:
+                        nxt = nxt.rstrip(_END)
+                yield f"{prev}\0{nxt}", word
             prev = "^" if end in ".!?" else w if w.isalnum() else w.strip("(\"'«»")
 
 
@@ -203,22 +240,19 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
             out = []
             for k, t in zip(pdf["k"], pdf["t"]):
                 for pos, what, strong in residues(t):
-                    out.append((k, "slot", _key("p", pos), h64(what.casefold()), strong, False))
-                short, low = is_short(t), t.casefold()
-                filler, error = any(h in low for h in FILLER_HINTS), any(h in low for h in ERROR_HINTS)
-                if not (short or filler or error):
-                    continue
-                for s in templates(t):
-                    wrong = (short or any(h in s for h in ERROR_HINTS)) and bool(ERROR.search(s))
-                    if (short or any(h in s for h in FILLER_HINTS)) and (FILLER.search(s) or latin(s)):
-                        out.append((k, "filler", 0, 0, True, short))
+                    out.append((k, "slot", _key("p", pos), h64(what.casefold()), strong, False, _key("q", pos.split("\0")[0])))
+                short = is_short(t)
+                for s in templates(t if short else hinted(t)):
+                    wrong = bool(ERROR.search(s))
+                    if FILLER.search(s) or latin(s):
+                        out.append((k, "filler", 0, 0, True, short, 0))
                     elif short or wrong:
-                        out.append((k, "page", _key("s", s), 0, wrong, short and " " in s))
-            yield pd.DataFrame(out, columns=["k", "kind", "h", "what", "sure", "short"])
+                        out.append((k, "page", _key("s", s), 0, wrong, short and " " in s, _key("f", head_of(s.split()))))
+            yield pd.DataFrame(out, columns=["k", "kind", "h", "what", "sure", "short", "lead"])
 
-    found = cut(rows.mapInPandas(look, "k string, kind string, h bigint, what bigint, sure boolean, short boolean"))
-    place = F.pmod(F.col("h"), F.lit(POSITIONS)).cast("int")
-    marked = found.where("kind <> 'filler'").select(place.alias("p")).distinct().toPandas()["p"].to_numpy()
+    found = cut(rows.mapInPandas(look, "k string, kind string, h bigint, what bigint, sure boolean, short boolean, lead bigint"))
+    places = F.transform(F.array("h", "lead"), lambda x: F.pmod(x, F.lit(POSITIONS)).cast("int"))
+    marked = found.where("kind <> 'filler'").select(F.explode(places).alias("p")).distinct().toPandas()["p"].to_numpy()
     bits = np.zeros(POSITIONS, dtype=bool)
     bits[marked] = True
     seen = df.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
@@ -238,18 +272,32 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
                     memo[kind + s] = h
             return h
 
+        def lead(w: str) -> bool:
+            return bool(marked_key("q", w))
+
+        def marked_templates(text: str) -> list[str]:
+            """templates(), without the trouble of those whose first word and length are not marked."""
+            out = {}
+            for s in _CUT.split(text):
+                w = s.split()
+                if w and (not w[0][0].isalpha() or marked_key("f", head_of(w))):
+                    for x in templates(s):
+                        out[x] = None
+            return list(out)
+
         words: dict[int, int] = defaultdict(int)
         uses: dict[int, list[int]] = defaultdict(lambda: [0, 0])
         for pdf in it:
             for t in pdf["t"]:
-                for pos, w in slots(t):
+                for pos, w in slots(t, lead):
                     h = marked_key("p", pos)
                     if h:
                         words[h] |= 1 << (hash_word(w) & 63)
-                short = is_short(t)
-                for s in templates(t):
+                short = None
+                for s in marked_templates(t):
                     h = marked_key("s", s)
                     if h:
+                        short = is_short(t) if short is None else short
                         u = uses[h]
                         u[0] += 1
                         u[1] += short
