@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from postmill.functions.session import spill, table
 from postmill.llm.langid import languages
+from postmill.llm.mixing import mix
 from postmill.llm.neardup import expanded, near_duplicates
+from postmill.llm.packing import fill_containers, report
 from postmill.llm.pages import page_lines
 from postmill.llm.places import map_places
+from postmill.llm.quality import text_quality
 from postmill.llm.residue import find_residue
+from postmill.llm.tokens import sized
 
 
 def with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +68,49 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "jobs")).select("dedupe_key")
 
 
+CAPACITY = 4096
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_containers(sized(table(spark, sf_dir, "documents")), CAPACITY)
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(p8_containers(spark, sf_dir), CAPACITY)
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = spill(sized(table(spark, sf_dir, "documents"), keep=("doc_id", "source")))
+    return mix(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir)[1]
+
+
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_stats(spark, sf_dir).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
+    "p10_stats": p10_stats,
+    "p10_found": p10_found,
 }
 SQL: dict[str, str] = {}

@@ -38,7 +38,7 @@ LISTS = re.compile(
     r"|autres offres|otros puestos para ti|más ofertas en|vistos hace poco|ofertas parecidas|otras personas|d'autres ont|andre så også)",
 )
 NOTICE = re.compile(
-    r"cookie|kakor|small files|kleine dateien|petits fichiers|små filer|pequeños archivos|javascript|privacy matters|schutz ihrer daten|vie privée|integritet är viktig|privatliv er vigtigt|privacidad nos importa"
+    r"cookie|kakor|small files|kleine dateien|petits fichiers|små filer|pequeños archivos|javascript (?:is switched off|ist abgeschaltet|är avstängt|er slået fra|est désactivé|está apagado)|privacy matters|schutz ihrer daten|vie privée|integritet är viktig|privatliv er vigtigt|privacidad nos importa"
     r"|better experience|measure traffic|get a better|besseres erlebnis|zugriffe zu messen|mesurer la fréquentation|améliorer votre visite|bättre upplevelse|mäta trafik|bedre oplevelse|måle trafik|mejorar tu visita|medir"
     r"|change your choice|privacy notice|by continuing|in line with our|enligt vår policy|gemäß unserer richtlinie|selon notre politique|efter vores politik|según nuestra política|auswahl jederzeit|datenschutzerklärung|mit der nutzung"
     r"|changer d'avis|modifier votre choix|notice de confidentialité|en poursuivant|ändra ditt val|sidan om personuppgifter|genom att fortsätta|ændre dit valg|ved at fortsætte|siden om persondata|cambiar tu elección|aviso de privacidad|al continuar"
@@ -84,7 +84,7 @@ def labels(text: str) -> list[int]:
         elif LISTS.search(bare(s)):
             inside = True
             out.append(1)
-        elif NOTICE.search(low) and not re.search(r"you |du |sie verantworten|vous ", low[:4]):
+        elif NOTICE.search(low):
             out.append(1)
         elif known and (all(known) or sum(known) >= 0.5 * len(known) and (len(known) > 2 or kind == MENU)):
             inside = inside and parts[0] not in ITEM
