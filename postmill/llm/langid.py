@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "sv", "da", "es")
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "langid_weights.npz")
 WINDOW = 192  # bytes read at a stretch; a longer line is read in several stretches and pooled
-BATCH = 512
+BATCH = 384
 
 # Spellings of the languages as labels.
 SPELLINGS = {

@@ -90,24 +90,29 @@ class Tree:
         self.edge: list[int] = []
         self.line: list[int] = []  # which line a node is, or -1 for a block
 
-    def add(self, parent: int, edge: int, line: int) -> int:
-        self.parent.append(parent)
-        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
-        self.edge.append(edge)
-        self.line.append(line)
-        return len(self.parent) - 1
-
     def page(self, shapes: list[int], first: int) -> None:
         """Add a page whose lines, numbered from ``first``, have these shapes."""
-        block, last, current = -1, -1, None
+        parent, depth, edge, line = self.parent, self.depth, self.edge, self.line
+        n, block, block_depth, last, current = len(parent), -1, -1, -1, -1
+        down = 0
         for i, s in enumerate(shapes):
             if s != current:
-                edge = BLOCK_EDGE + (current * 6 + s if current is not None else 0)
-                block = self.add(block, edge, -1)
-                last = self.add(block, CHILD_EDGE + s, first + i)
-                current = s
+                parent.append(block)
+                block, block_depth = n, block_depth + 1
+                depth.append(block_depth)
+                edge.append(BLOCK_EDGE + (current * 6 + s if current >= 0 else 0))
+                line.append(-1)
+                last, down, current = n, block_depth, s
+                n += 1
+                edge.append(CHILD_EDGE + s)
             else:
-                last = self.add(last, LINE_EDGE + s, first + i)
+                edge.append(LINE_EDGE + s)
+            down += 1
+            parent.append(last)
+            depth.append(down)
+            line.append(first + i)
+            last = n
+            n += 1
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         return tuple(np.array(x, dtype=np.int64) for x in (self.parent, self.depth, self.edge, self.line))
@@ -150,6 +155,9 @@ class Reader:
         self.features = lru_cache(maxsize=200_000)(self._features)
         self.place = lru_cache(maxsize=400_000)(self._place)
         self.known: dict[str, float] = {}
+        self.words: dict[str, float] = {}
+        self.shapes = lru_cache(maxsize=20_000)(self.total)
+        self.starts = lru_cache(maxsize=100_000)(lambda w: self.values[_h("2:" + w)])
 
     def total(self, names: list[str]) -> float:
         known, values, out = self.known, self.values, 0.0
@@ -164,8 +172,22 @@ class Reader:
 
     def _features(self, s: str) -> tuple[int, str, object]:
         kind = shape(s)
-        f = line_features(s, kind)
-        return kind, f[0][2:] if len(s) < 60 else "", f if self.values is None else self.total(f)
+        if self.values is None:
+            f = line_features(s, kind)
+            return kind, f[0][2:] if len(s) < 60 else "", f
+        # The same sum as over line_features(), with less to build.
+        low = squash(s)
+        words = _WORDS.findall(low)
+        seen, values = self.words, self.values
+        out = values[_h("w:" + low)] + self.shapes(shape_features(s, kind, words)) + self.starts(" ".join(words[:2]))
+        for w in set(words):
+            v = seen.get(w)
+            if v is None:
+                v = values[_h("u:" + w)]
+                if len(seen) < 500_000:
+                    seen[w] = v
+            out += v
+        return kind, low if len(s) < 60 else "", out
 
     def _place(self, *a) -> object:
         f = context_features(*a)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -149,8 +149,8 @@ def _before(line: str, at: int) -> str:
     left = line[:at].rstrip()
     if not left or left[-1] in ".!?" or _BULLET.fullmatch(left + " "):
         return "^"
-    w = left.split()[-1]
-    return w.casefold().strip("(\"'«»")
+    w = left.split()[-1].casefold()
+    return w if w.isalnum() else w.strip("(\"'«»")
 
 
 def _after(line: str, at: int) -> str:
@@ -184,33 +184,67 @@ def residues(text: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def slots(text: str, wanted: Callable[[str], bool] = lambda w: True) -> Iterator[tuple[str, str]]:
-    """(position, word) for every word of a text that follows a ``wanted`` one, aligned like residues()."""
-    memo: dict[str, bool] = {}
-    for line in text.casefold().replace("\xa0", " ").split("\n"):
-        low = line.split()
-        if len(low) < 3:
-            continue
-        if _BULLET.fullmatch(low[0] + " "):
-            low = low[1:]
-        prev = "^"
-        last = len(low) - 1
-        for i, w in enumerate(low):
-            on = memo.get(prev)
-            if on is None:
-                on = memo[prev] = wanted(prev)
-            end = w[-1]
-            if on:
-                if end in _END and len(w) > 1:
-                    nxt, word = end, w[:-1]
-                elif i == last:
-                    nxt, word = "$", w
-                else:
-                    nxt, word = low[i + 1], w
-                    if nxt[-1] in _END and len(nxt) > 1:
-                        nxt = nxt.rstrip(_END)
-                yield f"{prev}\0{nxt}", word
-            prev = "^" if end in ".!?" else w if w.isalnum() else w.strip("(\"'«»")
+_A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def _word_hash(w: str) -> int:
+    return xxhash.xxh64_intdigest(w)
+
+
+def position_key(pos: str) -> int:
+    """The key of a position, from its words before and after; never 0, which stands for nothing."""
+    before, after = pos.split("\0")
+    h = (_word_hash(before) * _A + _word_hash(after) * _B) & ((1 << 64) - 1)
+    return h - (1 << 63) or 1
+
+
+class Slots:
+    """What stands at the marked positions of many texts, word by word, aligned like residues().
+
+    Words are numbered as they come; everything else is done on arrays of numbers. A word has the
+    form it takes before a position, the form it takes after one, the stop at its end, and a bit.
+    """
+
+    LIMIT = 300_000
+
+    def __init__(self, marked: np.ndarray) -> None:
+        self.marked = marked
+        self.start()
+
+    def start(self) -> None:
+        # 0 is the end of a line.
+        self.number: dict[str, int] = {"\x01": 0}
+        self.rows: list[tuple[int, int, int, int]] = [(_word_hash("^"), _word_hash("$"), 0, 0)]
+
+    def add(self, w: str) -> int:
+        end = w[-1]
+        stopped = end in _END and len(w) > 1
+        before = "^" if end in ".!?" or _BULLET.fullmatch(w + " ") else w if w.isalnum() else w.strip("(\"'«»")
+        bare = w.rstrip(_END) if len(w) > 1 else w
+        self.rows.append((_word_hash(before), _word_hash(bare or w), _word_hash(end) if stopped else 0, 1 << (hash_word(w[:-1] if stopped else w) & 63)))
+        self.number[w] = n = len(self.rows) - 1
+        return n
+
+    def count(self, texts: list[str], words: dict[int, int]) -> None:
+        """Or the bits of the words at marked positions into ``words``."""
+        if len(self.rows) > self.LIMIT:
+            self.start()
+        number, add = self.number, self.add
+        ids = [0]
+        for t in texts:
+            for w in t.casefold().replace("\n", " \x01 ").split():
+                n = number.get(w)
+                ids.append(add(w) if n is None else n)
+            ids.append(0)
+        at = np.array(ids, dtype=np.int64)
+        table = np.array(self.rows, dtype=np.uint64)
+        here = np.nonzero(at[1:-1])[0] + 1
+        before, after, stop = table[at[here - 1], 0], table[at[here + 1], 1], table[at[here], 2]
+        key = before * np.uint64(_A) + np.where(stop > 0, stop, after) * np.uint64(_B)
+        key = (key ^ np.uint64(1 << 63)).view(np.int64)
+        on = self.marked[key % POSITIONS]
+        for k, b in zip(key[on].tolist(), table[at[here[on]], 3].tolist()):
+            words[k or 1] |= b
 
 
 def _key(kind: str, s: str) -> int:
@@ -240,7 +274,7 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
             out = []
             for k, t in zip(pdf["k"], pdf["t"]):
                 for pos, what, strong in residues(t):
-                    out.append((k, "slot", _key("p", pos), h64(what.casefold()), strong, False, _key("q", pos.split("\0")[0])))
+                    out.append((k, "slot", position_key(pos), h64(what.casefold()), strong, False, 1))
                 short = is_short(t)
                 for s in templates(t if short else hinted(t)):
                     wrong = bool(ERROR.search(s))
@@ -259,7 +293,8 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Per task: 64 bits of what stands at each marked position; how often marked sentences come, and in short records."""
-        on = np.unpackbits(np.frombuffer(seen.value, dtype=np.uint8)).astype(bool).tobytes()
+        flags = np.unpackbits(np.frombuffer(seen.value, dtype=np.uint8)).astype(bool)
+        on, at_slots = flags.tobytes(), Slots(flags)
         memo: dict[str, int] = {}
 
         def marked_key(kind: str, s: str) -> int:
@@ -272,9 +307,6 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
                     memo[kind + s] = h
             return h
 
-        def lead(w: str) -> bool:
-            return bool(marked_key("q", w))
-
         def marked_templates(text: str) -> list[str]:
             """templates(), without the trouble of those whose first word and length are not marked."""
             out = {}
@@ -288,11 +320,10 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
         words: dict[int, int] = defaultdict(int)
         uses: dict[int, list[int]] = defaultdict(lambda: [0, 0])
         for pdf in it:
-            for t in pdf["t"]:
-                for pos, w in slots(t, lead):
-                    h = marked_key("p", pos)
-                    if h:
-                        words[h] |= 1 << (hash_word(w) & 63)
+            texts = list(pdf["t"])
+            for i in range(0, len(texts), 500):
+                at_slots.count(texts[i : i + 500], words)
+            for t in texts:
                 short = None
                 for s in marked_templates(t):
                     h = marked_key("s", s)

@@ -94,7 +94,7 @@ def strange_names(rng: np.random.Generator, lines: list[str], y: np.ndarray) ->
         if k != german:
             s = re.sub(r"(?<=[\w,] )[A-ZÀ-Ý][\w'’-]+", lambda m: name() if rng.random() < 0.35 else m[0], s)
         elif rng.random() < 0.4:
-            s = re.sub(r"(?<= (?:in|um|bei|von|nach|mit|für) )[A-ZÀ-Ý][\w'’-]+", lambda m: name() if rng.random() < 0.5 else m[0], s)
+            s = re.sub(r"(?<!\w)((?:in|um|bei|von|nach|mit|für) )([A-ZÀ-Ý][\w'’-]+)", lambda m: m[1] + (name() if rng.random() < 0.5 else m[2]), s)
         if rng.random() < 0.15:
             s = f"{name()} {s[:1].lower()}{s[1:]}" if rng.random() < 0.5 else f"{s} {name()}"
         out.append(prepared(s))
