@@ -7,7 +7,9 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
+LINKS = ArrayType(StructType().add("href", "string").add("text", "string"))
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -45,13 +47,13 @@ def read_page(html: str | None, skip: frozenset[str] = frozenset({"dialog", "nav
     return " ".join(" ".join(r.text).split()), r.links
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text(html: pd.Series) -> pd.Series:
     """The text of a page without dialogs, navigation, footers, scripts and styles, joined by spaces."""
     return html.map(lambda x: read_page(x)[0])
 
 
-@F.pandas_udf("array<struct<href string, text string>>")
+@F.pandas_udf(LINKS)
 def anchors(html: pd.Series) -> pd.Series:
     """The links of a page in order, with their text."""
     return html.map(lambda x: read_page(x)[1])
