@@ -202,27 +202,16 @@ FIGURES = ("n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctu
 def repeated(text: str) -> bool:
     """Whether a text is mostly the same words over and over: runs of five words, under a third of them distinct."""
     w = text.split()
-    if len(w) < 40:
+    if len(w) < 40 or len(set(w)) > 0.5 * len(w):
         return False
     runs = set(zip(w, w[1:], w[2:], w[3:], w[4:]))
     return len(runs) < (len(w) - 4) / 3
 
 
-def structure(text: str, profiles: Profiles) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Non-blank lines, the kind of each (index into KINDS), the divergences, and all coded tokens.
-
-    Successive lines of one shape are a block, which has one distribution and one kind.
-    """
-    lines = [x for x in text.split("\n") if x.strip()]
-    seen = [line_codes(x) for x in lines]
-    shapes = np.array([x for _, x in seen])
-    counts = np.array([len(c) for c, _ in seen])
-    codes = np.array([c for x, _ in seen for c in x], dtype=np.int64)
-    blocks = np.cumsum(np.r_[0, shapes[1:] != shapes[:-1]])
-    signs, langs = signs_of(codes, np.repeat(blocks, counts), counts, shapes, blocks)
-    near, far = profiles.nearest(signs, langs)
-    kinds = np.array(profiles.kinds)[near][blocks]
+def settled(kinds: np.ndarray, shapes: np.ndarray, sizes: np.ndarray) -> None:
+    """Put right what a line can't tell by itself: rules and headings, in place."""
     rule = shapes & 8 > 0
+    n = len(kinds)
     if rule.any() and not rule.all():
         # A rule belongs to the table it is drawn in; one between paragraphs divides them.
         solid = np.nonzero(~rule)[0]
@@ -230,18 +219,17 @@ def structure(text: str, profiles: Profiles) -> tuple[list[str], np.ndarray, np.
         left = solid[np.maximum(np.searchsorted(solid, at) - 1, 0)]
         right = solid[np.minimum(np.searchsorted(solid, at), len(solid) - 1)]
         table = (kinds[left] == 2) & (at - left < 3) | (kinds[right] == 2) & (np.abs(right - at) < 3)
-        kinds[at] = np.where(table, 2, np.where(len(at) * 4 < len(lines), kinds[left], 3))
-    start = 0
-    for i in range(1, len(lines) + 1):
-        if i == len(lines) or kinds[i] != kinds[start]:
-            # A short line or two between paragraphs is a heading, not a list.
-            beside = {int(kinds[k]) for k in (start - 1, i) if 0 <= k < len(lines)}
-            if kinds[start] == 1 and i - start < 3 and sum(map(len, lines[start:i])) < 120 and len(lines) > 3 and beside:
-                kinds[start:i] = min(beside)
-            start = i
-    if repeated(text):
-        kinds[:] = 3
-    return lines, kinds, far[blocks], codes
+        kinds[at] = np.where(table, 2, np.where(len(at) * 4 < n, kinds[left], 3))
+    if n <= 3 or not (kinds == 1).any() or (kinds == 1).all():
+        return
+    cut = np.nonzero(np.diff(kinds))[0] + 1
+    for start, end in zip(np.r_[0, cut].tolist(), np.r_[cut, n].tolist()):
+        # A short line or two between paragraphs is a heading, not a list.
+        if kinds[start] == 1 and end - start < 3 and sizes[start:end].sum() < 120:
+            kinds[start:end] = min(int(kinds[k]) for k in (start - 1, end) if 0 <= k < n)
+
+
+AT_ONCE = 256
 
 
 def text_quality(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +249,10 @@ def text_quality(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = Profiles.load()
         for pdf in it:
-            yield pd.DataFrame([(k, *measured(t if isinstance(t, str) else "", profiles)) for k, t in zip(pdf["k"], pdf["t"])], columns=["k", *FIGURES, *(f"{x}_share" for x in KINDS), "kind", "divergence"])
+            for at in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[at : at + AT_ONCE]
+                found = measured([t if isinstance(t, str) else "" for t in part["t"]], profiles)
+                yield pd.DataFrame([(k, *m) for k, m in zip(part["k"], found)], columns=["k", *FIGURES, *(f"{x}_share" for x in KINDS), "kind", "divergence"])
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     figures = "n_words bigint, " + ", ".join(f"{x} double" for x in FIGURES[1:])
@@ -269,28 +260,71 @@ def text_quality(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     return rows.mapInPandas(read, f"k {kind}, {figures}, {shares}, kind string, divergence double").withColumnRenamed("k", key)
 
 
-def measured(text: str, profiles: Profiles) -> tuple:
-    if not text.strip():
-        return (0, *[0.0] * (len(FIGURES) - 1), 0.0, 0.0, 0.0, 0.0, "blank", 0.0)
-    lines, kinds, far, codes = structure(text, profiles)
-    kind, length, alpha = codes & 31, codes >> 5 & 63, codes >> 11 & 1
-    n = max(1, int(alpha.sum()))
-    solid = max(1, int(length[kind != S["gap"]].sum()))
-    symbols = int(length[np.isin(kind, (S["separator"], S["comma"], S["stop"], S["symbol"], S["rule"]))].sum())
-    verbal, nominal = int((kind == S["verbal"]).sum()), int((kind == S["nominal"]).sum())
-    size = np.array([len(x.strip()) for x in lines], dtype=float)
-    share = np.bincount(kinds, weights=size, minlength=4) / size.sum()
-    best = 1 + int(share[1:].argmax())
-    return (
-        int(alpha.sum()),
-        float((length * alpha).sum()) / n,
-        symbols / solid,
-        float(length[kind == S["figure"]].sum()) / solid,
-        sum(x.rstrip()[-1] in ".!?:;…" for x in lines) / len(lines),
-        sum(bool(_ENUM.match(x)) for x in lines) / len(lines),
-        (verbal + nominal) / n,
-        verbal / n,
-        *map(float, share),
-        KINDS[best] if share[1:].sum() > 0.5 else "prose",
-        float((far * size).sum() / size.sum()),
-    )
+BLANK = (0, *[0.0] * (len(FIGURES) - 1), 0.0, 0.0, 0.0, 0.0, "blank", 0.0)
+
+
+def measured(texts: list[str], profiles: Profiles) -> list[tuple]:
+    """The columns of text_quality() for each text.
+
+    Successive lines of one shape are a block, which has one distribution and one kind.
+    """
+    codes: list[int] = []
+    counts: list[int] = []
+    shapes: list[int] = []
+    sizes: list[int] = []
+    stops: list[bool] = []
+    doc: list[int] = []
+    same: list[bool] = []
+    for d, text in enumerate(texts):
+        same.append(repeated(text))
+        for x in text.split("\n"):
+            x = x.strip()
+            if x:
+                c, shape = line_codes(x)
+                codes += c
+                counts.append(len(c))
+                shapes.append(shape)
+                sizes.append(len(x))
+                stops.append(x[-1] in ".!?:;…")
+                doc.append(d)
+    if not doc:
+        return [BLANK] * len(texts)
+    code, count, shape, size, of = (np.array(x, dtype=np.int64) for x in (codes, counts, shapes, sizes, doc))
+    block = np.cumsum(np.r_[0, (shape[1:] != shape[:-1]) | (of[1:] != of[:-1])])
+    signs, langs = signs_of(code, np.repeat(block, count), count, shape, block)
+    near, far = profiles.nearest(signs, langs)
+    kinds = np.array(profiles.kinds)[near][block]
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    for d in np.unique(of).tolist():
+        part = slice(first[d], first[d + 1])
+        if same[d]:
+            kinds[part] = 3
+        else:
+            settled(kinds[part], shape[part], size[part])
+    n = len(texts)
+    token = np.repeat(of, count)
+    kind, length, alpha = code & 31, code >> 5 & 63, code >> 11 & 1
+    total = lambda where, weight=None: np.bincount(token[where], weights=None if weight is None else weight[where], minlength=n)
+    words, letters = total(alpha == 1), total(alpha == 1, length)
+    solid = np.maximum(total(kind != S["gap"], length), 1)
+    marks = np.zeros(32, dtype=bool)
+    marks[[S["separator"], S["comma"], S["stop"], S["symbol"], S["rule"]]] = True
+    symbols, figures = total(marks[kind], length), total(kind == S["figure"], length)
+    verbal, common = total(kind == S["verbal"]), total(kind <= S["nominal"])
+    lines = np.maximum(np.bincount(of, minlength=n), 1)
+    stopped, bullets = np.bincount(of, weights=stops, minlength=n) / lines, np.bincount(of, weights=shape & 1, minlength=n) / lines
+    share = np.bincount(of * 4 + kinds, weights=size, minlength=4 * n).reshape(n, 4)
+    whole = share.sum(1)
+    away = np.bincount(of, weights=far[block] * size, minlength=n)
+    out = []
+    for d in range(n):
+        if not whole[d]:
+            out.append(BLANK)
+            continue
+        x, w = share[d] / whole[d], max(1, int(words[d]))
+        best = 1 + int(x[1:].argmax())
+        out.append((
+            int(words[d]), float(letters[d]) / w, float(symbols[d] / solid[d]), float(figures[d] / solid[d]), float(stopped[d]), float(bullets[d]),
+            float(common[d]) / w, float(verbal[d]) / w, *map(float, x), KINDS[best] if x[1:].sum() > 0.5 else "prose", float(away[d] / whole[d]),
+        ))
+    return out
