@@ -7,12 +7,13 @@ then learns words, shapes and neighbourhoods, and holds beyond the phrases.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 
 import numpy as np
 
-from postmill.llm.pages import EDGES, HEADING, MENU, SENTENCE, SIZE, WEIGHTS, Reader, Tree, _h, shape, squash, sum_product
+from postmill.llm.pages import EDGES, HEADING, MENU, SENTENCE, SHORT, SIZE, WEIGHTS, Reader, Tree, _h, shape, squash, sum_product
 
 # Items of menus and footers, by language.
 ITEMS = {
@@ -27,14 +28,14 @@ ITEMS = {
 BUTTONS = {
     "en": "copy link|share this job|manage preferences|save my choices|report this listing|only necessary|email to a friend|apply now|ok, got it|reject all|print this page|create an alert for this search|accept all|back to results|save job|sign up for job alerts|follow us|get new vacancies by e-mail every week|enter your e-mail address and press subscribe",
     "de": "alle ablehnen|folgen sie uns|auswahl speichern|nur notwendige|e-mail-adresse eingeben und abonnieren|stelle merken|seite drucken|neue stellen jede woche im postfach|weiterleiten|jobs per e-mail erhalten|suchauftrag anlegen|stelle teilen|jetzt bewerben|einstellungen verwalten|alle annehmen|zurück zur liste|anzeige melden|link kopieren",
-    "fr": "nécessaires seulement|gérer mes choix|tout refuser|envoyer à un ami|suivez-nous|créer une alerte|garder l'offre|enregistrer|copier le lien|signaler l'annonce|postuler|tout accepter|les nouveaux postes chaque semaine|imprimer la page|retour à la liste|partager cette offre|enregistrer mes choix|recevoir les offres",
+    "fr": "nécessaires seulement|gérer mes choix|tout refuser|envoyer à un ami|suivez-nous|créer une alerte|garder l'offre|enregistrer|copier le lien|signaler l'annonce|postuler|tout accepter|les nouveaux postes chaque semaine|imprimer la page|retour à la liste|partager cette offre|enregistrer mes choix|recevoir les offres par courriel|saisissez votre adresse et validez",
     "sv": "bara nödvändiga|neka alla|hantera val|dela jobbet|ansök nu|få jobb via e-post|fyll i din e-postadress och prenumerera|följ oss|spara mina val|tillbaka till listan|godkänn alla|nya tjänster varje vecka|skriv ut sidan|spara annonsen|tipsa en vän|anmäl annonsen|kopiera länk|skapa bevakning",
-    "da": "styr valg|følg os|accepter alle|kopier link|kun nødvendige|send til en ven|få job på mail|udskriv siden|gem mine valg|del jobbet|opret jobagent|anmeld opslaget|skriv din mailadresse og tilmeld dig|afvis alle|gem opslaget|nye stillinger hver uge|ansøg nu|tilbage til listen",
+    "da": "styr valg|følg os|accepter alle|kopier link|kun nødvendige|send til en ven|få job på mail|udskriv siden|gem mine valg|del jobbet|opret jobagent|anmeld opslaget|skriv din mailadresse og tilmeld dig|afvis alle|gem opslaget|nye stillinger hver uge|ansøg nu|søg stillingen nu|tilbage til listen",
     "es": "gestionar opciones|inscribirme ahora|rechazar todo|solo necesarias|síguenos|escribe tu correo y suscríbete|guardar oferta|enviar a un amigo|recibe ofertas por correo|copiar enlace|crear alerta|volver a la lista|guardar|denunciar anuncio|nuevos puestos cada semana|imprimir página|aceptar todo|compartir oferta|guardar mis opciones",
 }
 LISTS = re.compile(
     r"^(?:other jobs you may like|people also looked at|recently viewed|similar vacancies|more openings at|weitere angebote für sie|mehr offene stellen bei|zuletzt angesehen|ähnliche stellen|andere sahen sich auch an"
-    r"|autres postes pour vous|d'autres offres chez|vus récemment|offres similaires|liknande jobb|fler lediga jobb hos|fler tjänster för dig|senast visade|andra tittade (?:också )?på|senest viste|flere stillinger til dig|flere ledige stillinger hos|lignende"
+    r"|autres postes pour vous|d'autres offres chez|vus récemment|offres similaires|offres semblables|liknande jobb|fler lediga jobb hos|fler tjänster för dig|senast visade|andra tittade (?:också )?på|senest viste|flere stillinger til dig|flere ledige stillinger hos|lignende"
     r"|autres offres|otros puestos para ti|más ofertas en|vistos hace poco|ofertas parecidas|otras personas|d'autres ont|andre så også)",
 )
 NOTICE = re.compile(
@@ -105,6 +106,10 @@ def labels(text: str) -> list[int]:
         out[i] = int(bool(before) and not (after and shape(after) == SENTENCE and not NOTICE.search(squash(after))))
         if not after and before:
             out[i] = 1
+    for i in range(1, len(lines)):
+        # A name among the items of a menu is an item, such as the board's own.
+        if not out[i] and squash(lines[i]).rstrip(":") not in HEAD and shape(lines[i]) == SHORT and out[i - 1] and (i + 1 == len(lines) or out[i + 1] or bare(lines[i - 1]) in ITEM):
+            out[i] = 1
     return out
 
 
@@ -170,7 +175,8 @@ def main(path: str, most: int = 6500) -> None:
     rows = [(x, n) for x, n in zip(t["description_text"], t["title"]) if x and x.strip()][: most + 1000]
     rest = rows[most:]
     w, pair = train([x for x, _ in rows[:most]], [n for _, n in rows[:most]])
-    np.savez_compressed(WEIGHTS, weights=w.astype(np.float16), pair=pair.astype(np.float32))
+    np.savez_compressed(WEIGHTS + ".new.npz", weights=w.astype(np.float16), pair=pair.astype(np.float32))
+    os.replace(WEIGHTS + ".new.npz", WEIGHTS)
     from postmill.llm.pages import furniture, load
 
     found = furniture(load(), [x for x, _ in rest], [n for _, n in rest])
