@@ -210,8 +210,8 @@ def fill_containers(items: DataFrame, capacity: int, *, key: str = "doc_id", siz
 
         return df.withColumn("g", salt).groupBy("g").applyInPandas(one, schema)
 
-    # Whole pieces of full capacity need no packing.
-    whole = pieces.where(F.col("n") == capacity).select("k", "piece", "n", (F.lit(3 << 60) + F.pmod(F.xxhash64("k", "piece"), F.lit(1 << 60))).alias("container"), F.col("n").alias("filled"))
+    # Whole pieces of full capacity need no packing; rows of the written table number their containers.
+    whole = pieces.where(F.col("n") == capacity).select("k", "piece", "n", (F.lit(3 << 60) + F.monotonically_increasing_id()).alias("container"), F.col("n").alias("filled"))
     first = spill(packed(pieces.where(F.col("n") < capacity), 0))
     done = first.where(F.col("filled") >= FULL * capacity)
     again = spill(packed(first.where(F.col("filled") < FULL * capacity).select("k", "piece", "n"), 1))

@@ -134,8 +134,8 @@ class Entry:
 class Lookup:
     """The reference list with its delete dictionary; small enough to be sent to every task."""
 
-    def __init__(self, rows: list[tuple], counts: dict[int, int] | None = None):
-        """rows: (place_id, name, country, country_code, region, aliases)."""
+    def __init__(self, rows: list[tuple], counts: dict[int, int] | None = None, areas: list[tuple] = ()):
+        """rows: (place_id, name, country, country_code, region, aliases); areas: further (country, country_code, region)."""
         self.counts = counts or {}
         self.entries: dict[int, Entry] = {}
         self.names: dict[str, set[int]] = {}
@@ -145,11 +145,7 @@ class Lookup:
             if pid is None:
                 continue
             self.entries[pid] = Entry(pid, fold(country or ""), (code or "").lower(), fold(region or ""))
-            for what, kind in ((country, "country"), (region, "region")):
-                if what:
-                    self.areas[fold(what)] = (kind, fold(what))
-            if code:
-                self.areas[code.lower()] = ("code", code.lower())
+            self.area(country, code, region)
             for n in [name, *(aliases if aliases is not None else [])]:
                 if not n or not n.strip():
                     continue
@@ -158,11 +154,20 @@ class Lookup:
                 else:
                     for v in {fold(n), fold(n, spelt=True)}:
                         self.names.setdefault(v, set()).add(pid)
+        for a in areas:
+            self.area(*a)
         self.by_delete: dict[str, set[str]] = {}
         for v in self.names:
             for d in deletes(v, reach(v)):
                 self.by_delete.setdefault(d, set()).add(v)
 
+    def area(self, country: str | None, code: str | None, region: str | None) -> None:
+        for what, kind in ((country, "country"), (region, "region")):
+            if what:
+                self.areas[fold(what)] = (kind, fold(what))
+        if code:
+            self.areas[code.lower()] = ("code", code.lower())
+
     def fuzzy(self, phrase: str) -> list[tuple[float, set[int]]]:
         """Entries within reach, as (weighted distance, place ids), for each spelling of the phrase."""
         found: dict[str, float] = {}
@@ -174,17 +179,18 @@ class Lookup:
                     found[n] = w
         return [(w, self.names[n]) for n, w in found.items()]
 
-    def choose(self, options: list[tuple[float, set[int]]], hints: set[tuple[str, str]]) -> tuple[int, float]:
-        """The best entry: nearest first, then in the country or region the value names, then most often named."""
+    def choose(self, options: list[tuple[float, set[int]]], hints: set[tuple[str, str]]) -> tuple[int, float, tuple]:
+        """The best entry, its distance and its rank: nearest first, half an edit nearer in the country or region that the value names, then most often named."""
 
         def fits(e: Entry) -> bool:
             return any(getattr(e, k) == v for k, v in hints)
 
-        ranked = sorted(
-            ((w, not fits(self.entries[p]), -self.counts.get(p, 0), p) for w, ids in options for p in ids),
-            key=lambda x: (x[0] if not hints else x[0] + 0.5 * x[1], *x[1:]),
-        )
-        return ranked[0][3], ranked[0][0]
+        def rank(w: float, p: int) -> tuple:
+            away = bool(hints) and not fits(self.entries[p])
+            return w + 0.5 * away, -self.counts.get(p, 0), p, w
+
+        best = min(rank(w, p) for w, ids in options for p in ids)
+        return best[2], best[3], best[:2]
 
 
 _SPLIT = re.compile(r"\s*(?:[;|&\n\r/•·]|\s+(?:or|and|oder|und|ou|et|och|eller|og|y|o)\s+)\s*", re.I)
@@ -224,8 +230,8 @@ def phrases(value: str, lookup: Lookup) -> list[tuple[str, set[tuple[str, str]]]
     return out
 
 
-def towns(value: str | None, lookup: Lookup) -> list[tuple[str, int, float]]:
-    """(phrase, place_id, distance) for every town a value names; place_id 0 for one not on the list.
+def towns(value: str | None, lookup: Lookup) -> list[tuple[str, int, float, float, int]]:
+    """(phrase, place_id, distance, rank, named) for every town a value names; place_id 0 for one not on the list.
 
     Nothing for null, blank or town-free values. A phrase that is a two-letter country code, a
     country or a region is a hint to its neighbours, and with no town beside it no case.
@@ -244,14 +250,14 @@ def towns(value: str | None, lookup: Lookup) -> list[tuple[str, int, float]]:
         else:
             options = lookup.fuzzy(phrase)
         if options:
-            pid, w = lookup.choose(options, hints or everywhere)
-            found.append((phrase, pid, w))
+            pid, w, (rank, named) = lookup.choose(options, hints or everywhere)
+            found.append((phrase, pid, w, rank, named))
         else:
-            found.append((phrase, 0, 0.0))
+            found.append((phrase, 0, 0.0, 0.0, 0))
     return found
 
 
-RESULT = "value string, phrase string, place_id bigint, distance double"
+RESULT = "value string, phrase string, place_id bigint, distance double, rank double, named bigint"
 
 
 def _reference(places: DataFrame) -> list[tuple]:
@@ -277,25 +283,28 @@ def map_places(
     rows = values.select(*keys, F.col(column).alias("value")).where(F.col("value").isNotNull())
     rows = rows if keys else rows.distinct()
     n = places.count()
+    out = [*keys, "value", "phrase", "place_id", "distance"]
     if n <= broadcast_rows:
-        return _matched(rows, _reference(places), keys)
+        return _matched(rows, _reference(places), keys).select(*out)
+    # Countries and regions are a few hundred however long the list is.
+    areas = [tuple(r) for r in places.select("country", "country_code", "region").distinct().collect()]
     parts = -(-n // broadcast_rows)
     split = places.withColumn("__part", F.pmod(F.xxhash64("place_id"), F.lit(parts)))
     found = None
     for k in range(parts):
-        one = _matched(rows, _reference(split.where(F.col("__part") == k)), keys)
+        one = _matched(rows, _reference(split.where(F.col("__part") == k)), keys, areas)
         found = one if found is None else found.unionByName(one)
-    best = F.struct((F.col("place_id") == 0).alias("miss"), "distance", "place_id")
+    best = F.struct((F.col("place_id") == 0).alias("miss"), "rank", "named", "place_id", "distance")
     merged = found.groupBy(*keys, "value", "phrase").agg(F.min(best).alias("b"))
     return merged.select(*keys, "value", "phrase", F.col("b.place_id").alias("place_id"), F.col("b.distance").alias("distance"))
 
 
-def _matched(rows: DataFrame, reference: list[tuple], keys: Sequence[str]) -> DataFrame:
+def _matched(rows: DataFrame, reference: list[tuple], keys: Sequence[str], areas: list[tuple] = ()) -> DataFrame:
     sc = rows.sparkSession.sparkContext
     plain = sc.broadcast(reference)
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look, named = Lookup(plain.value), Counter()
+        look, named = Lookup(plain.value, None, areas), Counter()
         for pdf in it:
             for v, times in Counter(pdf["value"]).items():
                 for phrase, _ in phrases(v, look):
@@ -307,11 +316,11 @@ def _matched(rows: DataFrame, reference: list[tuple], keys: Sequence[str]) -> Da
     # One count per entry of the list, so no longer than the list.
     counts = rows.select("value").mapInPandas(count, "place_id bigint, n bigint").groupBy("place_id").agg(F.sum("n").alias("n"))
     weights = sc.broadcast({r[0]: r[1] for r in counts.collect()})
-    names = [*keys, "value", "phrase", "place_id", "distance"]
+    names = [*keys, "value", "phrase", "place_id", "distance", "rank", "named"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def match(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = Lookup(plain.value, weights.value)
+        look = Lookup(plain.value, weights.value, areas)
         memo = lru_cache(maxsize=100_000)(lambda v: towns(v, look))
         for pdf in it:
             cols = [pdf[k] for k in keys]
