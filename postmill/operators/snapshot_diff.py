@@ -48,27 +48,23 @@ def snapshot_changes(
     order = F.col("__t") * 1024 + F.pmod(F.col("__h"), F.lit(1024))
     states = rows.groupBy("__k", "__s").agg(F.max_by("__h", order).alias("__h"))
 
-    # One row per snapshot: a few thousand at most, as each is a delivery of the whole table.
-    index = df.select(F.col(snapshot).alias("__s")).where(F.col(snapshot).isNotNull()).distinct()
-    names = index.agg(F.array_sort(F.collect_list("__s")).alias("__all"))
+    # One row per snapshot, each a delivery of the whole table: so few that one task can number them.
+    ids = df.select(F.col(snapshot).alias("__r")).where(F.col("__r").isNotNull()).distinct()
+    order_of_runs = Window.orderBy("__r")
+    index = ids.select("__r", F.row_number().over(order_of_runs).alias("__i"), F.lead("__r").over(order_of_runs).alias("__next"))
+    numbered = states.join(F.broadcast(index), F.col("__s") == F.col("__r"))
     w = Window.partitionBy("__k").orderBy("__i")
-    numbered = states.join(F.broadcast(names)).withColumn("__i", F.array_position("__all", F.col("__s")).cast("int"))
-    last = F.size("__all")
-    before, after = F.lag("__i").over(w), F.lead("__i").over(w)
     marked = numbered.select(
-        "__k", "__all", "__i", last.alias("__n"), before.alias("__b"), after.alias("__a"), (F.lag("__h").over(w) != F.col("__h")).alias("__d")
+        "__k", "__s", "__i", "__next", F.lag("__i").over(w).alias("__b"), F.lead("__i").over(w).alias("__a"), (F.lag("__h").over(w) != F.col("__h")).alias("__d")
     )
     added = (F.col("__i") > 1) & (F.col("__b").isNull() | (F.col("__b") < F.col("__i") - 1))
     changed = (F.col("__b") == F.col("__i") - 1) & F.col("__d")
-    removed = (F.col("__i") < F.col("__n")) & (F.col("__a").isNull() | (F.col("__a") > F.col("__i") + 1))
+    removed = F.col("__next").isNotNull() & (F.col("__a").isNull() | (F.col("__a") > F.col("__i") + 1))
 
-    def event(when: Column, at: Column, what: str) -> Column:
-        return F.when(when, F.struct(F.element_at("__all", at).alias("s"), F.lit(what).alias("c")))
+    def event(when: Column, at: str, what: str) -> Column:
+        return F.when(when, F.struct(F.col(at).alias("s"), F.lit(what).alias("c")))
 
-    i = F.col("__i")
-    # The last snapshot has no successor, so the index is kept inside the array.
-    following = F.least(i + 1, F.col("__n"))
-    events = F.array_compact(F.array(event(added, i, "added"), event(changed, i, "changed"), event(removed, following, "removed")))
+    events = F.array_compact(F.array(event(added, "__s", "added"), event(changed, "__s", "changed"), event(removed, "__next", "removed")))
     return marked.select("__k", F.explode(events).alias("e")).select(
         F.col("e.s").alias(snapshot), F.col("__k").alias(key), F.col("e.c").alias("change")
     )
