@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "sv", "da", "es")
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "langid_weights.npz")
 WINDOW = 192  # bytes read at a stretch; a longer line is read in several stretches and pooled
-BATCH = 384
+BATCH = 512
 
 # Spellings of the languages as labels.
 SPELLINGS = {
@@ -54,6 +54,8 @@ class Network:
         self.table[:, :, : 2 * self.h] *= 0.5
         self.u = self.u.copy()
         self.u[:, :, : 2 * self.h] *= 0.5
+        # One row per unit and one column per line: every gate is then one piece of memory.
+        self.table_t, self.u_t = (np.ascontiguousarray(x.transpose(0, 2, 1)) for x in (self.table, self.u))
 
     @classmethod
     def load(cls) -> Network:
@@ -61,48 +63,58 @@ class Network:
             return cls(z["table"], z["u"], z["v"], z["c"])
 
     def logits(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Position logits pooled: mean log probabilities (batch, L) of byte rows x (batch, time), sorted by length downwards."""
+        """Sums over the positions of log probabilities (batch, L) of byte rows x (batch, time), sorted by length downwards."""
         n, t = x.shape
         h = self.h
-        back = np.zeros_like(x)
-        for i in range(t):
-            live = lengths > i
-            back[live, i] = x[live, lengths[live] - 1 - i]
-        states = np.zeros((2, t, n, h), dtype=np.float32)
-        s = np.zeros((2, n, h), dtype=np.float32)
+        rows = np.arange(n)
+        mirror = lengths[:, None] - 1 - np.arange(t)[None, :]
+        inside = mirror >= 0
+        mirror[~inside] = 0
+        both = np.stack((x.T, np.take_along_axis(x, mirror, axis=1).T))  # direction, time, batch
+        live = np.searchsorted(-lengths, -np.arange(t), side="left")  # rows longer than i
+        states = np.zeros((2, t, h, n), dtype=np.float32)
+        s = np.zeros((2, h, n), dtype=np.float32)
+        a, g = np.empty((2, 3 * h, n), dtype=np.float32), np.empty((2, 3 * h, n), dtype=np.float32)
         for i in range(t):
-            m = int(np.searchsorted(-lengths, -i, side="left"))  # rows longer than i
-            prev = s[:, :m]
-            g = np.matmul(prev, self.u)
-            a = np.stack((self.table[0][x[:m, i]], self.table[1][back[:m, i]]))
-            gates = np.tanh(a[:, :, : 2 * h] + g[:, :, : 2 * h])
+            m = int(live[i])
+            if m < s.shape[2]:
+                s = np.ascontiguousarray(s[:, :, :m])
+                a, g = np.empty((2, 3 * h, m), dtype=np.float32), np.empty((2, 3 * h, m), dtype=np.float32)
+            for k in (0, 1):
+                np.take(self.table_t[k], both[k, i, :m], axis=1, out=a[k], mode="clip")
+                np.matmul(self.u_t[k], s[k], out=g[k])
+            gates, new = a[:, : 2 * h], g[:, 2 * h :]
+            gates += g[:, : 2 * h]
+            np.tanh(gates, out=gates)
             gates *= 0.5
             gates += 0.5
-            new = np.tanh(a[:, :, 2 * h :] + gates[:, :, h:] * g[:, :, 2 * h :])
-            new += gates[:, :, :h] * (prev - new)
-            s[:, :m] = new
-            states[:, i, :m] = new
-        out = np.matmul(states[0].reshape(-1, h), self.v[0]).reshape(t, n, -1)
-        rear = np.matmul(states[1].reshape(-1, h), self.v[1]).reshape(t, n, -1)
-        total = np.zeros((n, len(self.c)), dtype=np.float32)
-        rows = np.arange(n)
-        for i in range(t):
-            m = int(np.searchsorted(-lengths, -i, side="left"))
-            z = out[i, :m] + rear[lengths[:m] - 1 - i, rows[:m]] + self.c
-            z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            total[:m] += z
-        return total
+            new *= gates[:, h:]
+            new += a[:, 2 * h :]
+            np.tanh(new, out=new)
+            s -= new
+            s *= gates[:, :h]
+            s += new
+            states[:, i, :, :m] = s
+        z, rear = (np.matmul(self.v[k].T, states[k]).transpose(0, 2, 1) for k in (0, 1))
+        z = z + rear[mirror.T, rows[None, :]]
+        z += self.c
+        z -= z.max(axis=2, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
+        z *= inside.T[:, :, None]
+        return z.sum(axis=0)
 
     def read(self, lines: list[str]) -> np.ndarray:
-        """Log probabilities (lines, L), pooled over bytes; an empty line is all even.
+        """Log probabilities (lines, L) of lines; see read_bytes()."""
+        return self.read_bytes([prepared(s) for s in lines])
+
+    def read_bytes(self, lines: list[bytes]) -> np.ndarray:
+        """Log probabilities (lines, L) of prepared lines, pooled over bytes; an empty line is all even.
 
         The sum of the position log probabilities is scaled by the root of the length, so that a
         long line is surer than a short one without being certain.
         """
         pieces, owner = [], []
-        for i, s in enumerate(lines):
-            b = prepared(s)
+        for i, b in enumerate(lines):
             for at in range(0, len(b), WINDOW):
                 pieces.append(b[at : at + WINDOW])
                 owner.append(i)
@@ -159,19 +171,21 @@ def languages(
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network.load()
-        for whole in it:
-            for at in range(0, len(whole), 2000):
-                pdf = whole.iloc[at : at + 2000]
+        for pdf in it:
+            if len(pdf):
                 texts = [[s or "" for s in x] if x is not None else [] for x in pdf["lines"]]
                 names = [x if isinstance(x, str) else "" for x in pdf["name"]]
-                index: dict[str, int] = {}
+                # Lines that the network reads alike are read once a batch.
+                index: dict[bytes, int] = {}
+                place: dict[str, int] = {}
                 for s in [*names, *(s for x in texts for s in x)]:
-                    index.setdefault(s, len(index))
-                scores = net.read(list(index))
+                    if s not in place:
+                        place[s] = index.setdefault(prepared(s), len(index))
+                scores = net.read_bytes(list(index))
                 out = []
                 for k, name, ls, ns, lab in zip(pdf["k"], names, texts, pdf["no"], pdf["label"]):
-                    found = scores[[index[s] for s in ls]] if ls else np.zeros((0, len(LANGUAGES)))
-                    out.append((k, named(lab if isinstance(lab, str) else None), *judged(found, ls, list(ns) if ns is not None else [], scores[index[name]] if name.strip() else None, sure)))
+                    found = scores[[place[s] for s in ls]] if ls else np.zeros((0, len(LANGUAGES)))
+                    out.append((k, named(lab if isinstance(lab, str) else None), *judged(found, ls, list(ns) if ns is not None else [], scores[place[name]] if name.strip() else None, sure)))
                 yield pd.DataFrame(out, columns=["k", "declared", "lang", "confidence", "title_lang", "title_confidence", "segments"])
 
     out = rows.mapInPandas(
