@@ -9,8 +9,9 @@ Sentences that recur across records and mostly make up whole pages are error tem
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -120,11 +121,6 @@ def hinted(text: str) -> str:
     return "\n".join(out)
 
 
-def head_of(words: list[str]) -> str:
-    """What a sentence is known by before it is read: its first word and its length."""
-    return f"{words[0].casefold()}\0{len(words)}"
-
-
 def templates(text: str) -> list[str]:
     """The distinct sentences of a text as templates; menus (lines of separated items) left out."""
     out = {}
@@ -214,38 +210,68 @@ class Slots:
     def start(self) -> None:
         # 0 is the end of a line.
         self.number: dict[str, int] = {"\x01": 0}
-        self.rows: list[tuple[int, int, int, int]] = [(_word_hash("^"), _word_hash("$"), 0, 0)]
+        self.text = [""]
+        self.rows: list[tuple[int, ...]] = [(_word_hash("^"), _word_hash("$"), 0, 0, 0, 0)]
 
     def add(self, w: str) -> int:
         end = w[-1]
         stopped = end in _END and len(w) > 1
-        before = "^" if end in ".!?" or _BULLET.fullmatch(w + " ") else w if w.isalnum() else w.strip("(\"'«»")
+        bullet = bool(_BULLET.fullmatch(w + " "))
+        before = "^" if end in ".!?" or bullet else w if w.isalnum() else w.strip("(\"'«»")
         bare = w.rstrip(_END) if len(w) > 1 else w
-        self.rows.append((_word_hash(before), _word_hash(bare or w), _word_hash(end) if stopped else 0, 1 << (hash_word(w[:-1] if stopped else w) & 63)))
+        self.rows.append((
+            _word_hash(before), _word_hash(bare or w), _word_hash(end) if stopped else 0, 1 << (hash_word(w[:-1] if stopped else w) & 63),
+            _word_hash(_FIGURES.sub("9", w)), (end in ".!?") + 2 * bullet,
+        ))
+        self.text.append(w)
         self.number[w] = n = len(self.rows) - 1
         return n
 
-    def count(self, texts: list[str], words: dict[int, int]) -> None:
-        """Or the bits of the words at marked positions into ``words``."""
+    def count(self, texts: list[str], words: dict[int, int], sentences: Callable[[int, str], None] = lambda d, s: None) -> None:
+        """Or the bits of the words at marked positions into ``words``; pass on the number of the text and the template of every sentence whose head is marked."""
         if len(self.rows) > self.LIMIT:
             self.start()
         number, add = self.number, self.add
-        ids = [0]
+        ids, ends = [0], []
         for t in texts:
             for w in t.casefold().replace("\n", " \x01 ").split():
                 n = number.get(w)
                 ids.append(add(w) if n is None else n)
             ids.append(0)
+            ends.append(len(ids))
         at = np.array(ids, dtype=np.int64)
         table = np.array(self.rows, dtype=np.uint64)
         here = np.nonzero(at[1:-1])[0] + 1
-        before, after, stop = table[at[here - 1], 0], table[at[here + 1], 1], table[at[here], 2]
+        if not len(here):
+            return
+        rows = table[at[here]]
+        before, after, stop = table[at[here - 1], 0], table[at[here + 1], 1], rows[:, 2]
         key = before * np.uint64(_A) + np.where(stop > 0, stop, after) * np.uint64(_B)
         key = (key ^ np.uint64(1 << 63)).view(np.int64)
         on = self.marked[key % POSITIONS]
-        for k, b in zip(key[on].tolist(), table[at[here[on]], 3].tolist()):
+        for k, b in zip(key[on].tolist(), rows[on, 3].tolist()):
             words[k or 1] |= b
 
+        # Sentences start at the start of a line or after a full stop; a bullet does not belong to them.
+        ended = table[at[here - 1], 5] & np.uint64(1)
+        first = np.nonzero((at[here - 1] == 0) | (ended == 1))[0]
+        last = np.r_[first[1:], len(here)]
+        first = first + ((rows[first, 5] >= 2) & (last - first > 1))
+        head = rows[first, 4] * np.uint64(_A) + (last - first).astype(np.uint64) * np.uint64(_B)
+        head = (head ^ np.uint64(1 << 63)).view(np.int64)
+        for i in np.nonzero(self.marked[head % POSITIONS])[0].tolist():
+            start = int(here[first[i]])
+            s = " ".join([self.text[j] for j in ids[start : start + int(last[i] - first[i])]])
+            if len(s) < 400:
+                sentences(bisect_right(ends, start), _FIGURES.sub("9", s))
+
+
+def head_key(template: str) -> int:
+    """The key of a sentence's first word and length, by which Slots.count() knows the ones to look at."""
+    w = template.split()
+    h = (_word_hash(w[0]) * _A + len(w) * _B) & ((1 << 64) - 1)
+    return h - (1 << 63) or 1
+
 
 def _key(kind: str, s: str) -> int:
     return h64(kind + s)
@@ -281,7 +307,7 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
                     if FILLER.search(s) or latin(s):
                         out.append((k, "filler", 0, 0, True, short, 0))
                     elif short or wrong:
-                        out.append((k, "page", _key("s", s), 0, wrong, short and " " in s, _key("f", head_of(s.split()))))
+                        out.append((k, "page", _key("s", s), 0, wrong, short and " " in s, head_key(s)))
             yield pd.DataFrame(out, columns=["k", "kind", "h", "what", "sure", "short", "lead"])
 
     found = cut(rows.mapInPandas(look, "k string, kind string, h bigint, what bigint, sure boolean, short boolean, lead bigint"))
@@ -307,31 +333,21 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
                     memo[kind + s] = h
             return h
 
-        def marked_templates(text: str) -> list[str]:
-            """templates(), without the trouble of those whose first word and length are not marked."""
-            out = {}
-            for s in _CUT.split(text):
-                w = s.split()
-                if w and (not w[0][0].isalpha() or marked_key("f", head_of(w))):
-                    for x in templates(s):
-                        out[x] = None
-            return list(out)
-
         words: dict[int, int] = defaultdict(int)
         uses: dict[int, list[int]] = defaultdict(lambda: [0, 0])
         for pdf in it:
             texts = list(pdf["t"])
             for i in range(0, len(texts), 500):
-                at_slots.count(texts[i : i + 500], words)
-            for t in texts:
-                short = None
-                for s in marked_templates(t):
-                    h = marked_key("s", s)
+                part = texts[i : i + 500]
+                met: set[tuple[int, int]] = set()
+                at_slots.count(part, words, lambda d, s, met=met: met.add((d, marked_key("s", s))))
+                short: dict[int, bool] = {}
+                for d, h in met:
                     if h:
-                        short = is_short(t) if short is None else short
-                        u = uses[h]
-                        u[0] += 1
-                        u[1] += short
+                        if d not in short:
+                            short[d] = is_short(part[d])
+                        uses[h][0] += 1
+                        uses[h][1] += short[d]
             if len(words) + len(uses) > 200_000:
                 yield _counts(words, uses)
                 words.clear()
