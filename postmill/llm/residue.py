@@ -36,9 +36,9 @@ WEAK = re.compile(r"(?<![\w-])(?:null|NULL|undefined|None|NaN|N/A|n/a|TBD(?:-TBD
 # The opening words of filler and sample sentences.
 FILLER = re.compile(
     r"^(?:sample|dummy|example|placeholder|filler|test) (?:text|content|copy)\b|^job description goes here|^insert (?:the )?text\b|^to be completed by|^(?:text|content) goes here"
-    r"|^(?:blindtext|mustertext|beispieltext|platzhaltertext|fülltext)\b|^hier (?:steht|kommt|folgt) (?:später |noch )?(?:die|der) (?:stellen|text)|^wird (?:noch )?(?:von|vom|durch) .{3,40}(?:ergänzt|ausgefüllt)"
-    r"|^exempeltext\b|^provtext\b|^här kommer annons|^fylls i av|^eksempeltekst|^her kommer (?:job|stillings)?opslag|^udfyldes af|^testtekst\b"
-    r"|^(?:texte|contenu) (?:d'exemple|factice|provisoire|de remplissage|à remplacer)|^ici viendra|^à compléter par|^(?:texto|contenido) de (?:ejemplo|muestra|relleno|prueba)|^aquí irá|^pendiente de completar"
+    r"|^(?:blindtext|mustertext|beispieltext|platzhaltertext|fülltext)\b|^(?:text|inhalt|beschreibung|stellenbeschreibung) folgt\b|^hier (?:steht|kommt|folgt) (?:später |noch )?(?:die|der) (?:stellen|text)|^wird (?:noch )?(?:von|vom|durch) .{3,40}(?:ergänzt|ausgefüllt)"
+    r"|^exempeltext\b|^provtext\b|^här kommer annons|^fylls i av|^eksempeltekst|^her kommer (?:job|stillings)?opslag|^udfyldes af|^testtekst\b|^(?:tekst|text|beskrivelse|beskrivning) (?:følger|kommer)\b"
+    r"|^(?:texte|contenu) (?:d'exemple|factice|provisoire|de remplissage|à remplacer|à compléter|à venir)|^ici viendra|^à compléter par|^(?:texto|contenido) de (?:ejemplo|muestra|relleno|prueba)|^aquí irá|^pendiente de completar"
     r"|^(?:asdf|qwer|bla|test|text|xxx|blah|foo|lorem)(?: (?:asdf|qwer|bla|test|text|xxx|blah|foo|bar|ipsum|\d+))*$",
 )
 # Words of error, access and script messages.
@@ -75,10 +75,10 @@ ERROR_HINTS = ("not found", "be found", "404", "http ", "error ", "fel ", "fehle
                "no encontramos", "not exist", "denied", "forbidden", "nekad", "nægtet", "refusé", "denegado", "verweigert", "expired", "gått ut", "udløbet", "expiré",
                "caducado", "abgelaufen", "unavailable", "tillfälligt", "øjeblikket", "indisponible", "no disponible", "erreichbar", "went wrong", "javascript",
                "script", "skript", "robot", "you are human", "your browser", "captcha", "loading vacancy")
-FILLER_HINTS = ("sample ", "dummy", "example ", "placeholder", "filler", "test ", "goes here", "insert ", "completed by", "text text", "text goes", "blindtext",
+FILLER_HINTS = ("sample ", "dummy", "example ", "placeholder", "filler", "test ", "folgt", "følger", "text kommer", "goes here", "insert ", "completed by", "text text", "text goes", "blindtext",
                 "mustertext", "beispieltext", "platzhaltertext", "fülltext", "hier steht", "hier kommt", "hier folgt", "ergänzt", "ausgefüllt", "exempeltext", "provtext",
                 "här kommer", "fylls i", "eksempeltekst", "her kommer", "udfyldes", "testtekst", "d'exemple", "factice", "provisoire", "remplissage", "à remplacer",
-                "ici viendra", "à compléter", "de ejemplo", "de muestra", "de relleno", "de prueba", "aquí irá", "pendiente de", "asdf", "qwer", "bla bla", "xxx", "foo bar",
+                "ici viendra", "à compléter", "à venir", "de ejemplo", "de muestra", "de relleno", "de prueba", "aquí irá", "pendiente de", "asdf", "qwer", "bla bla", "xxx", "foo bar",
                 "lorem", "ipsum", "dolor ")
 _PERCENT = re.compile(r"%[A-Z]")
 _MAYBE = re.compile(r"[.!?]\s*$|[{}@#$_●■□…?%]|\b(?:null|NULL|undefined|None|NaN|N/A|n/a|TB[DC]|TODO|FIXME|XXX|xxx)")
@@ -283,8 +283,8 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
     * Null and empty texts are no cases; texts of any length are read whole. Rows with one key are
       taken together. A null key is a key. Other columns are ignored.
     * Repeated rows and copies count once each towards slots and templates, like any other record.
-    * An unmistakable form (a variable in braces, a run of underscores) at a position met nowhere
-      else is residue too; a word like null is so only in a slot.
+    * An unmistakable form (a variable in braces, a run of underscores) at a position where nothing
+      else stands is residue too in at most two records; a word like null is so only in a slot.
 
     Nothing grows with the data in the driver: positions and templates of interest are marked in a
     filter of fixed size; the statistics are combined per task and joined back by hash. What a
@@ -361,8 +361,11 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
     stats = rows.select("t").mapInPandas(count, "h bigint, bits bigint, n bigint, m bigint").groupBy("h").agg(
         F.bit_count(F.bit_or("bits")).alias("fillers"), F.sum("n").alias("n"), F.sum("m").alias("m")
     )
-    joined = found.join(stats, "h", "left")
-    slot = (F.col("kind") == "slot") & ((F.col("fillers") >= min_fillers) | (F.col("sure") & (F.coalesce("fillers", F.lit(0)) == 0)))
+    # In how many records residue stands at a position: a sentence that is always written so comes in many.
+    shared = found.where("kind = 'slot'").groupBy("h").agg(F.count_distinct("k").alias("records"))
+    joined = found.join(stats, "h", "left").join(shared, "h", "left")
+    rare = F.col("sure") & (F.coalesce("fillers", F.lit(0)) <= 1) & (F.col("records") <= 2)
+    slot = (F.col("kind") == "slot") & ((F.col("fillers") >= min_fillers) | rare)
     whole = (F.col("n") >= MIN_PAGES) & (F.col("m") >= F.col("n") * WHOLE_PAGE)
     page = (F.col("kind") == "page") & F.when(F.col("sure"), whole | (F.col("short") & (F.col("m") * 2 > F.col("n")))).otherwise(whole & F.col("short") & (F.col("n") >= 10 * MIN_PAGES) & (F.col("m") >= F.col("n") * 0.9))
     why = F.when(F.col("kind") == "filler", "filler").when(slot, "placeholder").when(page, "page")

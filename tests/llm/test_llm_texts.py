@@ -114,6 +114,7 @@ def slot_rows():
     rows += [(f"p{i}", f"The contract with {x} runs for 3 months.\n{body}") for i, x in enumerate(["null", "{job_title}", "__________", "[Company Name]", "<<NAME>>"])]
     rows += [(f"e{i}", "404 Not Found\nThe page you were looking for could not be found.") for i in range(4)]
     rows += [("f", f"Sample text, replace before publishing.\n{body}"), ("l", f"Lorem ipsum dolor sit amet vix.\n{body}"), ("script", f"{body}\nJavaScript is switched off; some features may not work.")]
+    rows += [("rare", f"{body}\nZebras in ${{town}} graze."), ("soon", "Text folgt in Kürze durch die Fachabteilung.")]
     return rows + [("empty", ""), ("null", None), (None, "Access denied. You do not have permission to view this page."), ("long", body * 300)]
 
 
@@ -121,7 +122,7 @@ def test_residue(spark):
     rows = slot_rows()
     df = spark.createDataFrame([(*r, "x") for r in rows + rows[-1:]], "dedupe_key string, description_text string, reason string")
     got = {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()}
-    want = {f"p{i}": "placeholder" for i in range(5)} | {f"e{i}": "page" for i in range(4)} | {"f": "filler", "l": "filler", None: "page"}
+    want = {f"p{i}": "placeholder" for i in range(5)} | {f"e{i}": "page" for i in range(4)} | {"f": "filler", "l": "filler", "soon": "filler", "rare": "placeholder", None: "page"}
     assert got == want
     assert residue.find_residue(df.limit(0)).count() == 0
 
