@@ -75,11 +75,6 @@ ERROR_HINTS = ("not found", "be found", "404", "http ", "error ", "fel ", "fehle
                "no encontramos", "not exist", "denied", "forbidden", "nekad", "nægtet", "refusé", "denegado", "verweigert", "expired", "gått ut", "udløbet", "expiré",
                "caducado", "abgelaufen", "unavailable", "tillfälligt", "øjeblikket", "indisponible", "no disponible", "erreichbar", "went wrong", "javascript",
                "script", "skript", "robot", "you are human", "your browser", "captcha", "loading vacancy")
-FILLER_HINTS = ("sample ", "dummy", "example ", "placeholder", "filler", "test ", "folgt", "følger", "text kommer", "goes here", "insert ", "completed by", "text text", "text goes", "blindtext",
-                "mustertext", "beispieltext", "platzhaltertext", "fülltext", "hier steht", "hier kommt", "hier folgt", "ergänzt", "ausgefüllt", "exempeltext", "provtext",
-                "här kommer", "fylls i", "eksempeltekst", "her kommer", "udfyldes", "testtekst", "d'exemple", "factice", "provisoire", "remplissage", "à remplacer",
-                "ici viendra", "à compléter", "à venir", "de ejemplo", "de muestra", "de relleno", "de prueba", "aquí irá", "pendiente de", "asdf", "qwer", "bla bla", "xxx", "foo bar",
-                "lorem", "ipsum", "dolor ")
 _PERCENT = re.compile(r"%[A-Z]")
 _MAYBE = re.compile(r"[.!?]\s*$|[{}@#$_●■□…?%]|\b(?:null|NULL|undefined|None|NaN|N/A|n/a|TB[DC]|TODO|FIXME|XXX|xxx)")
 _FIGURES = re.compile(r"\d+(?:[.,:]\d+)*")
@@ -100,27 +95,14 @@ def squashed(s: str) -> str:
 
 @lru_cache(maxsize=1)
 def hints() -> ahocorasick.Automaton:
-    """Finds the openings of error and filler sentences in one pass over a text."""
+    """Says in one pass whether a template can match ERROR."""
     auto = ahocorasick.Automaton()
-    for h in (*ERROR_HINTS, *FILLER_HINTS):
+    for h in ERROR_HINTS:
         auto.add_word(h, h)
     auto.make_automaton()
     return auto
 
 
-def hinted(text: str) -> str:
-    """The lines of a text with a hint, in lower case."""
-    low = text.lower()
-    out, end = [], -1
-    for at, _ in hints().iter(low):
-        if at > end:
-            start = low.rfind("\n", 0, at) + 1
-            end = low.find("\n", at)
-            end = len(low) if end < 0 else end
-            out.append(low[start:end])
-    return "\n".join(out)
-
-
 def templates(text: str) -> list[str]:
     """The distinct sentences of a text as templates; menus (lines of separated items) left out."""
     out = {}
@@ -136,9 +118,35 @@ def is_short(text: str) -> bool:
     return sum(1 for _ in zip(_SENTENCE.finditer(text), range(SHORT + 1))) <= SHORT
 
 
+class _Latin(dict):
+    """By token: how many words it holds, and 1 << 32 for each that is in LATIN."""
+
+    def __missing__(self, token: str) -> int:
+        words = _WORD.findall(token.casefold())
+        n = len(words) + (sum(map(LATIN.__contains__, words)) << 32)
+        if len(self) < 300_000:
+            self[token] = n
+        return n
+
+
+_latin = _Latin()
+
+
 def latin(sentence: str) -> bool:
-    words = _WORD.findall(sentence.casefold())
-    return len(words) >= 5 and sum(w in LATIN for w in words) >= 0.7 * len(words)
+    found = sum(map(_latin.__getitem__, sentence.split()))
+    words = found & 0xFFFFFFFF
+    return words >= 5 and found >> 32 >= 0.7 * words
+
+
+def telling(text: str) -> list[tuple[str, bool, bool]]:
+    """(template, filler, wrong) for every sentence of a text that is filler or speaks of an error."""
+    out = []
+    for s in templates(text):
+        # A template has one space between words, so the hints miss none that ERROR matches.
+        filler, wrong = FILLER.match(s) is not None or latin(s), next(hints().iter(s), None) is not None and ERROR.search(s) is not None
+        if filler or wrong:
+            out.append((s, filler, wrong))
+    return out
 
 
 def _before(line: str, at: int) -> str:
@@ -296,15 +304,18 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Candidates: residue forms, sentences of short records, filler."""
+        # Every line is read; the memo of limited size saves reading those that recur.
+        read = lru_cache(maxsize=100_000)(telling)
         for pdf in it:
             out = []
             for k, t in zip(pdf["k"], pdf["t"]):
                 for pos, what, strong in residues(t):
                     out.append((k, "slot", position_key(pos), h64(what.casefold()), strong, False, 1))
                 short = is_short(t)
-                for s in templates(t if short else hinted(t)):
-                    wrong = bool(ERROR.search(s))
-                    if FILLER.search(s) or latin(s):
+                said = {s: (filler, wrong) for line in t.split("\n") for s, filler, wrong in read(line)}
+                for s in templates(t) if short else said:
+                    filler, wrong = said.get(s, (False, False))
+                    if filler:
                         out.append((k, "filler", 0, 0, True, short, 0))
                     elif short or wrong:
                         out.append((k, "page", _key("s", s), 0, wrong, short and " " in s, head_key(s)))

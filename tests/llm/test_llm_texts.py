@@ -168,3 +168,15 @@ def test_quality_defined_results(spark):
     out = quality.text_quality(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()
     assert len(out) == 8 and {r.doc_id: r.kind for r in out}[None] == "blank" and {r.doc_id: r.kind for r in out}[10] == "junk"
     assert all(abs(r.prose_share + r.list_share + r.table_share + r.junk_share - 1) < 1e-9 for r in out if r.kind != "blank")
+
+
+def test_long_records_are_read_whole(spark):
+    body = "\n".join(f"You visit site number {i} and write about what people need." for i in range(8))
+    odd = ["blah blah blah", "test", "Celsa vela amet nobil vela mundo dubit prava.", "Vela, mundo/erat (vix)\nCelsa vela nobil-vela mundo.", "Fylls  i av avdelningen.", "Wird noch von der Abteilung\xa0 ergänzt."]
+    rows = [(f"o{i}", f"{body}\n{x}") for i, x in enumerate(odd)] + [("plain", body), ("test", f"{body}\nTest the pumps in May.")]
+    df = spark.createDataFrame(rows, "dedupe_key string, description_text string")
+    assert {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()} == {f"o{i}": "filler" for i in range(len(odd))}
+    # What is passed over by hints and memos is what the patterns alone pass over.
+    for x in [*odd, *(t for _, t in slot_rows() if t), "Http  error 500", "Please enable\tJavaScript now.", "Seite  nicht  gefunden"]:
+        plain = [(s, bool(residue.FILLER.search(s)) or residue.latin(s), bool(residue.ERROR.search(s))) for s in residue.templates(x)]
+        assert residue.telling(x) == [p for p in plain if p[1] or p[2]]
