@@ -58,6 +58,7 @@ LATIN = set(
 MIN_FILLERS = 8  # different words that make a position a slot
 SHORT = 5  # sentences up to which a record counts as a whole-page message
 WHOLE_PAGE = 0.6  # share of a sentence's records that are short, from which it is an error template
+OTHERS = 2  # records with an unmistakable form for each different filler at its position, up to which it is residue
 MIN_PAGES = 3  # records that a sentence must recur in
 POSITIONS = 1 << 22  # size of the filter that says which positions are looked at: 4 M places
 
@@ -202,6 +203,19 @@ def position_key(pos: str) -> int:
     return h - (1 << 63) or 1
 
 
+def span_bit(words: list[str]) -> int:
+    """The bit by which Slots.count() knows what stands at a position, as one word or a span of up to three; 0 for longer ones."""
+    if len(words) == 1:
+        w = words[0]
+        return 1 << (hash_word(w[:-1] if w[-1] in _END and len(w) > 1 else w) & 63)
+    if len(words) > 3:
+        return 0
+    inner = [_word_hash(_FIGURES.sub("9", w)) for w in words[:-1]]
+    last = words[-1].rstrip(_END) or words[-1]
+    h = inner[0] * _A + _word_hash(last) * _B + (inner[1] * (_A ^ _B) if len(inner) > 1 else 0)
+    return 1 << ((h & ((1 << 64) - 1)) >> 58)
+
+
 class Slots:
     """What stands at the marked positions of many texts, word by word, aligned like residues().
 
@@ -235,8 +249,8 @@ class Slots:
         self.number[w] = n = len(self.rows) - 1
         return n
 
-    def count(self, texts: list[str], words: dict[int, int], sentences: Callable[[int, str], None] = lambda d, s: None) -> None:
-        """Or the bits of the words at marked positions into ``words``; pass on the number of the text and the template of every sentence whose head is marked."""
+    def count(self, texts: list[str], words: dict[int, int], sentences: Callable[[int, str], None] = lambda d, s: None, spans: dict[int, int] | None = None) -> None:
+        """Or the bits of the words at marked positions into ``words``, those of two or three words into ``spans``; pass on the number of the text and the template of every sentence whose head is marked."""
         if len(self.rows) > self.LIMIT:
             self.start()
         number, add = self.number, self.add
@@ -259,6 +273,8 @@ class Slots:
         on = self.marked[key % POSITIONS]
         for k, b in zip(key[on].tolist(), rows[on, 3].tolist()):
             words[k or 1] |= b
+        if spans is not None:
+            self.count_spans(np.r_[at, 0, 0], here, table, spans)
 
         # Sentences start at the start of a line or after a full stop; a bullet does not belong to them.
         ended = table[at[here - 1], 5] & np.uint64(1)
@@ -274,6 +290,23 @@ class Slots:
                 sentences(bisect_right(ends, start), _FIGURES.sub("9", s))
 
 
+    def count_spans(self, at: np.ndarray, here: np.ndarray, table: np.ndarray, spans: dict[int, int]) -> None:
+        """Or the bits of spans of two and three words at marked positions into ``spans``; no word but the last has a stop."""
+        before, inner = table[at[here - 1], 0] * np.uint64(_A), table[at[here], 4] * np.uint64(_A)
+        goes_on = table[at[here], 2] == 0
+        for n in (1, 2):
+            goes_on = goes_on & (at[here + n] != 0)
+            last = table[at[here + n]]
+            key = before + np.where(last[:, 2] > 0, last[:, 2], table[at[here + n + 1], 1]) * np.uint64(_B)
+            key = (key ^ np.uint64(1 << 63)).view(np.int64)
+            on = np.nonzero(goes_on & self.marked[key % POSITIONS])[0]
+            bits = (inner[on] + last[on, 1] * np.uint64(_B)) >> np.uint64(58)
+            for k, b in zip(key[on].tolist(), bits.tolist()):
+                spans[k or 1] = spans.get(k or 1, 0) | 1 << b
+            inner = inner + last[:, 4] * np.uint64(_A ^ _B)
+            goes_on = goes_on & (last[:, 2] == 0)
+
+
 def head_key(template: str) -> int:
     """The key of a sentence's first word and length, by which Slots.count() knows the ones to look at."""
     w = template.split()
@@ -291,8 +324,10 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
     * Null and empty texts are no cases; texts of any length are read whole. Rows with one key are
       taken together. A null key is a key. Other columns are ignored.
     * Repeated rows and copies count once each towards slots and templates, like any other record.
-    * An unmistakable form (a variable in braces, a run of underscores) at a position where nothing
-      else stands is residue too in at most two records; a word like null is so only in a slot.
+    * An unmistakable form (a variable in braces, a run of underscores) is residue too where other
+      fillers, of up to three words, stand at its position, at least one for every two records with
+      such a form, and in at most two records where nothing else stands. A word like null is so only
+      in a slot.
 
     Nothing grows with the data in the driver: positions and templates of interest are marked in a
     filter of fixed size; the statistics are combined per task and joined back by hash. What a
@@ -310,18 +345,18 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
             out = []
             for k, t in zip(pdf["k"], pdf["t"]):
                 for pos, what, strong in residues(t):
-                    out.append((k, "slot", position_key(pos), h64(what.casefold()), strong, False, 1))
+                    out.append((k, "slot", position_key(pos), signed(span_bit(what.casefold().split())), " " in what, strong, False, 1))
                 short = is_short(t)
                 said = {s: (filler, wrong) for line in t.split("\n") for s, filler, wrong in read(line)}
                 for s in templates(t) if short else said:
                     filler, wrong = said.get(s, (False, False))
                     if filler:
-                        out.append((k, "filler", 0, 0, True, short, 0))
+                        out.append((k, "filler", 0, 0, False, True, short, 0))
                     elif short or wrong:
-                        out.append((k, "page", _key("s", s), 0, wrong, short and " " in s, head_key(s)))
-            yield pd.DataFrame(out, columns=["k", "kind", "h", "what", "sure", "short", "lead"])
+                        out.append((k, "page", _key("s", s), 0, False, wrong, short and " " in s, head_key(s)))
+            yield pd.DataFrame(out, columns=["k", "kind", "h", "bit", "span", "sure", "short", "lead"])
 
-    found = cut(rows.mapInPandas(look, "k string, kind string, h bigint, what bigint, sure boolean, short boolean, lead bigint"))
+    found = cut(rows.mapInPandas(look, "k string, kind string, h bigint, bit bigint, span boolean, sure boolean, short boolean, lead bigint"))
     places = F.transform(F.array("h", "lead"), lambda x: F.pmod(x, F.lit(POSITIONS)).cast("int"))
     marked = found.where("kind <> 'filler'").select(F.explode(places).alias("p")).distinct().toPandas()["p"].to_numpy()
     bits = np.zeros(POSITIONS, dtype=bool)
@@ -345,13 +380,14 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
             return h
 
         words: dict[int, int] = defaultdict(int)
+        spans: dict[int, int] = {}
         uses: dict[int, list[int]] = defaultdict(lambda: [0, 0])
         for pdf in it:
             texts = list(pdf["t"])
             for i in range(0, len(texts), 500):
                 part = texts[i : i + 500]
                 met: set[tuple[int, int]] = set()
-                at_slots.count(part, words, lambda d, s, met=met: met.add((d, marked_key("s", s))))
+                at_slots.count(part, words, lambda d, s, met=met: met.add((d, marked_key("s", s))), spans)
                 short: dict[int, bool] = {}
                 for d, h in met:
                     if h:
@@ -359,29 +395,38 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
                             short[d] = is_short(part[d])
                         uses[h][0] += 1
                         uses[h][1] += short[d]
-            if len(words) + len(uses) > 200_000:
-                yield _counts(words, uses)
+            if len(words) + len(spans) + len(uses) > 200_000:
+                yield _counts(words, spans, uses)
                 words.clear()
+                spans.clear()
                 uses.clear()
-        yield _counts(words, uses)
+        yield _counts(words, spans, uses)
 
-    def _counts(words: dict, uses: dict) -> pd.DataFrame:
-        a = [(h, b - (1 << 64) if b >> 63 else b, 0, 0) for h, b in words.items()]
-        return pd.DataFrame(a + [(h, 0, n, m) for h, (n, m) in uses.items()], columns=["h", "bits", "n", "m"])
+    def _counts(words: dict, spans: dict, uses: dict) -> pd.DataFrame:
+        a = [(h, signed(b), 0, 0, 0) for h, b in words.items()] + [(h, 0, signed(b), 0, 0) for h, b in spans.items()]
+        return pd.DataFrame(a + [(h, 0, 0, n, m) for h, (n, m) in uses.items()], columns=["h", "bits", "spans", "n", "m"])
 
-    stats = rows.select("t").mapInPandas(count, "h bigint, bits bigint, n bigint, m bigint").groupBy("h").agg(
-        F.bit_count(F.bit_or("bits")).alias("fillers"), F.sum("n").alias("n"), F.sum("m").alias("m")
+    stats = rows.select("t").mapInPandas(count, "h bigint, bits bigint, spans bigint, n bigint, m bigint").groupBy("h").agg(
+        F.bit_or("bits").alias("bits"), F.bit_or("spans").alias("spans"), F.sum("n").alias("n"), F.sum("m").alias("m")
     )
     # In how many records residue stands at a position: a sentence that is always written so comes in many.
-    shared = found.where("kind = 'slot'").groupBy("h").agg(F.count_distinct("k").alias("records"))
+    own = [F.bit_or(F.when(F.col("span") == x, F.col("bit")).otherwise(0)).alias(n) for n, x in (("own", False), ("own_spans", True))]
+    shared = found.where("kind = 'slot'").groupBy("h").agg(F.count_distinct("k").alias("records"), *own)
     joined = found.join(stats, "h", "left").join(shared, "h", "left")
-    rare = F.col("sure") & (F.coalesce("fillers", F.lit(0)) <= 1) & (F.col("records") <= 2)
-    slot = (F.col("kind") == "slot") & ((F.col("fillers") >= min_fillers) | rare)
+    fillers = F.coalesce(F.bit_count("bits"), F.lit(0))
+    # Words and spans that stand at the position besides the forms of residue.
+    others = sum(F.coalesce(F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y))), F.lit(0)) for x, y in (("bits", "own"), ("spans", "own_spans")))
+    rare = F.col("sure") & ((others > 0) & (others * OTHERS >= F.col("records")) | (F.col("records") <= 2))
+    slot = (F.col("kind") == "slot") & ((fillers >= min_fillers) | rare)
     whole = (F.col("n") >= MIN_PAGES) & (F.col("m") >= F.col("n") * WHOLE_PAGE)
     page = (F.col("kind") == "page") & F.when(F.col("sure"), whole | (F.col("short") & (F.col("m") * 2 > F.col("n")))).otherwise(whole & F.col("short") & (F.col("n") >= 10 * MIN_PAGES) & (F.col("m") >= F.col("n") * 0.9))
     why = F.when(F.col("kind") == "filler", "filler").when(slot, "placeholder").when(page, "page")
     return joined.withColumn("reason", why).where(F.col("reason").isNotNull()).groupBy(F.col("k").alias(key)).agg(F.min("reason").alias("reason"))
 
 
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def hash_word(w: str) -> int:
     return xxhash.xxh32_intdigest(w)

@@ -180,3 +180,16 @@ def test_long_records_are_read_whole(spark):
     for x in [*odd, *(t for _, t in slot_rows() if t), "Http  error 500", "Please enable\tJavaScript now.", "Seite  nicht  gefunden"]:
         plain = [(s, bool(residue.FILLER.search(s)) or residue.latin(s), bool(residue.ERROR.search(s))) for s in residue.templates(x)]
         assert residue.telling(x) == [p for p in plain if p[1] or p[2]]
+
+
+def test_unmistakable_forms_where_few_fillers_stand(spark):
+    rows = slot_rows()
+    body = rows[0][1].split("\n")[1]
+    for i, who in enumerate(["Eva Lind", "Per Dahl", "{{contact}}", "{{contact}}", "{{contact}}", "<<FULL NAME>>"]):
+        rows.append((f"s{i}", f"{body}\nPlease write to {who} before summer."))
+    for i, who in enumerate(["Olsen", "Dahl", "Krog", "{{desk}}", "{{desk}}", "{{desk}}"]):
+        rows.append((f"w{i}", f"{body}\nLetters reach {who} by noon."))
+    df = spark.createDataFrame(rows, "dedupe_key string, description_text string")
+    got = {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()}
+    assert {k for k in got if k and k[0] in "sw" and k != "soon"} == {"s2", "s3", "s4", "s5", "w3", "w4", "w5"}
+    assert not {"c0", "c1", "c2"} & set(got)
