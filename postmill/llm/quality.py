@@ -93,13 +93,14 @@ def sign(t: str) -> int:
 
 
 _known: dict[str, int] = {}
+LENGTH = 12 + len(LANGS)  # the bit from which a token's code holds its length, above the languages
 
 
 def coded(t: str) -> int:
-    """A token's sign, length, whether it is a word, and languages of which it is a function word, in one number."""
+    """A token's sign, whether it is a word, languages of which it is a function word, and its length, in one number."""
     low = t.casefold()
     langs = sum(1 << i for i in BY_LANG.get(low, ()))
-    code = sign(t) | min(len(t), 63) << 5 | t[0].isalpha() << 11 | langs << 12
+    code = sign(t) | t[0].isalpha() << 11 | langs << 12 | len(t) << LENGTH
     if len(_known) < 300_000:
         _known[t] = code
     return code
@@ -303,7 +304,7 @@ def measured(texts: list[str], profiles: Profiles) -> list[tuple]:
             settled(kinds[part], shape[part], size[part])
     n = len(texts)
     token = np.repeat(of, count)
-    kind, length, alpha = code & 31, code >> 5 & 63, code >> 11 & 1
+    kind, length, alpha = code & 31, code >> LENGTH, code >> 11 & 1
     total = lambda where, weight=None: np.bincount(token[where], weights=None if weight is None else weight[where], minlength=n)
     words, letters = total(alpha == 1), total(alpha == 1, length)
     solid = np.maximum(total(kind != S["gap"], length), 1)

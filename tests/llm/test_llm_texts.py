@@ -193,3 +193,12 @@ def test_unmistakable_forms_where_few_fillers_stand(spark):
     got = {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()}
     assert {k for k in got if k and k[0] in "sw" and k != "soon"} == {"s2", "s3", "s4", "s5", "w3", "w4", "w5"}
     assert not {"c0", "c1", "c2"} & set(got)
+
+
+def test_long_tokens_count_whole():
+    p = quality.Profiles.load()
+    for n in (63, 64, 76, 10_000, 3_000_000):
+        m = dict(zip(quality.FIGURES, quality.measured(["a" * n + " " + "5" * n + " ab"], p)[0]))
+        assert m["n_words"] == 2 and m["mean_word_length"] == (n + 2) / 2 and abs(m["digit_ratio"] - n / (2 * n + 2)) < 1e-12
+    d = dict(zip(quality.FIGURES, quality.measured(["we read " + "=" * 500], p)[0]))
+    assert d["symbol_ratio"] == 500 / 506 and d["mean_word_length"] == 3 and d["verbal_words"] == 0.5
