@@ -286,8 +286,7 @@ class Slots:
         for i in np.nonzero(self.marked[head % POSITIONS])[0].tolist():
             start = int(here[first[i]])
             s = " ".join([self.text[j] for j in ids[start : start + int(last[i] - first[i])]])
-            if len(s) < 400:
-                sentences(bisect_right(ends, start), _FIGURES.sub("9", s))
+            sentences(bisect_right(ends, start), _FIGURES.sub("9", s))
 
 
     def count_spans(self, at: np.ndarray, here: np.ndarray, table: np.ndarray, spans: dict[int, int]) -> None:
@@ -375,7 +374,7 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
             if h is None:
                 h = _key(kind, s)
                 h = h if on[h % POSITIONS] else 0
-                if len(memo) < 400_000:
+                if len(memo) < 400_000 and len(s) < 400:
                     memo[kind + s] = h
             return h
 

@@ -202,3 +202,11 @@ def test_long_tokens_count_whole():
         assert m["n_words"] == 2 and m["mean_word_length"] == (n + 2) / 2 and abs(m["digit_ratio"] - n / (2 * n + 2)) < 1e-12
     d = dict(zip(quality.FIGURES, quality.measured(["we read " + "=" * 500], p)[0]))
     assert d["symbol_ratio"] == 500 / 506 and d["mean_word_length"] == 3 and d["verbal_words"] == 0.5
+
+
+def test_error_lines_of_any_length(spark):
+    long = "The page was not found, " + "and you may look for it in the other parts of this site or ask the people who keep it, " * 6 + "thank you"
+    body = "\n".join(f"You visit site number {i} and write about what people need." for i in range(8))
+    rows = [(f"e{i}", long) for i in range(4)] + [("plain", body)]
+    df = spark.createDataFrame(rows, "dedupe_key string, description_text string")
+    assert {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()} == {f"e{i}": "page" for i in range(4)}
