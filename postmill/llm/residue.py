@@ -418,7 +418,7 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
     rare = F.col("sure") & ((others > 0) & (others * OTHERS >= F.col("records")) | (F.col("records") <= 2))
     slot = (F.col("kind") == "slot") & ((fillers >= min_fillers) | rare)
     whole = (F.col("n") >= MIN_PAGES) & (F.col("m") >= F.col("n") * WHOLE_PAGE)
-    page = (F.col("kind") == "page") & F.when(F.col("sure"), whole | (F.col("short") & (F.col("m") * 2 > F.col("n")))).otherwise(whole & F.col("short") & (F.col("n") >= 10 * MIN_PAGES) & (F.col("m") >= F.col("n") * 0.9))
+    page = (F.col("kind") == "page") & F.when(F.col("sure"), whole | (F.col("short") & (F.col("m") * 2 > F.col("n")))).otherwise(whole & F.col("short"))
     why = F.when(F.col("kind") == "filler", "filler").when(slot, "placeholder").when(page, "page")
     return joined.withColumn("reason", why).where(F.col("reason").isNotNull()).groupBy(F.col("k").alias(key)).agg(F.min("reason").alias("reason"))
 

@@ -210,3 +210,11 @@ def test_error_lines_of_any_length(spark):
     rows = [(f"e{i}", long) for i in range(4)] + [("plain", body)]
     df = spark.createDataFrame(rows, "dedupe_key string, description_text string")
     assert {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()} == {f"e{i}": "page" for i in range(4)}
+
+
+def test_unlisted_error_pages_by_recurrence(spark):
+    body = "\n".join(f"You visit site number {i} and write about what people need." for i in range(8))
+    rows = [(f"e{i}", "Oops, this shelf is bare at present.") for i in range(3)] + [(f"two{i}", "Nothing to see on this shelf.") for i in range(2)]
+    rows += [(f"v{i}", f"{body}\nThe kettle is always warm.") for i in range(3)] + [("v3", "The kettle is always warm.")]
+    df = spark.createDataFrame(rows, "dedupe_key string, description_text string")
+    assert {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()} == {f"e{i}": "page" for i in range(3)}
