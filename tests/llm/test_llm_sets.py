@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -122,3 +123,11 @@ def test_mix_reaches_targets(spark):
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello there, you.", 5), (2, None, 5), (3, "", 5)], "doc_id long, text string, n_tokens int")
     assert {r.doc_id: r.n_tokens for r in sized(df).collect()} == {1: 5, 2: 0, 3: 0}
+
+
+def test_thresholds_that_bands_do_not_hold_are_refused(spark):
+    df = spark.createDataFrame([("a", "one two three four")], "key string, text string")
+    for t in (0.59, 0.4, 0.0, float("nan")):
+        with pytest.raises(ValueError):
+            near_duplicates(df, threshold=t)
+    assert (1 - neardup.LEAST**neardup.ROWS) ** neardup.BANDS < 5e-4
