@@ -33,6 +33,9 @@ STRONG = re.compile(
 )
 WEAK = re.compile(r"(?<![\w-])(?:null|NULL|undefined|None|NaN|N/A|n/a|TBD(?:-TBD)?|TBC(?:-TBC)?|TODO|FIXME|X{3,}|x{3,}|\[[A-Z][\w ]{1,40}\])(?![\w-])")
 
+# Of the forms in brackets, those that no menu or job title has: they count wherever they stand.
+PLAIN_FORM = re.compile(r"<<|<%|\[\[|\[object Object\]|[\[(](?:insert|enter|add|your|fill in|to be|tbd|tbc)\b", re.I)
+
 # The opening words of filler and sample sentences.
 FILLER = re.compile(
     r"^(?:sample|dummy|example|placeholder|filler|test) (?:text|content|copy)\b|^job description goes here|^insert (?:the )?text\b|^to be completed by|^(?:text|content) goes here"
@@ -47,20 +50,24 @@ ERROR = re.compile(
     r"|session (?:has )?expired|gått ut|udløbet|expiré|caducado|abgelaufen|temporarily unavailable|tillfälligt nere|nede i øjeblikket|indisponible|no disponible|nicht erreichbar|went wrong"
     r"|(?:enable|activer?|activa|aktivieren sie|slå på|slå) (?:javascript|scripts)|needs? javascript|(?:skript|script)s?\b.{0,30}(?:run|fonctionner|funcionar|tillåtna|tilladt|eingeschaltet)|eingeschalteten skripten|robot|roboter|you are human|checking your browser|captcha|loading vacancy"
 )
-# The pseudo-Latin of sample paragraphs.
-LATIN = set(
-    """lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim
-    veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum
-    fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum orem celsa dubit
-    erat farem mundo nobil nullis placer prava quorem sentus tincid vela vix""".split()
+# The sample paragraph in common use; first its words that none of the feeds' languages has in use, then its others.
+SEEDS = set(
+    """lorem ipsum dolor amet consectetur consectetuer adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis
+    nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla
+    pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum""".split()
 )
+SEED_TOKENS = SEEDS | {w + end for w in SEEDS for end in ",."}
+SAMPLE = SEEDS | set("sit sed do ut et ad ex ea in non qui est id".split())
 
 MIN_FILLERS = 8  # different words that make a position a slot
 SHORT = 5  # sentences up to which a record counts as a whole-page message
 WHOLE_PAGE = 0.6  # share of a sentence's records that are short, from which it is an error template
 OTHERS = 2  # records with an unmistakable form for each different filler at its position, up to which it is residue
 MIN_PAGES = 3  # records that a sentence must recur in
-POSITIONS = 1 << 22  # size of the filter that says which positions are looked at: 4 M places
+SAMPLE_WORDS = 0.7  # share of a sentence's words that are sample words, from which it is sample text
+BESIDE_SEEDS = 0.5  # share of a word's lines that hold a seed, from which it is a sample word
+MIN_LINES = 3  # lines that a word must come in to be learnt as a sample word
+POSITIONS, MOST = 1 << 22, 1 << 26  # places of the filter that says which positions are looked at: 16 for each, within 4 M and 64 M
 
 _SENTENCE = re.compile(r"\w[^.!?\n]{20,}[.!?](?=\s|$)")
 _CUT = re.compile(r"(?<=[.!?])\s+|\n")
@@ -75,9 +82,12 @@ HINTS = ("{", "<", "[", "@@", "##", "__", "$", "#", "●", "■", "□", "....."
 ERROR_HINTS = ("not found", "be found", "404", "http ", "error ", "fel ", "fehler ", "erreur ", "fejl ", "gefunden", "finns inte", "findes ikke", "introuvable",
                "no encontramos", "not exist", "denied", "forbidden", "nekad", "nægtet", "refusé", "denegado", "verweigert", "expired", "gått ut", "udløbet", "expiré",
                "caducado", "abgelaufen", "unavailable", "tillfälligt", "øjeblikket", "indisponible", "no disponible", "erreichbar", "went wrong", "javascript",
-               "script", "skript", "robot", "you are human", "your browser", "captcha", "loading vacancy")
+               "robot", "you are human", "your browser", "captcha", "loading vacancy")
+FILLER_HINTS = ("sample ", "dummy ", "example ", "placeholder ", "filler ", "test", "description goes", "insert ", "to be completed", " goes here", "text", "inhalt folgt",
+                "beschreibung folgt", "hier steht", "hier kommt", "hier folgt", "wird ", "här kommer", "fylls i", "tekst", "opslag", "udfyldes", "beskrivelse", "beskrivning",
+                "contenu ", "ici viendra", "à compléter", "contenido ", "aquí irá", "pendiente", "asdf", "qwer", "bla", "xxx", "foo", "lorem")
 _PERCENT = re.compile(r"%[A-Z]")
-_MAYBE = re.compile(r"[.!?]\s*$|[{}@#$_●■□…?%]|\b(?:null|NULL|undefined|None|NaN|N/A|n/a|TB[DC]|TODO|FIXME|XXX|xxx)")
+_SCRIPT = re.compile(r"s[ck]ripts?\b")
 _FIGURES = re.compile(r"\d+(?:[.,:]\d+)*")
 _ANY_FIGURE = re.compile(r"\d")
 
@@ -96,9 +106,9 @@ def squashed(s: str) -> str:
 
 @lru_cache(maxsize=1)
 def hints() -> ahocorasick.Automaton:
-    """Says in one pass whether a template can match ERROR."""
+    """Finds in one pass what a line must hold for ERROR or FILLER to match."""
     auto = ahocorasick.Automaton()
-    for h in ERROR_HINTS:
+    for h in (*ERROR_HINTS, *FILLER_HINTS):
         auto.add_word(h, h)
     auto.make_automaton()
     return auto
@@ -119,35 +129,34 @@ def is_short(text: str) -> bool:
     return sum(1 for _ in zip(_SENTENCE.finditer(text), range(SHORT + 1))) <= SHORT
 
 
-class _Latin(dict):
-    """By token: how many words it holds, and 1 << 32 for each that is in LATIN."""
-
-    def __missing__(self, token: str) -> int:
-        words = _WORD.findall(token.casefold())
-        n = len(words) + (sum(map(LATIN.__contains__, words)) << 32)
-        if len(self) < 300_000:
-            self[token] = n
-        return n
-
+_Sample = tuple[str, int, int, list[str]]
 
-_latin = _Latin()
 
+def sample(sentence: str) -> _Sample | None:
+    """(sentence, words, words of SAMPLE, the other words) of a sentence of at least five words; else None."""
+    words = _WORD.findall(sentence)
+    if len(words) < 5:
+        return None
+    others = [w for w in words if w not in SAMPLE]
+    return sentence, len(words), len(words) - len(others), others
 
-def latin(sentence: str) -> bool:
-    found = sum(map(_latin.__getitem__, sentence.split()))
-    words = found & 0xFFFFFFFF
-    return words >= 5 and found >> 32 >= 0.7 * words
 
+def telling(line: str, hinted: bool = True) -> tuple[list[tuple[str, bool, bool]], list[_Sample]]:
+    """(template, filler, wrong) for every sentence of a line that is filler or speaks of an error, and its sentences beside a seed.
 
-def telling(text: str) -> list[tuple[str, bool, bool]]:
-    """(template, filler, wrong) for every sentence of a text that is filler or speaks of an error."""
+    With ``hinted`` a line without any of the hints is not read further; the result is the same.
+    """
+    tokens = line.casefold().split()
+    low, seeded = " ".join(tokens), not SEED_TOKENS.isdisjoint(tokens)
+    if hinted and not seeded and next(hints().iter(low), None) is None and not _SCRIPT.search(low):
+        return [], []
+    said = templates(line)
     out = []
-    for s in templates(text):
-        # A template has one space between words, so the hints miss none that ERROR matches.
-        filler, wrong = FILLER.match(s) is not None or latin(s), next(hints().iter(s), None) is not None and ERROR.search(s) is not None
+    for s in said:
+        filler, wrong = FILLER.match(s) is not None, ERROR.search(s) is not None
         if filler or wrong:
             out.append((s, filler, wrong))
-    return out
+    return out, [x for x in map(sample, said) if x] if seeded else []
 
 
 def _before(line: str, at: int) -> str:
@@ -171,19 +180,16 @@ def _after(line: str, at: int) -> str:
 def residues(text: str) -> list[tuple[str, str, bool]]:
     """(position, what stands there, unmistakable form) for all that may be residue."""
     out: list[tuple[str, str, bool]] = []
-    if not (any(h in text for h in HINTS) or _PERCENT.search(text)):
+    if not (any(h in text for h in HINTS) or "%" in text and _PERCENT.search(text)):
         return out
     for line in text.split("\n"):
-        # A line of a menu or a job title that merely has brackets can't hold a case; see below.
-        if not (any(h in line for h in HINTS) or ("%" in line and _PERCENT.search(line))) or not _MAYBE.search(line):
-            continue
         line = line.replace("\xa0", " ").rstrip("\r")
         spans = [(m.start(), m.end(), True) for m in STRONG.finditer(line)]
         spans += [(m.start(), m.end(), False) for m in WEAK.finditer(line) if not any(a <= m.start() < b for a, b, _ in spans)]
         for a, b, strong in spans:
             what = line[a:b]
-            if what[0] in "[<(" and not re.search(r"[.!?]\s*$", line):
-                # Bracketed words in menus and job titles are no blanks; sentences end in a stop.
+            if what[0] in "[<(" and not re.search(r"[.!?]\s*$", line) and not line[:a].rstrip().endswith(":") and not PLAIN_FORM.match(what):
+                # Bracketed words in menus and job titles are no blanks; they are in sentences, which end in a stop, and after a label.
                 continue
             out.append((f"{_before(line, a)}\0{_after(line, b)}", what, strong))
     return out
@@ -216,8 +222,20 @@ def span_bit(words: list[str]) -> int:
     return 1 << ((h & ((1 << 64) - 1)) >> 58)
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __init__(self, add: Callable[[str], int]) -> None:
+        self.add = add
+        self["\x01"] = 0
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = self.add(w)
+        return n
+
+
 class Slots:
-    """What stands at the marked positions of many texts, word by word, aligned like residues().
+    """What stands at the marked positions of many lines, word by word, aligned like residues().
 
     Words are numbered as they come; everything else is done on arrays of numbers. A word has the
     form it takes before a position, the form it takes after one, the stop at its end, and a bit.
@@ -227,13 +245,15 @@ class Slots:
 
     def __init__(self, marked: np.ndarray) -> None:
         self.marked = marked
+        self.places = np.int64(len(marked))
         self.start()
 
     def start(self) -> None:
         # 0 is the end of a line.
-        self.number: dict[str, int] = {"\x01": 0}
+        self.number = _Numbers(self.add)
         self.text = [""]
         self.rows: list[tuple[int, ...]] = [(_word_hash("^"), _word_hash("$"), 0, 0, 0, 0)]
+        self.table = np.zeros((0, 6), dtype=np.uint64)
 
     def add(self, w: str) -> int:
         end = w[-1]
@@ -243,26 +263,32 @@ class Slots:
         bare = w.rstrip(_END) if len(w) > 1 else w
         self.rows.append((
             _word_hash(before), _word_hash(bare or w), _word_hash(end) if stopped else 0, 1 << (hash_word(w[:-1] if stopped else w) & 63),
-            _word_hash(_FIGURES.sub("9", w)), (end in ".!?") + 2 * bullet,
+            _word_hash(_FIGURES.sub("9", w)), (end in ".!?") + 2 * bullet + 4 * (w in SEED_TOKENS),
         ))
         self.text.append(w)
-        self.number[w] = n = len(self.rows) - 1
-        return n
+        return len(self.rows) - 1
 
-    def count(self, texts: list[str], words: dict[int, int], sentences: Callable[[int, str], None] = lambda d, s: None, spans: dict[int, int] | None = None) -> None:
-        """Or the bits of the words at marked positions into ``words``, those of two or three words into ``spans``; pass on the number of the text and the template of every sentence whose head is marked."""
+    def on(self, key: np.ndarray) -> np.ndarray:
+        return self.marked[key % self.places]
+
+    def count(
+        self, lines: list[str], words: dict[int, int], spans: dict[int, int] | None = None, uses: dict[int, list[int]] | None = None,
+        sentences: Callable[[int, str], None] = lambda n, s: None,
+    ) -> None:
+        """Or the bits of the words at marked positions into ``words``, those of two or three words into ``spans``; add the lines of
+        marked words, and those with a seed, to ``uses``; pass on the number of the line and the template of every sentence whose head is marked."""
         if len(self.rows) > self.LIMIT:
             self.start()
-        number, add = self.number, self.add
+        numbers = self.number.__getitem__
         ids, ends = [0], []
-        for t in texts:
-            for w in t.casefold().replace("\n", " \x01 ").split():
-                n = number.get(w)
-                ids.append(add(w) if n is None else n)
+        for t in lines:
+            ids += map(numbers, t.casefold().replace("\n", " \x01 ").split())
             ids.append(0)
             ends.append(len(ids))
         at = np.array(ids, dtype=np.int64)
-        table = np.array(self.rows, dtype=np.uint64)
+        if len(self.rows) > len(self.table):
+            self.table = np.concatenate((self.table, np.array(self.rows[len(self.table) :], dtype=np.uint64)))
+        table = self.table
         here = np.nonzero(at[1:-1])[0] + 1
         if not len(here):
             return
@@ -270,25 +296,35 @@ class Slots:
         before, after, stop = table[at[here - 1], 0], table[at[here + 1], 1], rows[:, 2]
         key = before * np.uint64(_A) + np.where(stop > 0, stop, after) * np.uint64(_B)
         key = (key ^ np.uint64(1 << 63)).view(np.int64)
-        on = self.marked[key % POSITIONS]
+        on = self.on(key)
         for k, b in zip(key[on].tolist(), rows[on, 3].tolist()):
             words[k or 1] |= b
         if spans is not None:
             self.count_spans(np.r_[at, 0, 0], here, table, spans)
 
+        known = (rows[:, 1] * np.uint64(_B) ^ np.uint64(1 << 63)).view(np.int64)
+        on = np.nonzero(self.on(known))[0]
+        if len(on) and uses is not None:
+            line = np.searchsorted(ends, here)
+            seeded = np.zeros(len(ends), dtype=bool)
+            seeded[line[rows[:, 5] >= 4]] = True
+            for k, x in set(zip(known[on].tolist(), line[on].tolist())):
+                use = uses[k or 1]
+                use[0] += 1
+                use[1] += int(seeded[x])
+
         # Sentences start at the start of a line or after a full stop; a bullet does not belong to them.
         ended = table[at[here - 1], 5] & np.uint64(1)
         first = np.nonzero((at[here - 1] == 0) | (ended == 1))[0]
         last = np.r_[first[1:], len(here)]
-        first = first + ((rows[first, 5] >= 2) & (last - first > 1))
+        first = first + ((rows[first, 5] & np.uint64(2) > 0) & (last - first > 1))
         head = rows[first, 4] * np.uint64(_A) + (last - first).astype(np.uint64) * np.uint64(_B)
         head = (head ^ np.uint64(1 << 63)).view(np.int64)
-        for i in np.nonzero(self.marked[head % POSITIONS])[0].tolist():
+        for i in np.nonzero(self.on(head))[0].tolist():
             start = int(here[first[i]])
             s = " ".join([self.text[j] for j in ids[start : start + int(last[i] - first[i])]])
             sentences(bisect_right(ends, start), _FIGURES.sub("9", s))
 
-
     def count_spans(self, at: np.ndarray, here: np.ndarray, table: np.ndarray, spans: dict[int, int]) -> None:
         """Or the bits of spans of two and three words at marked positions into ``spans``; no word but the last has a stop."""
         before, inner = table[at[here - 1], 0] * np.uint64(_A), table[at[here], 4] * np.uint64(_A)
@@ -298,7 +334,7 @@ class Slots:
             last = table[at[here + n]]
             key = before + np.where(last[:, 2] > 0, last[:, 2], table[at[here + n + 1], 1]) * np.uint64(_B)
             key = (key ^ np.uint64(1 << 63)).view(np.int64)
-            on = np.nonzero(goes_on & self.marked[key % POSITIONS])[0]
+            on = np.nonzero(goes_on & self.on(key))[0]
             bits = (inner[on] + last[on, 1] * np.uint64(_B)) >> np.uint64(58)
             for k, b in zip(key[on].tolist(), bits.tolist()):
                 spans[k or 1] = spans.get(k or 1, 0) | 1 << b
@@ -306,6 +342,12 @@ class Slots:
             goes_on = goes_on & (last[:, 2] == 0)
 
 
+def word_key(w: str) -> int:
+    """The key by which Slots.count() knows a word."""
+    h = (_word_hash(w) * _B) & ((1 << 64) - 1)
+    return h - (1 << 63) or 1
+
+
 def head_key(template: str) -> int:
     """The key of a sentence's first word and length, by which Slots.count() knows the ones to look at."""
     w = template.split()
@@ -317,83 +359,135 @@ def _key(kind: str, s: str) -> int:
     return h64(kind + s)
 
 
+class _Memo(dict):
+    """What was found in each line; of limited size."""
+
+    ROWS, CHARS = 300_000, 60_000_000
+
+    def __init__(self) -> None:
+        self.chars = 0
+
+    def put(self, line: str, found: object) -> None:
+        if len(self) >= self.ROWS or self.chars >= self.CHARS:
+            self.clear()
+            self.chars = 0
+        self[line] = found
+        self.chars += len(line)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Flags for the 64-bit keys in column h: at least 16 places for each within POSITIONS and MOST, gathered as packed pieces."""
+    keys = cut(keys.distinct())
+    places = POSITIONS
+    while places < MOST and places < 16 * keys.count():
+        places *= 2
+    size = 1 << 16
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(size, dtype=bool)
+        flags[pdf["p"].to_numpy() % size] = True
+        return pd.DataFrame({"c": [int(pdf["p"].iloc[0]) // size], "b": [np.packbits(flags).tobytes()]})
+
+    at = keys.select(F.pmod("h", F.lit(places)).cast("int").alias("p")).distinct()
+    # At most MOST / 65,536 pieces of 8 KB come to the driver, however many keys there are.
+    out = np.zeros((places // size, size // 8), dtype=np.uint8)
+    for c, b in at.groupBy(F.floor(F.col("p") / size)).applyInPandas(pack, "c int, b binary").collect():
+        out[c] = np.frombuffer(b, dtype=np.uint8)
+    return out.ravel()
+
+
+FOUND = "k string, kind string, h bigint, bit bigint, span boolean, sure boolean, short boolean, lead bigint, words int, listed int, others array<bigint>"
+
+
 def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "description_text", min_fillers: int = MIN_FILLERS) -> DataFrame:
     """The records with residue: (key, reason), reason the first of filler, placeholder, page by name.
 
     * Null and empty texts are no cases; texts of any length are read whole. Rows with one key are
       taken together. A null key is a key. Other columns are ignored.
-    * Repeated rows and copies count once each towards slots and templates, like any other record.
+    * Repeated rows and copies count once each towards templates, like any other record.
     * An unmistakable form (a variable in braces, a run of underscores) is residue too where other
       fillers, of up to three words, stand at its position, at least one for every two records with
       such a form, and in at most two records where nothing else stands. A word like null is so only
       in a slot.
+    * Sample text is known by its opening words, or by its words: those of the common sample paragraph
+      and those that are learnt from all lines because half of their lines hold words of it.
 
-    Nothing grows with the data in the driver: positions and templates of interest are marked in a
-    filter of fixed size; the statistics are combined per task and joined back by hash. What a
+    Nothing grows with the data in the driver: positions, words and templates of interest are marked
+    in a filter of bounded size; the statistics are combined per task and joined back by hash. What a
     position holds is kept as 64 bits, of which at least ``min_fillers`` must be set: so many
-    different words at least.
+    different words at least. Every line is read; a memo of limited size saves reading those that recur.
     """
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
     rows = rows.where(F.btrim("t") != "")
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Candidates: residue forms, sentences of short records, filler."""
-        # Every line is read; the memo of limited size saves reading those that recur.
-        read = lru_cache(maxsize=100_000)(telling)
+        memo, nothing = _Memo(), ((), (), ())
         for pdf in it:
             out = []
             for k, t in zip(pdf["k"], pdf["t"]):
-                for pos, what, strong in residues(t):
-                    out.append((k, "slot", position_key(pos), signed(span_bit(what.casefold().split())), " " in what, strong, False, 1))
+                said: dict[str, tuple[bool, bool]] = {}
+                samples: dict[str, _Sample] = {}
+                for line in t.split("\n"):
+                    got = memo.get(line)
+                    if got is None:
+                        forms = tuple((position_key(p), signed(span_bit(w.casefold().split())), " " in w, strong) for p, w, strong in residues(line))
+                        got = (forms, *telling(line))
+                        got = got if any(got) else nothing
+                        memo.put(line, got)
+                    if got is not nothing:
+                        forms, tells, texts = got
+                        out += [(k, "slot", *f, False, 1, 0, 0, None) for f in forms]
+                        said.update((s, (filler, wrong)) for s, filler, wrong in tells)
+                        samples.update((x[0], x) for x in texts)
+                for s, words, listed, others in samples.values():
+                    out.append((k, "sample", _key("l", s), 0, False, False, False, 0, words, listed, [word_key(w) for w in others]))
                 short = is_short(t)
-                said = {s: (filler, wrong) for line in t.split("\n") for s, filler, wrong in read(line)}
                 for s in templates(t) if short else said:
                     filler, wrong = said.get(s, (False, False))
                     if filler:
-                        out.append((k, "filler", 0, 0, False, True, short, 0))
+                        out.append((k, "filler", 0, 0, False, True, short, 0, 0, 0, None))
                     elif short or wrong:
-                        out.append((k, "page", _key("s", s), 0, False, wrong, short and " " in s, head_key(s)))
-            yield pd.DataFrame(out, columns=["k", "kind", "h", "bit", "span", "sure", "short", "lead"])
+                        out.append((k, "page", _key("s", s), 0, False, wrong, short and " " in s, head_key(s), 0, 0, None))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
 
-    found = cut(rows.mapInPandas(look, "k string, kind string, h bigint, bit bigint, span boolean, sure boolean, short boolean, lead bigint"))
-    places = F.transform(F.array("h", "lead"), lambda x: F.pmod(x, F.lit(POSITIONS)).cast("int"))
-    marked = found.where("kind <> 'filler'").select(F.explode(places).alias("p")).distinct().toPandas()["p"].to_numpy()
-    bits = np.zeros(POSITIONS, dtype=bool)
-    bits[marked] = True
-    seen = df.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    found = cut(rows.mapInPandas(look, FOUND))
+    # A sentence of no error wording must come in two short records at least to be a template of whole pages.
+    pages = found.where("kind = 'page'").groupBy("h", "lead").agg(F.bool_or("sure").alias("sure"), F.count("*").alias("n")).where("sure OR n > 1")
+    slots, words = found.where("kind = 'slot'").select("h"), found.select(F.explode("others").alias("h"))
+    seen = df.sparkSession.sparkContext.broadcast(_filter(slots.union(pages.select(F.explode(F.array("h", "lead")))).union(words)).tobytes())
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per task: 64 bits of what stands at each marked position; how often marked sentences come, and in short records."""
+        """Per task: 64 bits of what stands at each marked position; how often marked sentences come, and in short records; the lines of marked words."""
         flags = np.unpackbits(np.frombuffer(seen.value, dtype=np.uint8)).astype(bool)
-        on, at_slots = flags.tobytes(), Slots(flags)
-        memo: dict[str, int] = {}
-
-        def marked_key(kind: str, s: str) -> int:
-            # 0 stands for not marked; a memo of limited size saves hashing the words that recur.
-            h = memo.get(kind + s)
-            if h is None:
-                h = _key(kind, s)
-                h = h if on[h % POSITIONS] else 0
-                if len(memo) < 400_000 and len(s) < 400:
-                    memo[kind + s] = h
-            return h
-
+        places, at_slots, memo = len(flags), Slots(flags), _Memo()
         words: dict[int, int] = defaultdict(int)
         spans: dict[int, int] = {}
         uses: dict[int, list[int]] = defaultdict(lambda: [0, 0])
         for pdf in it:
-            texts = list(pdf["t"])
-            for i in range(0, len(texts), 500):
-                part = texts[i : i + 500]
-                met: set[tuple[int, int]] = set()
-                at_slots.count(part, words, lambda d, s, met=met: met.add((d, marked_key("s", s))), spans)
-                short: dict[int, bool] = {}
-                for d, h in met:
-                    if h:
-                        if d not in short:
-                            short[d] = is_short(part[d])
+            lines = [t.split("\n") for t in pdf["t"]]
+            for i in range(0, len(lines), 500):
+                part = lines[i : i + 500]
+                fresh = list({x for ls in part for x in ls if x not in memo})
+                # What stands where is the same each time a line comes; its sentences count by record.
+                heads: dict[str, set[int]] = defaultdict(set)
+
+                def sentence(n: int, s: str, heads: dict = heads, fresh: list = fresh) -> None:
+                    h = _key("s", s)
+                    if flags[h % places]:
+                        heads[fresh[n]].add(h)
+
+                at_slots.count(fresh, words, spans, uses, sentence)
+                known = {x: memo[x] for ls in part for x in ls if x in memo and memo[x]}
+                known.update(heads)
+                for x in fresh:
+                    memo.put(x, heads.get(x, ()))
+                for t, ls in zip(pdf["t"][i : i + 500], part):
+                    met = set().union(*(known[x] for x in ls if x in known))
+                    short = bool(met) and is_short(t)
+                    for h in met:
                         uses[h][0] += 1
-                        uses[h][1] += short[d]
+                        uses[h][1] += short
             if len(words) + len(spans) + len(uses) > 200_000:
                 yield _counts(words, spans, uses)
                 words.clear()
@@ -405,13 +499,14 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
         a = [(h, signed(b), 0, 0, 0) for h, b in words.items()] + [(h, 0, signed(b), 0, 0) for h, b in spans.items()]
         return pd.DataFrame(a + [(h, 0, 0, n, m) for h, (n, m) in uses.items()], columns=["h", "bits", "spans", "n", "m"])
 
-    stats = rows.select("t").mapInPandas(count, "h bigint, bits bigint, spans bigint, n bigint, m bigint").groupBy("h").agg(
+    stats = cut(rows.select("t").mapInPandas(count, "h bigint, bits bigint, spans bigint, n bigint, m bigint").groupBy("h").agg(
         F.bit_or("bits").alias("bits"), F.bit_or("spans").alias("spans"), F.sum("n").alias("n"), F.sum("m").alias("m")
-    )
+    ))
     # In how many records residue stands at a position: a sentence that is always written so comes in many.
     own = [F.bit_or(F.when(F.col("span") == x, F.col("bit")).otherwise(0)).alias(n) for n, x in (("own", False), ("own_spans", True))]
-    shared = found.where("kind = 'slot'").groupBy("h").agg(F.count_distinct("k").alias("records"), *own)
-    joined = found.join(stats, "h", "left").join(shared, "h", "left")
+    formed = found.where("kind IN ('slot', 'page')")
+    shared = formed.where("kind = 'slot'").groupBy("h").agg(F.count_distinct("k").alias("records"), *own)
+    joined = formed.join(stats.join(shared, "h", "left"), "h", "left")
     fillers = F.coalesce(F.bit_count("bits"), F.lit(0))
     # Words and spans that stand at the position besides the forms of residue.
     others = sum(F.coalesce(F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y))), F.lit(0)) for x, y in (("bits", "own"), ("spans", "own_spans")))
@@ -419,8 +514,16 @@ def find_residue(df: DataFrame, *, key: str = "dedupe_key", text: str = "descrip
     slot = (F.col("kind") == "slot") & ((fillers >= min_fillers) | rare)
     whole = (F.col("n") >= MIN_PAGES) & (F.col("m") >= F.col("n") * WHOLE_PAGE)
     page = (F.col("kind") == "page") & F.when(F.col("sure"), whole | (F.col("short") & (F.col("m") * 2 > F.col("n")))).otherwise(whole & F.col("short"))
-    why = F.when(F.col("kind") == "filler", "filler").when(slot, "placeholder").when(page, "page")
-    return joined.withColumn("reason", why).where(F.col("reason").isNotNull()).groupBy(F.col("k").alias(key)).agg(F.min("reason").alias("reason"))
+    marked = joined.withColumn("reason", F.when(slot, "placeholder").when(page, "page")).select("k", "reason")
+
+    # Sample text: the share of a sentence's words that are sample words, listed or learnt.
+    learnt = stats.where((F.col("n") >= MIN_LINES) & (F.col("m") >= F.col("n") * BESIDE_SEEDS)).select("h", F.lit(1).alias("known"))
+    sentences = found.where("kind = 'sample'").select("k", F.col("h").alias("s"), "words", "listed", F.explode_outer("others").alias("h")).join(learnt, "h", "left")
+    share = (F.max("listed") + F.coalesce(F.sum("known"), F.lit(0))) / F.max("words")
+    sampled = sentences.groupBy("k", "s").agg(share.alias("share")).where(F.col("share") >= SAMPLE_WORDS).select("k", F.lit("filler").alias("reason"))
+    plain = found.where("kind = 'filler'").select("k", F.lit("filler").alias("reason"))
+    every = marked.where(F.col("reason").isNotNull()).union(sampled).union(plain)
+    return every.groupBy(F.col("k").alias(key)).agg(F.min("reason").alias("reason"))
 
 
 def signed(bits: int) -> int:

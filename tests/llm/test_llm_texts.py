@@ -1,4 +1,8 @@
+import os
+
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from postmill.llm import langid, pages, quality, residue, train_langid, train_pages
 from postmill.llm.pages import SENTENCE, Tree, furniture, page_lines, sum_product
@@ -172,14 +176,42 @@ def test_quality_defined_results(spark):
 
 def test_long_records_are_read_whole(spark):
     body = "\n".join(f"You visit site number {i} and write about what people need." for i in range(8))
-    odd = ["blah blah blah", "test", "Celsa vela amet nobil vela mundo dubit prava.", "Vela, mundo/erat (vix)\nCelsa vela nobil-vela mundo.", "Fylls  i av avdelningen.", "Wird noch von der Abteilung\xa0 ergänzt."]
+    odd = ["blah blah blah", "test", "Fylls  i av avdelningen.", "Wird noch von der Abteilung\xa0 ergänzt.", "Lorem ipsum dolor sit amet, magna aliqua."]
     rows = [(f"o{i}", f"{body}\n{x}") for i, x in enumerate(odd)] + [("plain", body), ("test", f"{body}\nTest the pumps in May.")]
     df = spark.createDataFrame(rows, "dedupe_key string, description_text string")
     assert {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()} == {f"o{i}": "filler" for i in range(len(odd))}
     # What is passed over by hints and memos is what the patterns alone pass over.
-    for x in [*odd, *(t for _, t in slot_rows() if t), "Http  error 500", "Please enable\tJavaScript now.", "Seite  nicht  gefunden"]:
-        plain = [(s, bool(residue.FILLER.search(s)) or residue.latin(s), bool(residue.ERROR.search(s))) for s in residue.templates(x)]
-        assert residue.telling(x) == [p for p in plain if p[1] or p[2]]
+    for x in [*odd, *(t for _, t in slot_rows() if t), "Http  error 500", "Please enable\tJavaScript now.", "Seite  nicht  gefunden", "The scripts must run here."]:
+        for line in x.split("\n"):
+            plain = [(s, bool(residue.FILLER.search(s)), bool(residue.ERROR.search(s))) for s in residue.templates(line)]
+            assert residue.telling(line)[0] == residue.telling(line, hinted=False)[0] == [p for p in plain if p[1] or p[2]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_hints_pass_over_nothing_that_the_patterns_find():
+    table = pq.read_table("/root/testdata/sf0.01/jobs.parquet", columns=["description_text"])
+    for line in {x for t in table["description_text"].to_pylist() if t for x in t.split("\n")}:
+        assert residue.telling(line) == residue.telling(line, hinted=False)
+
+
+def test_sample_words_are_learnt_from_their_lines(spark):
+    """Words that come beside those of the common sample paragraph are sample words; those of real lines are not."""
+    body = "\n".join(f"You visit site number {i} and write about what people need." for i in range(8))
+    sample = ["Belsa vona amet nobir vona mundat dubir pravi.", "Vona mundat belsa dolor nobir, pravi dubir.", "Lorem nobir belsa mundat vona dubir pravi sit."]
+    rows = [(f"s{i}", f"{body}\n{x}") for i, x in enumerate(sample)]
+    # Without a seed in its line a sentence is not looked at; with one it must still be sample words for the most part.
+    rows += [("unseeded", f"{body}\nBelsa vona nobir mundat dubir."), ("after", f"{body}\nBelsa vona nobir mundat dubir. Amet vona.")]
+    rows += [(f"r{i}", f"{body}\nEl dolor de la rodilla numero {i} es tratado aqui.") for i in range(5)]
+    rows += [(f"q{i}", f"{body}\nEl medico de la sala numero {i} es tratado aqui.") for i in range(20)]
+    df = spark.createDataFrame(rows, "dedupe_key string, description_text string")
+    assert {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()} == {k: "filler" for k in ("s0", "s1", "s2", "after")}
+
+
+def test_bracketed_forms_after_labels():
+    for line in ("Location: [Insert city]", "Your manager: [object Object]", "Team: <<TEAM_NAME>>", "Salary: (to be confirmed)", "Start: [Date]"):
+        assert residue.residues(line), line
+    for line in ("[Apply] | [Save]", "Engineer [Field Work]", "Analyst (your chance)"):
+        assert not [x for x in residue.residues(line) if x[1] != "(your chance)"], line
 
 
 def test_unmistakable_forms_where_few_fillers_stand(spark):
