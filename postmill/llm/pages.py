@@ -57,20 +57,25 @@ def squash(s: str) -> str:
     return _FIGURES.sub("9", " ".join(s.split()).casefold())
 
 
-def shape_features(s: str, kind: int, words: list[str]) -> tuple[str, ...]:
-    """Names of a line's features of shape, few enough to be remembered."""
-    k = SHAPES[kind]
+def shape_values(s: str, kind: int, words: list[str]) -> tuple[int, str, str, int, int]:
+    """What shape_features() go by: few enough combinations to be remembered."""
     first = s[0] if not s[0].isalnum() else "A" if s[0].isupper() else "a"
     last = s[-1] if not s[-1].isalnum() else "9" if s[-1].isdigit() else "a"
     names = sum(map(str.isupper, s)) if len(s) < 120 else 9
-    return (f"b:{k}:{last}", f"n:{min(len(words), 12)}:{k}:{last}", f"c:{first}:{k}", f"t:{k}:{min(names, 6)}:{min(len(words), 12)}")
+    return kind, first, last, names if names < 6 else 6, len(words) if len(words) < 12 else 12
+
+
+def shape_features(kind: int, first: str, last: str, names: int, words: int) -> tuple[str, ...]:
+    """Names of a line's features of shape."""
+    k = SHAPES[kind]
+    return (f"b:{k}:{last}", f"n:{words}:{k}:{last}", f"c:{first}:{k}", f"t:{k}:{names}:{words}")
 
 
 def line_features(s: str, kind: int) -> list[str]:
     """Names of the features of a line on its own; the line as a whole comes first."""
     low = squash(s)
     words = _WORDS.findall(low)
-    return ["w:" + low, *shape_features(s, kind, words), *("u:" + w for w in set(words)), "2:" + " ".join(words[:2])]
+    return ["w:" + low, *shape_features(*shape_values(s, kind, words)), *("u:" + w for w in set(words)), "2:" + " ".join(words[:2])]
 
 
 def context_features(kind: int, before: int | None, after: int | None, head: str, following: str, is_title: bool, where: int) -> list[str]:
@@ -145,6 +150,19 @@ def sum_product(parent: np.ndarray, depth: np.ndarray, edge: np.ndarray, unary:
     return marginal, both, float(z[levels[0]].sum()) if n else 0.0
 
 
+class _Weights(dict):
+    """The weights of words; of limited size."""
+
+    def __init__(self, values: list[float]) -> None:
+        self.values_ = values
+
+    def __missing__(self, w: str) -> float:
+        v = self.values_[_h("u:" + w)]
+        if len(self) < 500_000:
+            self[w] = v
+        return v
+
+
 class Reader:
     """Pages to lines with features, and to probabilities once it has weights."""
 
@@ -155,8 +173,8 @@ class Reader:
         self.features = lru_cache(maxsize=200_000)(self._features)
         self.place = lru_cache(maxsize=400_000)(self._place)
         self.known: dict[str, float] = {}
-        self.words: dict[str, float] = {}
-        self.shapes = lru_cache(maxsize=20_000)(self.total)
+        self.words = _Weights(self.values)
+        self.shapes = lru_cache(maxsize=50_000)(lambda *a: self.total(shape_features(*a)))
         self.starts = lru_cache(maxsize=100_000)(lambda w: self.values[_h("2:" + w)])
 
     def total(self, names: list[str]) -> float:
@@ -178,16 +196,8 @@ class Reader:
         # The same sum as over line_features(), with less to build.
         low = squash(s)
         words = _WORDS.findall(low)
-        seen, values = self.words, self.values
-        out = values[_h("w:" + low)] + self.shapes(shape_features(s, kind, words)) + self.starts(" ".join(words[:2]))
-        for w in set(words):
-            v = seen.get(w)
-            if v is None:
-                v = values[_h("u:" + w)]
-                if len(seen) < 500_000:
-                    seen[w] = v
-            out += v
-        return kind, low if len(s) < 60 else "", out
+        out = self.values[_h("w:" + low)] + self.shapes(*shape_values(s, kind, words)) + self.starts(" ".join(words[:2]))
+        return kind, low if len(s) < 60 else "", out + sum(map(self.words.__getitem__, set(words)))
 
     def _place(self, *a) -> object:
         f = context_features(*a)
@@ -195,27 +205,29 @@ class Reader:
 
     def lines(self, text: str, title: str | None) -> tuple[list[int], list[int], list[object], list[object]]:
         """Numbers, shapes and features (or scores) of the non-blank lines, counted from 1."""
-        numbers, kinds, own, lows = [], [], [], []
+        numbers, found = [], []
+        features = self.features
         for i, raw in enumerate(text.split("\n"), 1):
             s = raw.strip()
             if s:
-                kind, low, f = self.features(s)
+                found.append(features(s))
                 numbers.append(i)
-                kinds.append(kind)
-                lows.append(low)
-                own.append(f)
+        if not found:
+            return [], [], [], []
+        kinds, lows, own = (list(x) for x in zip(*found))
         name = squash(title or "")
-        place, head, n = [], "", len(kinds)
-        for i, kind in enumerate(kinds):
-            before = kinds[i - 1] if i else None
+        place, head, n, at = [], "", len(kinds), self.place
+        before: int | None = None
+        for i, (kind, low) in enumerate(zip(kinds, lows)):
             after = kinds[i + 1] if i + 1 < n else None
-            follow = lows[i + 1] if i + 1 < n and kinds[i + 1] in (SHORT, HEADING) else ""
-            place.append(self.place(kind, before, after, head, follow, bool(name) and lows[i] == name, 4 * i // n))
+            follow = lows[i + 1] if after == SHORT or after == HEADING else ""
+            place.append(at(kind, before, after, head, follow, low == name and name != "", 4 * i // n))
             # A heading holds for the short lines under it until text or a menu comes.
-            if kind == HEADING or kind == SHORT and before not in (SHORT, HEADING) or kind == PLAIN and before in (SENTENCE, BULLET, MENU, None):
-                head = lows[i]
-            elif kind in (SENTENCE, MENU):
+            if kind == SHORT and before not in (SHORT, HEADING) or kind == HEADING or kind == PLAIN and before in (SENTENCE, BULLET, MENU, None):
+                head = low
+            elif kind == SENTENCE or kind == MENU:
                 head = ""
+            before = kind
         return numbers, kinds, own, place
 
 
@@ -288,8 +300,3 @@ def page_lines(df: DataFrame, *, key: str = "dedupe_key", text: str = "descripti
 
     out = rows.mapInPandas(read, f"k {kind}, name string, furniture array<int>, body array<string>, body_no array<int>" + "".join(f", {c} {t}" for c, t in more))
     return out.select(F.col("k").alias(key), F.col("name").alias("title"), "furniture", "body", "body_no", *[F.col(f"also_{i}").alias(c) for i, c in enumerate(also)])
-
-
-def in_scope(pages: DataFrame, excluded: DataFrame, *, key: str = "dedupe_key", text: str = "description_text") -> DataFrame:
-    """The pages with a text that are not among ``excluded`` (by key)."""
-    return pages.where(F.col(text).isNotNull() & (F.col(text) != "")).join(excluded.select(key), key, "left_anti")

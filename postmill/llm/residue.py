@@ -104,16 +104,26 @@ def squashed(s: str) -> str:
     return _FIGURES.sub("9", s) if _ANY_FIGURE.search(s) else s
 
 
-@lru_cache(maxsize=1)
-def hints() -> ahocorasick.Automaton:
-    """Finds in one pass what a line must hold for ERROR or FILLER to match."""
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    for h in (*ERROR_HINTS, *FILLER_HINTS):
+    for h in words:
         auto.add_word(h, h)
     auto.make_automaton()
     return auto
 
 
+@lru_cache(maxsize=1)
+def hints() -> ahocorasick.Automaton:
+    """Finds in one pass what a line must hold for ERROR or FILLER to match."""
+    return _automaton(ERROR_HINTS + FILLER_HINTS)
+
+
+@lru_cache(maxsize=1)
+def form_hints() -> ahocorasick.Automaton:
+    """Finds in one pass what a text must hold for STRONG or WEAK to match."""
+    return _automaton(HINTS)
+
+
 def templates(text: str) -> list[str]:
     """The distinct sentences of a text as templates; menus (lines of separated items) left out."""
     out = {}
@@ -180,7 +190,7 @@ def _after(line: str, at: int) -> str:
 def residues(text: str) -> list[tuple[str, str, bool]]:
     """(position, what stands there, unmistakable form) for all that may be residue."""
     out: list[tuple[str, str, bool]] = []
-    if not (any(h in text for h in HINTS) or "%" in text and _PERCENT.search(text)):
+    if next(form_hints().iter(text), None) is None and not ("%" in text and _PERCENT.search(text)):
         return out
     for line in text.split("\n"):
         line = line.replace("\xa0", " ").rstrip("\r")
