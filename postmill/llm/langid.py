@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "sv", "da", "es")
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "langid_weights.npz")
-WINDOW = 192  # bytes read at a stretch; a longer line is read in several stretches and pooled
-BATCH = 512
+BATCH = 512  # lines read side by side, of like lengths
+POSITIONS = 200_000  # bytes read side by side: fewer lines the longer they are, a longer line alone
+STRETCH = 256  # steps after which the states of a batch are turned into scores
 
 # Spellings of the languages as labels.
 SPELLINGS = {
@@ -43,60 +44,70 @@ def named(label: str | None) -> str | None:
 
 
 class Network:
-    """Both directions at once: arrays have a leading axis of 2 (forward, backward)."""
+    """Both directions: arrays have a leading axis of 2 (forward, backward)."""
 
     def __init__(self, table: np.ndarray, u: np.ndarray, v: np.ndarray, c: np.ndarray) -> None:
         # table (2, 256, 3H): input weights and biases applied to every byte; u (2, H, 3H); v (2, H, L); c (L).
-        self.table, self.u, self.v, self.c = (np.ascontiguousarray(x, dtype=np.float32) for x in (table, u, v, c))
-        self.h = u.shape[1]
+        table, u, self.v, self.c = (np.ascontiguousarray(x, dtype=np.float32) for x in (table, u, v, c))
+        self.h = h = u.shape[1]
         # Halved gate inputs turn the sigmoid into a tanh.
-        self.table = self.table.copy()
-        self.table[:, :, : 2 * self.h] *= 0.5
-        self.u = self.u.copy()
-        self.u[:, :, : 2 * self.h] *= 0.5
-        # One row per unit and one column per line: every gate is then one piece of memory.
-        self.table_t, self.u_t = (np.ascontiguousarray(x.transpose(0, 2, 1)) for x in (self.table, self.u))
+        half = np.array([0.5, 0.5, 1.0], dtype=np.float32)
+        # One array for each direction and gate: everything a step touches is one piece of memory.
+        self.table = [[np.ascontiguousarray(table[k, :, i * h : (i + 1) * h] * half[i]) for i in range(3)] for k in (0, 1)]
+        self.u = [[np.ascontiguousarray(u[k, :, i * h : (i + 1) * h] * half[i]) for i in range(3)] for k in (0, 1)]
 
     @classmethod
     def load(cls) -> Network:
         with np.load(WEIGHTS) as z:
             return cls(z["table"], z["u"], z["v"], z["c"])
 
+    def scores(self, k: int, x: np.ndarray, live: list[int]) -> np.ndarray:
+        """What direction k adds to the scores (time, batch, L) of the bytes x (time, batch); ``live`` lines are read at a step."""
+        t, n = x.shape
+        h, (tz, tr, tc), (uz, ur, uc), v = self.h, self.table[k], self.u[k], self.v[k]
+        out = np.empty((t, n, v.shape[1]), dtype=np.float32)
+        s, z, r, c, g = (np.zeros((n, h), dtype=np.float32) for _ in range(5))
+        states = np.zeros((min(t, STRETCH), n, h), dtype=np.float32)
+        m = n
+        for i in range(t):
+            if live[i] < m:
+                m = live[i]
+                s, z, r, c, g = s[:m], z[:m], r[:m], c[:m], g[:m]
+            b = x[i, :m]
+            np.take(tz, b, axis=0, out=z, mode="clip")
+            np.take(tr, b, axis=0, out=r, mode="clip")
+            np.take(tc, b, axis=0, out=c, mode="clip")
+            z += np.matmul(s, uz, out=g)
+            r += np.matmul(s, ur, out=g)
+            np.tanh(z, out=z)
+            np.tanh(r, out=r)
+            np.matmul(s, uc, out=g)
+            r *= 0.5
+            r += 0.5
+            g *= r
+            c += g
+            np.tanh(c, out=c)
+            z *= 0.5
+            z += 0.5
+            s -= c
+            s *= z
+            s += c
+            at = i % STRETCH
+            states[at, :m] = s
+            if at == STRETCH - 1 or i == t - 1:
+                out[i - at : i + 1] = states[: at + 1] @ v
+        return out
+
     def logits(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Sums over the positions of log probabilities (batch, L) of byte rows x (batch, time), sorted by length downwards."""
         n, t = x.shape
-        h = self.h
-        rows = np.arange(n)
         mirror = lengths[:, None] - 1 - np.arange(t)[None, :]
         inside = mirror >= 0
         mirror[~inside] = 0
-        both = np.stack((x.T, np.take_along_axis(x, mirror, axis=1).T))  # direction, time, batch
-        live = np.searchsorted(-lengths, -np.arange(t), side="left")  # rows longer than i
-        states = np.zeros((2, t, h, n), dtype=np.float32)
-        s = np.zeros((2, h, n), dtype=np.float32)
-        a, g = np.empty((2, 3 * h, n), dtype=np.float32), np.empty((2, 3 * h, n), dtype=np.float32)
-        for i in range(t):
-            m = int(live[i])
-            if m < s.shape[2]:
-                s = np.ascontiguousarray(s[:, :, :m])
-                a, g = np.empty((2, 3 * h, m), dtype=np.float32), np.empty((2, 3 * h, m), dtype=np.float32)
-            for k in (0, 1):
-                np.take(self.table_t[k], both[k, i, :m], axis=1, out=a[k], mode="clip")
-                np.matmul(self.u_t[k], s[k], out=g[k])
-            gates, new = a[:, : 2 * h], g[:, 2 * h :]
-            gates += g[:, : 2 * h]
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            new *= gates[:, h:]
-            new += a[:, 2 * h :]
-            np.tanh(new, out=new)
-            s -= new
-            s *= gates[:, :h]
-            s += new
-            states[:, i, :, :m] = s
-        z, rear = (np.matmul(self.v[k].T, states[k]).transpose(0, 2, 1) for k in (0, 1))
-        z = z + rear[mirror.T, rows[None, :]]
+        live = np.searchsorted(-lengths, -np.arange(t), side="left").tolist()  # rows longer than i
+        z = self.scores(0, x.T.astype(np.intp, order="C"), live)
+        rear = self.scores(1, np.take_along_axis(x, mirror, axis=1).T.astype(np.intp, order="C"), live)
+        z += rear[mirror.T, np.arange(n)[None, :]]
         z += self.c
         z -= z.max(axis=2, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
@@ -113,24 +124,19 @@ class Network:
         The sum of the position log probabilities is scaled by the root of the length, so that a
         long line is surer than a short one without being certain.
         """
-        pieces, owner = [], []
-        for i, b in enumerate(lines):
-            for at in range(0, len(b), WINDOW):
-                pieces.append(b[at : at + WINDOW])
-                owner.append(i)
         total = np.zeros((len(lines), len(LANGUAGES)))
-        size = np.zeros(len(lines))
-        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
-            lengths = np.array([len(pieces[i]) for i in part])
+        size = np.array([len(b) for b in lines], dtype=np.int64)
+        order = np.argsort(-size, kind="stable")
+        order = order[: int((size > 0).sum())]
+        at = 0
+        while at < len(order):
+            part = order[at : at + max(1, min(BATCH, POSITIONS // int(size[order[at]])))]
+            at += len(part)
+            lengths = size[part]
             x = np.zeros((len(part), int(lengths[0])), dtype=np.uint8)
             for row, i in enumerate(part):
-                x[row, : lengths[row]] = np.frombuffer(pieces[i], dtype=np.uint8)
-            z = self.logits(x, lengths)
-            who = np.array([owner[i] for i in part])
-            np.add.at(total, who, z)
-            np.add.at(size, who, lengths)
+                x[row, : lengths[row]] = np.frombuffer(lines[i], dtype=np.uint8)
+            total[part] = self.logits(x, lengths)
         total /= np.sqrt(np.maximum(size, 1))[:, None]
         total -= total.max(axis=1, keepdims=True)
         return total - np.log(np.exp(total).sum(axis=1, keepdims=True))
@@ -157,9 +163,10 @@ def languages(
     label. The result has (key, declared, lang, confidence, title_lang, title_confidence,
     segments array<struct<line_no, pieces, lang, confidence>>).
 
-    * lang is the language with most words over the lines; a tie goes to the earlier one in
-      LANGUAGES. It is null, with confidence 0, for a record without words, whose title is then
-      judged alone. declared is what the label names: a language, "other" or null.
+    * The distributions of the lines are pooled by their words; lang is the language with the
+      greatest part, confidence that part; a tie goes to the earlier one in LANGUAGES. It is null,
+      with confidence 0, for a record without words, whose title is then judged alone. declared is
+      what the label names: a language, "other" or null.
     * A null or empty title has no language. Null lines are empty. Lines of any length are read whole.
     * Repeated rows come out as often as they went in; a null key is kept; other columns are left
       out, so none can clash.
@@ -199,11 +206,10 @@ def languages(
 def judged(scores: np.ndarray, lines: list[str], numbers: list[int], title: np.ndarray | None, sure: float) -> tuple:
     """Main language, title language and segments of one record from the log probabilities."""
     pieces = [len(s.split()) for s in lines]
-    words = np.zeros(len(LANGUAGES))
     best = scores.argmax(axis=1) if len(scores) else []
-    for b, n in zip(best, pieces):
-        words[b] += n
-    main = int(words.argmax()) if words.sum() > 0 else None
+    pooled = np.array(pieces) @ np.exp(scores) if len(scores) else np.zeros(len(LANGUAGES))
+    words = sum(pieces)
+    main = int(pooled.argmax()) if words else None
     segments = []
     for z, b, n, no in zip(scores, best, pieces, numbers):
         p = np.exp(z)
@@ -216,4 +222,4 @@ def judged(scores: np.ndarray, lines: list[str], numbers: list[int], title: np.n
         if main is not None and p[pick] < sure:
             pick = main
         t_lang, t_conf = LANGUAGES[pick], float(p[pick])
-    return (LANGUAGES[main] if main is not None else None, float(words[main] / words.sum()) if main is not None else 0.0, t_lang, t_conf, segments)
+    return (LANGUAGES[main] if main is not None else None, float(pooled[main] / words) if main is not None else 0.0, t_lang, t_conf, segments)

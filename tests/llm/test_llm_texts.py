@@ -250,3 +250,24 @@ def test_unlisted_error_pages_by_recurrence(spark):
     rows += [(f"v{i}", f"{body}\nThe kettle is always warm.") for i in range(3)] + [("v3", "The kettle is always warm.")]
     df = spark.createDataFrame(rows, "dedupe_key string, description_text string")
     assert {r.dedupe_key: r.reason for r in residue.find_residue(df).collect()} == {f"e{i}": "page" for i in range(3)}
+
+
+def test_long_lines_are_read_in_one_go(monkeypatch):
+    net = langid.Network.load()
+    line = "We write about what the people of the village need, and you visit them. " * 40
+    want = net.read([line, "Wir suchen dich", line[:700]])
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    monkeypatch.setattr(langid, "POSITIONS", 100)
+    assert np.allclose(net.read([line, "Wir suchen dich", line[:700]]), want, atol=1e-4)
+    # The state is carried over the whole line: the sums of positions are those of one pass over all bytes.
+    x = np.frombuffer(langid.prepared(line), dtype=np.uint8)[None]
+    whole = net.logits(x, np.array([x.shape[1]]))[0] / np.sqrt(x.shape[1])
+    whole -= whole.max()
+    assert np.allclose(np.exp(want[0]), np.exp(whole) / np.exp(whole).sum(), atol=1e-4)
+
+
+def test_record_pools_the_probabilities_of_its_lines():
+    z = np.log(np.array([[0.4, 0.6, 0, 0, 0, 0], [0.9, 0.1, 0, 0, 0, 0], [0.45, 0.55, 0, 0, 0, 0]]) + 1e-12)
+    lang, conf, *_ = langid.judged(z, ["a b c d", "e f g h", "i j k l"], [1, 2, 3], None, 0.6)
+    # Two of three lines have "de" ahead by little; pooled, "en" has 7 of 12 words.
+    assert lang == "en" and abs(conf - 1.75 / 3) < 1e-6
