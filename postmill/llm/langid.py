@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.pages import read_pages
+
 LANGUAGES = ("en", "de", "fr", "sv", "da", "es")
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "langid_weights.npz")
 BATCH = 512  # lines read side by side, of like lengths
@@ -174,33 +176,50 @@ def languages(
     Records are read where they lie: no shuffle, nothing sent to the driver.
     """
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("k"), F.col(title).alias("name"), F.col(lines).alias("lines"), F.col(numbers).alias("no"), F.col(label).alias("label"))
+    rows = pages.select(F.col(key).alias("k"), F.col(title).alias("title"), F.col(lines).alias("body"), F.col(numbers).alias("body_no"), F.col(label).alias("label"))
+    return rows.mapInPandas(lambda it: read_languages(it, sure), f"k {kind}, {FOUND}").withColumnRenamed("k", key)
+
+
+def page_languages(df: DataFrame, *, key: str = "dedupe_key", text: str = "description_text", title: str = "title", label: str = "lang_label", sure: float = SURE) -> DataFrame:
+    """languages() of the body lines of pages, as page_lines() finds them, in one pass over the pages; the same result."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(title).alias("name"), F.col(text).alias("t"), F.col(label).alias("label"))
 
-    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = Network.load()
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches as they came, so that lines are shared in all of one."""
         for pdf in it:
-            if len(pdf):
-                texts = [[s or "" for s in x] if x is not None else [] for x in pdf["lines"]]
-                names = [x if isinstance(x, str) else "" for x in pdf["name"]]
-                # Lines that the network reads alike are read once a batch.
-                index: dict[bytes, int] = {}
-                place: dict[str, int] = {}
-                for s in [*names, *(s for x in texts for s in x)]:
-                    if s not in place:
-                        place[s] = index.setdefault(prepared(s), len(index))
-                scores = net.read_bytes(list(index))
-                out = []
-                for k, name, ls, ns, lab in zip(pdf["k"], names, texts, pdf["no"], pdf["label"]):
-                    found = scores[[place[s] for s in ls]] if ls else np.zeros((0, len(LANGUAGES)))
-                    out.append((k, named(lab if isinstance(lab, str) else None), *judged(found, ls, list(ns) if ns is not None else [], scores[place[name]] if name.strip() else None, sure)))
-                yield pd.DataFrame(out, columns=["k", "declared", "lang", "confidence", "title_lang", "title_confidence", "segments"])
-
-    out = rows.mapInPandas(
-        read,
-        f"k {kind}, declared string, lang string, confidence double, title_lang string, title_confidence double, "
-        "segments array<struct<line_no int, pieces int, lang string, confidence double>>",
-    )
-    return out.withColumnRenamed("k", key)
+            parts = list(read_pages(iter([pdf]), ("title", "body", "body_no")))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    return rows.mapInPandas(lambda it: read_languages(batches(it), sure), f"k {kind}, {FOUND}").withColumnRenamed("k", key)
+
+
+FOUND = (
+    "declared string, lang string, confidence double, title_lang string, title_confidence double, "
+    "segments array<struct<line_no int, pieces int, lang string, confidence double>>"
+)
+
+
+def read_languages(it: Iterator[pd.DataFrame], sure: float) -> Iterator[pd.DataFrame]:
+    """Batches of (k, title, body, body_no, label) as batches of k and FOUND."""
+    net = Network.load()
+    for pdf in it:
+        if len(pdf):
+            texts = [[s or "" for s in x] if x is not None else [] for x in pdf["body"]]
+            names = [x if isinstance(x, str) else "" for x in pdf["title"]]
+            # Lines that the network reads alike are read once a batch.
+            index: dict[bytes, int] = {}
+            place: dict[str, int] = {}
+            for s in [*names, *(s for x in texts for s in x)]:
+                if s not in place:
+                    place[s] = index.setdefault(prepared(s), len(index))
+            scores = net.read_bytes(list(index))
+            out = []
+            for k, name, ls, ns, lab in zip(pdf["k"], names, texts, pdf["body_no"], pdf["label"]):
+                found = scores[[place[s] for s in ls]] if ls else np.zeros((0, len(LANGUAGES)))
+                out.append((k, named(lab if isinstance(lab, str) else None), *judged(found, ls, list(ns) if ns is not None else [], scores[place[name]] if name.strip() else None, sure)))
+            yield pd.DataFrame(out, columns=["k", "declared", "lang", "confidence", "title_lang", "title_confidence", "segments"])
 
 
 def judged(scores: np.ndarray, lines: list[str], numbers: list[int], title: np.ndarray | None, sure: float) -> tuple:

@@ -261,15 +261,50 @@ def furniture(reader: Reader, texts: list[str], titles: list[str | None]) -> lis
 
 
 PAGES_AT_ONCE = 256
+WANTED = ("title", "furniture", "body", "body_no")
 
 
-def page_lines(df: DataFrame, *, key: str = "dedupe_key", text: str = "description_text", title: str = "title", also: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+def read_pages(it: Iterator[pd.DataFrame], wanted: Sequence[str] = WANTED, threshold: float = 0.5) -> Iterator[pd.DataFrame]:
+    """Batches of pages (t, name and further columns) as batches of the wanted columns beside all but t and name.
+
+    ``joined`` may be wanted too: the title and the body lines joined by spaces.
+    """
+    reader = load()
+    for pdf in it:
+        for at in range(0, len(pdf), PAGES_AT_ONCE):
+            part = pdf.iloc[at : at + PAGES_AT_ONCE]
+            texts = [x if isinstance(x, str) else "" for x in part["t"]]
+            names = [x if isinstance(x, str) else None for x in part["name"]]
+            found = furniture(reader, texts, names)
+            out = {c: part[c] for c in part.columns if c not in ("t", "name")}
+            if "title" in wanted:
+                out["title"] = names
+            if "furniture" in wanted:
+                out["furniture"] = [[i for i, p in page if p >= threshold] for page in found]
+            on = [[i for i, p in page if p < threshold] for page in found]
+            if "body_no" in wanted:
+                out["body_no"] = on
+            if "body" in wanted or "joined" in wanted:
+                bodies = []
+                for t, ns in zip(texts, on):
+                    split = t.split("\n")
+                    bodies.append([split[i - 1] for i in ns])
+                if "body" in wanted:
+                    out["body"] = bodies
+                if "joined" in wanted:
+                    out["joined"] = [" ".join([*([n] if n is not None else []), *b]) for n, b in zip(names, bodies)]
+            yield pd.DataFrame(out)
+
+
+def page_lines(
+    df: DataFrame, *, key: str = "dedupe_key", text: str = "description_text", title: str = "title", also: Sequence[str] = (), wanted: Sequence[str] = WANTED, threshold: float = 0.5
+) -> DataFrame:
     """Each page with the numbers of its furniture lines and its body lines: (key, title, furniture, body, body_no).
 
     ``furniture`` and ``body_no`` are array<int>, ``body`` array<string> with the lines as they
     stand. Lines are split at \\n and counted from 1; blank lines belong to neither.
 
-    ``also`` names further columns to keep.
+    ``also`` names further columns to keep, ``wanted`` those of the four that are made.
 
     * Null, empty and blank texts give empty arrays. A null title is no title.
     * Texts of any length are read whole. Repeated rows come out as often as they went in; a null
@@ -279,24 +314,13 @@ def page_lines(df: DataFrame, *, key: str = "dedupe_key", text: str = "descripti
     Every page is read on its own: no shuffle, nothing sent to the driver.
     """
     rows = df.select(F.col(key).alias("k"), F.col(title).alias("name"), F.col(text).alias("t"), *[F.col(c).alias(f"also_{i}") for i, c in enumerate(also)])
-    kind = df.schema[key].dataType.simpleString()
-    more = [(f"also_{i}", df.schema[c].dataType.simpleString()) for i, c in enumerate(also)]
+    kinds = [("k", df.schema[key].dataType.simpleString()), *((f"also_{i}", df.schema[c].dataType.simpleString()) for i, c in enumerate(also))]
+    made = {"title": "string", "furniture": "array<int>", "body": "array<string>", "body_no": "array<int>"}
+    kinds += [(c, made[c]) for c in WANTED if c in wanted]
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = load()
-        for pdf in it:
-            for at in range(0, len(pdf), PAGES_AT_ONCE):
-                part = pdf.iloc[at : at + PAGES_AT_ONCE]
-                texts = [x if isinstance(x, str) else "" for x in part["t"]]
-                names = [x if isinstance(x, str) else None for x in part["name"]]
-                found = furniture(reader, texts, names)
-                off = [[i for i, p in page if p >= threshold] for page in found]
-                on = [[i for i, p in page if p < threshold] for page in found]
-                bodies = []
-                for t, ns in zip(texts, on):
-                    split = t.split("\n")
-                    bodies.append([split[i - 1] for i in ns])
-                yield pd.DataFrame({"k": part["k"], "name": part["name"], "furniture": off, "body": bodies, "body_no": on, **{c: part[c] for c, _ in more}})
+        for out in read_pages(it, wanted, threshold):
+            yield out[[c for c, _ in kinds]]
 
-    out = rows.mapInPandas(read, f"k {kind}, name string, furniture array<int>, body array<string>, body_no array<int>" + "".join(f", {c} {t}" for c, t in more))
-    return out.select(F.col("k").alias(key), F.col("name").alias("title"), "furniture", "body", "body_no", *[F.col(f"also_{i}").alias(c) for i, c in enumerate(also)])
+    out = rows.mapInPandas(read, ", ".join(f"{c} {t}" for c, t in kinds))
+    return out.select(F.col("k").alias(key), *[c for c in WANTED if c in wanted], *[F.col(f"also_{i}").alias(c) for i, c in enumerate(also)])

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.session import spill, table
-from postmill.llm.langid import languages
+from postmill.llm.langid import page_languages
 from postmill.llm.mixing import mix
 from postmill.llm.neardup import expanded, near_duplicates
 from postmill.llm.packing import fill_containers, report
-from postmill.llm.pages import page_lines
+from postmill.llm.pages import page_lines, read_pages
 from postmill.llm.places import map_places
 from postmill.llm.quality import text_quality
 from postmill.llm.residue import find_residue
@@ -24,14 +25,14 @@ def with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = page_lines(with_text(spark, sf_dir)).select("dedupe_key", "furniture")
+    lines = page_lines(with_text(spark, sf_dir), wanted=("furniture",))
     kept = lines.join(p6_found(spark, sf_dir), "dedupe_key", "left_anti")
     return kept.select("dedupe_key", F.explode("furniture").alias("line_no"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = with_text(spark, sf_dir)
-    found = languages(page_lines(jobs, also=("lang_label",))).join(p6_found(spark, sf_dir), "dedupe_key", "left_anti")
+    found = page_languages(jobs).join(p6_found(spark, sf_dir), "dedupe_key", "left_anti")
     wrong = F.col("lang").isNotNull() & ~F.col("declared").eqNullSafe(F.col("lang"))
     title = F.col("lang").isNotNull() & F.col("title_lang").isNotNull() & (F.col("title_lang") != F.col("lang"))
 
@@ -48,9 +49,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("dedupe_key", F.explode(cases).alias("c")).select("dedupe_key", "c.part", "c.line_no", "c.lang")
 
 
+def bodies(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of pages as batches of their titles and body lines."""
+    for pdf in read_pages((x.rename(columns={"title": "name"}) for x in it), ("joined",)):
+        yield pdf.rename(columns={"joined": "t"})
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = page_lines(with_text(spark, sf_dir)).select("dedupe_key", F.concat_ws(" ", "title", F.array_join("body", " ")).alias("text"))
-    members, links = near_duplicates(pages, key="dedupe_key", width=3, threshold=0.6)
+    members, links = near_duplicates(with_text(spark, sf_dir), key="dedupe_key", text="description_text", width=3, threshold=0.6, also=("title",), prepare=bodies)
     kept = members.join(p6_found(spark, sf_dir), "dedupe_key", "left_anti")
     return expanded(kept, links, key="dedupe_key")
 

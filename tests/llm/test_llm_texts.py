@@ -271,3 +271,11 @@ def test_record_pools_the_probabilities_of_its_lines():
     lang, conf, *_ = langid.judged(z, ["a b c d", "e f g h", "i j k l"], [1, 2, 3], None, 0.6)
     # Two of three lines have "de" ahead by little; pooled, "en" has 7 of 12 words.
     assert lang == "en" and abs(conf - 1.75 / 3) < 1e-6
+
+
+def test_languages_of_pages_in_one_pass(spark):
+    rows = [("a", "Policy Adviser", PAGE, "en"), ("b", None, PAGE, None), ("c", "x", None, "sv"), (None, "", "", "de"), ("d", "Rådgivare", "Vi söker dig som vill arbeta med vatten.\n" * 3, "English")]
+    df = spark.createDataFrame(rows, "dedupe_key string, title string, description_text string, lang_label string")
+    two = sorted(map(repr, langid.languages(page_lines(df, also=("lang_label",))).collect()))
+    assert two == sorted(map(repr, langid.page_languages(df).collect())) and len(two) == len(rows)
+    assert langid.page_languages(df.limit(0)).count() == 0
