@@ -14,8 +14,8 @@ from postmill.functions.session import spill
 
 BITS = 10  # each level splits a bucket into 1024
 LEVELS = 4
-# A document larger than this share of what a source still owes is not used for the rest, unless the others don't suffice.
-GRAIN = 0.05
+ROUNDS = 4  # how often what a document too large for the rest leaves open is filled from those after it
+CLOSE = 0.005  # share of a budget that may stay open without another round
 
 
 def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: str = "n_tokens", total: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,8 +35,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: str =
       source or with no tokens are never chosen. A mix whose sources are all empty has no selection
       and its shares are null. Repeated target rows of one mix and source are added up, with the
       larger max_repeats. Ties of hashes (rows with one key) are taken or left together.
-    * Each source stays under its budget, by about one document of at most GRAIN of the rest, if it has enough of
-      these, else by about one document.
+    * The documents of a source are taken in the order of their hashes, whatever their sizes, up to the first that is
+      larger than what is still owed. What is open then is filled from those after it that are not, and so on for ROUNDS
+      rounds or until CLOSE is reached; after the last round the next document is taken if that comes nearer to the budget.
+      So a large document is left out only where it does not fit any more.
 
     A source with a third of all rows is one sum per task and bucket before the shuffle, and of its
     rows only those of the boundary bucket are looked at again.
@@ -65,33 +67,58 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: str =
     # As long as the list of targets, which is checked before it is sent to the tasks.
     sent = (lambda d: d) if t.count() > 100_000 else F.broadcast
     owed = t.where(F.col("rest") > 0).select("mix", F.col("source").alias("ps"), "rest")
-    fine = F.sum(F.when(F.col("n") <= GRAIN * F.col("rest"), F.col("n")).otherwise(0))
-    enough = have.join(sent(owed), F.col("s") == F.col("ps")).groupBy("mix", "ps", "rest").agg(fine.alias("fine"))
-    owed = spill(enough.withColumn("grain", F.when(F.col("fine") >= F.col("rest"), F.floor(GRAIN * F.col("rest"))).otherwise(F.lit((1 << 62))).cast("bigint")))
-    part = have.join(sent(owed), (F.col("s") == F.col("ps")) & (F.col("n") <= F.col("grain"))).select("mix", "s", "k", "n", "h")
-
-    # Find, level by level, the boundary bucket: the first that does not fit whole into what is left.
-    edge = owed.select(F.col("mix").alias("em"), F.col("ps").alias("es"), F.col("rest").alias("left"), F.lit(0).cast("bigint").alias("prefix"))
-    for level in range(1, LEVELS + 1):
-        shift = 64 - BITS * level
-        inside = F.lit(True) if level == 1 else F.shiftrightunsigned("h", shift + BITS) == F.col("prefix")
-        here = part.join(sent(edge), (F.col("mix") == F.col("em")) & (F.col("s") == F.col("es")) & inside)
-        hist = here.groupBy("mix", "s", "left", F.shiftrightunsigned("h", shift).alias("b")).agg(F.sum("n").alias("n"))
-        run = Window.partitionBy("mix", "s").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("upto", F.sum("n").over(run)).where(F.col("upto") > F.col("left"))
-        first = F.min_by(F.struct("b", (F.col("left") - F.col("upto") + F.col("n")).alias("l")), "b").alias("e")
-        found = hist.groupBy("mix", "s").agg(first)
-        edge = spill(found.select(F.col("mix").alias("em"), F.col("s").alias("es"), F.col("e.l").alias("left"), F.col("e.b").alias("prefix")))
-    # The documents before the last boundary bucket are in; a source without one fits whole.
-    last = edge.select(F.col("em").alias("lm"), F.col("es").alias("ls"), F.col("prefix").alias("limit"))
-    plan = t.where(F.col("usable")).select("mix", F.col("source").alias("ps"), "passes", "rest")
-    plan = plan.join(owed.select(F.col("mix").alias("om"), F.col("ps").alias("os"), "grain"), (F.col("mix") == F.col("om")) & (F.col("ps") == F.col("os")), "left")
-    plan = plan.join(last, (F.col("mix") == F.col("lm")) & (F.col("ps") == F.col("ls")), "left").select(
-        "mix", "ps", "passes", F.coalesce("grain", F.lit(-1)).alias("grain"), F.coalesce("limit", F.lit(1 << (BITS * LEVELS))).alias("limit")
-    )
-    top = F.shiftrightunsigned("h", 64 - BITS * LEVELS)
+
+    top = BITS * LEVELS
+    place = F.shiftrightunsigned("h", 64 - top)
+
+    def boundary(edge: DataFrame) -> DataFrame:
+        """Level by level the bucket in which what is left of (em, es, left, lo, most) ends: (em, es, left, at, after, n).
+
+        Documents count from place lo on if they are no larger than most; those before ``at`` fit and leave
+        ``left``, the bucket holds n and ends before ``after``. A source that fits whole has no row.
+        """
+        out = None
+        edge = edge.withColumn("prefix", F.lit(0).cast("bigint")).withColumn("owed", F.col("left"))
+        for level in range(1, LEVELS + 1):
+            shift = 64 - BITS * level
+            inside = F.lit(True) if level == 1 else F.shiftrightunsigned("h", shift + BITS) == F.col("prefix")
+            here = have.join(sent(edge), (F.col("s") == F.col("es")) & inside & (place >= F.col("lo")) & (F.col("n") <= F.col("most")))
+            hist = here.groupBy("em", "es", "left", "lo", "most", F.shiftrightunsigned("h", shift).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+            run = Window.partitionBy("em", "es").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            hist = hist.withColumn("upto", F.sum("n").over(run)).where(F.col("upto") > F.col("left"))
+            first = F.min_by(F.struct("b", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), "lo", "most", "n", "c"), "b").alias("e")
+            found = spill(hist.groupBy("em", "es").agg(first).select("em", "es", "e.*"))
+            # A bucket of one document needs no finer look.
+            done = (F.col("c") == 1) | F.lit(level == LEVELS)
+            at, after = (F.shiftleft(F.col("b") + k, top - BITS * level) for k in (0, 1))
+            part = found.where(done).select("em", "es", "left", at.alias("at"), after.alias("after"), "n")
+            out = part if out is None else out.unionByName(part)
+            edge = found.where(~done).select("em", "es", "left", "lo", "most", F.col("b").alias("prefix"))
+            if level < LEVELS and edge.isEmpty():
+                break
+        return out
+
+    edge = owed.select(F.col("mix").alias("em"), F.col("ps").alias("es"), F.col("rest").alias("left"), F.lit(0).cast("bigint").alias("lo"), F.lit((1 << 62)).alias("most"))
+    taken = None
+    for turn in range(1, ROUNDS + 1):
+        b = boundary(edge).withColumnsRenamed({"em": "bm", "es": "bs", "left": "open"})
+        both = spill(edge.join(b, (F.col("em") == F.col("bm")) & (F.col("es") == F.col("bs")), "left").drop("bm", "bs"))
+        nearer = F.when(F.lit(turn == ROUNDS) & (F.col("n") - F.col("open") < F.col("open")), F.col("after")).otherwise(F.col("at"))
+        part = both.select("em", "es", "lo", F.coalesce(nearer, F.lit(1 << top)).alias("hi"), "most")
+        taken = part if taken is None else taken.unionByName(part)
+        edge = both.select("em", "es", F.col("open").alias("left"), F.col("after").alias("lo"), F.col("open").alias("most"))
+        # A source that fits whole has nothing open.
+        edge = edge.join(owed.select(F.col("mix").alias("om"), F.col("ps").alias("os"), "rest"), (F.col("em") == F.col("om")) & (F.col("es") == F.col("os")))
+        edge = spill(edge.where(F.col("left") > CLOSE * F.col("rest")).select("em", "es", "left", "lo", "most"))
+        if turn < ROUNDS and edge.isEmpty():
+            break
+    # One range of places for each round, so at most ROUNDS a target.
+    ranges = taken.groupBy(F.col("em").alias("lm"), F.col("es").alias("ls")).agg(F.collect_list(F.struct("lo", "hi", "most")).alias("ranges"))
+    plan = t.where(F.col("usable")).select("mix", F.col("source").alias("ps"), "passes")
+    plan = plan.join(ranges, (F.col("mix") == F.col("lm")) & (F.col("ps") == F.col("ls")), "left").select("mix", "ps", "passes", "ranges")
     chosen = have.join(sent(plan), F.col("s") == F.col("ps"))
-    chosen = chosen.withColumn("uses", F.col("passes") + F.when((F.col("n") <= F.col("grain")) & (top < F.col("limit")), 1).otherwise(0)).where("uses > 0")
+    part = F.coalesce(F.exists("ranges", lambda r: (place >= r["lo"]) & (place < r["hi"]) & (F.col("n") <= r["most"])), F.lit(False))
+    chosen = chosen.withColumn("uses", F.col("passes") + part.cast("int")).where("uses > 0")
     selection = chosen.select("mix", F.col("k").alias(key), F.col("s").alias("source"), "uses", F.col("n").alias(size))
 
     used = chosen.groupBy(F.col("mix").alias("um"), F.col("s").alias("us")).agg(F.sum(F.col("uses") * F.col("n")).alias("tokens"))

@@ -131,3 +131,18 @@ def test_thresholds_that_bands_do_not_hold_are_refused(spark):
         with pytest.raises(ValueError):
             near_duplicates(df, threshold=t)
     assert (1 - neardup.LEAST**neardup.ROWS) ** neardup.BANDS < 5e-4
+
+
+def test_long_documents_are_sampled_in_proportion(spark):
+    """A source of long and short documents gives both as it has them; only the tail of a budget goes to those that fit."""
+    rng = random.Random(7)
+    rows = [(i, "a", 400 if rng.random() < 0.2 else 40) for i in range(4000)] + [(10_000 + i, "b", 50) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.1, 1), ("m", "b", 0.9, 1)], "mix string, source string, target_share double, max_repeats int")
+    sel, shares = mix(docs, targets)
+    got = [r.n_tokens for r in sel.where("source = 'a'").collect()]
+    # A document of 400 is a twenty-eighth of the budget of about 11,100 tokens.
+    assert 0.1 < sum(n == 400 for n in got) / len(got) < 0.3
+    assert abs({r.source: r.actual_share for r in shares.collect()}["a"] - 0.1) < 0.002
+    one = spark.createDataFrame([(1, "a", 900), (2, "b", 1000)], "doc_id long, source string, n_tokens long")
+    assert {r.doc_id for r in mix(one, targets, total=1000)[0].collect()} == {2}
