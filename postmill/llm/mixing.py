@@ -37,8 +37,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: str =
       larger max_repeats. Ties of hashes (rows with one key) are taken or left together.
     * The documents of a source are taken in the order of their hashes, whatever their sizes, up to the first that is
       larger than what is still owed. What is open then is filled from those after it that are not, and so on for ROUNDS
-      rounds or until CLOSE is reached; after the last round the next document is taken if that comes nearer to the budget.
-      So a large document is left out only where it does not fit any more.
+      rounds or until CLOSE is reached. So a large document is left out only where it does not fit any more, and no source
+      is over its budget; one whose documents are all larger than it gives none.
 
     A source with a third of all rows is one sum per task and bucket before the shuffle, and of its
     rows only those of the boundary bucket are looked at again.
@@ -72,10 +72,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: str =
     place = F.shiftrightunsigned("h", 64 - top)
 
     def boundary(edge: DataFrame) -> DataFrame:
-        """Level by level the bucket in which what is left of (em, es, left, lo, most) ends: (em, es, left, at, after, n).
+        """Level by level the bucket in which what is left of (em, es, left, lo, most) ends: (em, es, left, at, after).
 
         Documents count from place lo on if they are no larger than most; those before ``at`` fit and leave
-        ``left``, the bucket holds n and ends before ``after``. A source that fits whole has no row.
+        ``left``, the bucket ends before ``after``. A source that fits whole has no row.
         """
         out = None
         edge = edge.withColumn("prefix", F.lit(0).cast("bigint")).withColumn("owed", F.col("left"))
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: str =
             # A bucket of one document needs no finer look.
             done = (F.col("c") == 1) | F.lit(level == LEVELS)
             at, after = (F.shiftleft(F.col("b") + k, top - BITS * level) for k in (0, 1))
-            part = found.where(done).select("em", "es", "left", at.alias("at"), after.alias("after"), "n")
+            part = found.where(done).select("em", "es", "left", at.alias("at"), after.alias("after"))
             out = part if out is None else out.unionByName(part)
             edge = found.where(~done).select("em", "es", "left", "lo", "most", F.col("b").alias("prefix"))
             if level < LEVELS and edge.isEmpty():
@@ -103,8 +103,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: str =
     for turn in range(1, ROUNDS + 1):
         b = boundary(edge).withColumnsRenamed({"em": "bm", "es": "bs", "left": "open"})
         both = spill(edge.join(b, (F.col("em") == F.col("bm")) & (F.col("es") == F.col("bs")), "left").drop("bm", "bs"))
-        nearer = F.when(F.lit(turn == ROUNDS) & (F.col("n") - F.col("open") < F.col("open")), F.col("after")).otherwise(F.col("at"))
-        part = both.select("em", "es", "lo", F.coalesce(nearer, F.lit(1 << top)).alias("hi"), "most")
+        part = both.select("em", "es", "lo", F.coalesce("at", F.lit(1 << top)).alias("hi"), "most")
         taken = part if taken is None else taken.unionByName(part)
         edge = both.select("em", "es", F.col("open").alias("left"), F.col("after").alias("lo"), F.col("open").alias("most"))
         # A source that fits whole has nothing open.
