@@ -12,16 +12,19 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.session import spill
+
 # A reference list up to this many rows is sent to every task (about 4 KB a name with its deletes);
-# a longer one is joined by delete keys.
+# a longer one is taken in ranges of this size.
 BROADCAST_ROWS = 20_000
+AREAS = 10_000  # different countries and regions that a reference list may name
 
 # Letters whose usual plain spelling is not just the letter without its mark.
 PLAIN = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "’": "'"})
@@ -149,17 +152,24 @@ class Lookup:
             for n in [name, *(aliases if aliases is not None else [])]:
                 if not n or not n.strip():
                     continue
-                if len(n) <= 4 and n.isupper():
+                code = len(n) <= 4 and n.isupper()
+                if code:
                     self.codes.setdefault(n, set()).add(pid)
-                else:
+                # A short alias in capitals is a code; a town's own name is also written in small letters.
+                if not code or n == name:
                     for v in {fold(n), fold(n, spelt=True)}:
                         self.names.setdefault(v, set()).add(pid)
         for a in areas:
             self.area(*a)
-        self.by_delete: dict[str, set[str]] = {}
+        self.longest = max(map(len, self.names), default=0)
+
+    @cached_property
+    def by_delete(self) -> dict[str, set[str]]:
+        out: dict[str, set[str]] = {}
         for v in self.names:
             for d in deletes(v, reach(v)):
-                self.by_delete.setdefault(d, set()).add(v)
+                out.setdefault(d, set()).add(v)
+        return out
 
     def area(self, country: str | None, code: str | None, region: str | None) -> None:
         for what, kind in ((country, "country"), (region, "region")):
@@ -172,7 +182,8 @@ class Lookup:
         """Entries within reach, as (weighted distance, place ids), for each spelling of the phrase."""
         found: dict[str, float] = {}
         for q in {fold(phrase), fold(phrase, spelt=True)}:
-            names = {n for d in deletes(q, 2) for n in self.by_delete.get(d, ())} if len(q) <= 60 else set()
+            # A phrase that is longer than every name by more than the distance is within reach of none.
+            names = {n for d in deletes(q, 2) for n in self.by_delete.get(d, ())} if len(q) <= self.longest + 2 else set()
             for n in names:
                 w = distance(q, n, min(reach(n), 2))
                 if w < found.get(n, float("inf")):
@@ -230,8 +241,11 @@ def phrases(value: str, lookup: Lookup) -> list[tuple[str, set[tuple[str, str]]]
     return out
 
 
-def towns(value: str | None, lookup: Lookup) -> list[tuple[str, int, float, float, int]]:
-    """(phrase, place_id, distance, rank, named) for every town a value names; place_id 0 for one not on the list.
+CODE, NAME, NEAR, MISS = range(4)
+
+
+def towns(value: str | None, lookup: Lookup) -> list[tuple[str, int, float, int, float, int]]:
+    """(phrase, place_id, distance, tier, rank, named) for every town a value names; place_id 0 for one not on the list.
 
     Nothing for null, blank or town-free values. A phrase that is a two-letter country code, a
     country or a region is a hint to its neighbours, and with no town beside it no case.
@@ -244,20 +258,20 @@ def towns(value: str | None, lookup: Lookup) -> list[tuple[str, int, float, floa
     for phrase, hints in parts:
         q = fold(phrase)
         if phrase in lookup.codes:
-            options = [(0.0, lookup.codes[phrase])]
+            tier, options = CODE, [(0.0, lookup.codes[phrase])]
         elif q in lookup.names:
-            options = [(0.0, lookup.names[q])]
+            tier, options = NAME, [(0.0, lookup.names[q])]
         else:
-            options = lookup.fuzzy(phrase)
+            tier, options = NEAR, lookup.fuzzy(phrase)
         if options:
             pid, w, (rank, named) = lookup.choose(options, hints or everywhere)
-            found.append((phrase, pid, w, rank, named))
+            found.append((phrase, pid, w, tier, rank, named))
         else:
-            found.append((phrase, 0, 0.0, 0.0, 0))
+            found.append((phrase, 0, 0.0, MISS, 0.0, 0))
     return found
 
 
-RESULT = "value string, phrase string, place_id bigint, distance double, rank double, named bigint"
+RESULT = "value string, n int, phrase string, place_id bigint, distance double, tier int, rank double, named bigint"
 
 
 def _reference(places: DataFrame) -> list[tuple]:
@@ -277,8 +291,9 @@ def map_places(
 
     A value that a third of all rows share is worked out once per task. The list is sent to the
     tasks only while it has at most ``broadcast_rows`` rows. A longer one is split into ranges of
-    that size; each task holds one range at a time and the best entry over all ranges is taken, so
-    the work grows with the list but no task holds more than a range.
+    that size, which pass through the driver one by one; each task holds one range at a time and the
+    best entry over all ranges is taken, so the work grows with the list but no task holds more than
+    a range. Both ways give the same rows: rows and the phrases of a value are numbered.
     """
     rows = values.select(*keys, F.col(column).alias("value")).where(F.col("value").isNotNull())
     rows = rows if keys else rows.distinct()
@@ -286,17 +301,21 @@ def map_places(
     out = [*keys, "value", "phrase", "place_id", "distance"]
     if n <= broadcast_rows:
         return _matched(rows, _reference(places), keys).select(*out)
-    # Countries and regions are a few hundred however long the list is.
-    areas = [tuple(r) for r in places.select("country", "country_code", "region").distinct().collect()]
+    areas = [tuple(r) for r in places.select("country", "country_code", "region").distinct().limit(AREAS + 1).collect()]
+    if len(areas) > AREAS:
+        raise ValueError(f"the reference list names more than {AREAS} countries and regions")
     parts = -(-n // broadcast_rows)
     split = places.withColumn("__part", F.pmod(F.xxhash64("place_id"), F.lit(parts)))
+    # The written table keeps its numbers, so that all ranges answer the same rows.
+    rows = spill(rows.withColumn("__row", F.monotonically_increasing_id()))
     found = None
     for k in range(parts):
-        one = _matched(rows, _reference(split.where(F.col("__part") == k)), keys, areas)
+        one = _matched(rows, _reference(split.where(F.col("__part") == k)), ["__row"], areas)
         found = one if found is None else found.unionByName(one)
-    best = F.struct((F.col("place_id") == 0).alias("miss"), "rank", "named", "place_id", "distance")
-    merged = found.groupBy(*keys, "value", "phrase").agg(F.min(best).alias("b"))
-    return merged.select(*keys, "value", "phrase", F.col("b.place_id").alias("place_id"), F.col("b.distance").alias("distance"))
+    best = F.struct("tier", "rank", "named", "place_id", "distance")
+    merged = found.groupBy("__row", "n").agg(F.min(best).alias("b"), F.first("phrase").alias("phrase"))
+    merged = merged.select("__row", "phrase", F.col("b.place_id").alias("place_id"), F.col("b.distance").alias("distance"))
+    return merged.join(rows, "__row").select(*out)
 
 
 def _matched(rows: DataFrame, reference: list[tuple], keys: Sequence[str], areas: list[tuple] = ()) -> DataFrame:
@@ -316,7 +335,7 @@ def _matched(rows: DataFrame, reference: list[tuple], keys: Sequence[str], areas
     # One count per entry of the list, so no longer than the list.
     counts = rows.select("value").mapInPandas(count, "place_id bigint, n bigint").groupBy("place_id").agg(F.sum("n").alias("n"))
     weights = sc.broadcast({r[0]: r[1] for r in counts.collect()})
-    names = [*keys, "value", "phrase", "place_id", "distance", "rank", "named"]
+    names = [*keys, "value", "n", "phrase", "place_id", "distance", "tier", "rank", "named"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def match(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -324,6 +343,6 @@ def _matched(rows: DataFrame, reference: list[tuple], keys: Sequence[str], areas
         memo = lru_cache(maxsize=100_000)(lambda v: towns(v, look))
         for pdf in it:
             cols = [pdf[k] for k in keys]
-            yield pd.DataFrame([(*r, *t) for r in zip(*cols, pdf["value"]) for t in memo(r[-1])], columns=names)
+            yield pd.DataFrame([(*r, i, *t) for r in zip(*cols, pdf["value"]) for i, t in enumerate(memo(r[-1]))], columns=names)
 
     return rows.mapInPandas(match, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), RESULT]))

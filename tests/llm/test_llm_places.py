@@ -65,3 +65,22 @@ def test_both_ways_agree(spark):
     assert keyed.where("k = 'b'").count() == 2 and keyed.where("k is null").first().place_id == 4
     assert {r.place_id for r in map_places(df, places.limit(0)).collect()} == {0}
     assert map_places(df.limit(0), places).count() == 0
+
+
+def test_long_names_are_reached_like_short_ones():
+    name = "Saint Ethelburga by the Old Mill Stream near the Long Water Meadows"
+    look = Lookup([*PLACES, (8, name, "Ireland", "IE", "British Isles", None), (9, "BONN", "Germany", "DE", "Central Europe", ["BNN"])])
+    for typed in (name.replace("burga", "bura"), name.replace("Old", "Odl"), name[:-1]):
+        assert [t[1] for t in towns(typed, look)] == [8]
+    assert [t[1] for t in towns("Bonn", look)] == [9] and [t[1] for t in towns("bonn; BNN", look)] == [9, 9]
+    assert [t[1] for t in towns("Q" * 100_000, look)] == [0]
+
+
+def test_ranges_give_the_rows_of_the_broadcast(spark):
+    """Repeated rows, one name in two countries within a value, codes beside names."""
+    places = spark.createDataFrame([*PLACES, (7, "Pfe", "Ireland", "IE", "British Isles", None)], SCHEMA)
+    rows = [("a", "Kooddalbyn, Australia; Kooddalbyn, Ireland"), ("a", "Kooddalbyn, Australia; Kooddalbyn, Ireland"), (None, "PFE"), ("b", "Grytrmfors | Grytrumfors"), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, value string")
+    cols = ["k", "value", "phrase", "place_id", "distance"]
+    whole = sorted(map(repr, map_places(df, places, keys=("k",)).select(cols).collect()))
+    assert whole == sorted(map(repr, map_places(df, places, keys=("k",), broadcast_rows=2).select(cols).collect())) and len(whole) == 7
