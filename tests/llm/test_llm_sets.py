@@ -1,15 +1,17 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from postmill.llm import neardup
 from postmill.llm.mixing import mix
 from postmill.llm.neardup import SignatureTree, bitmap, dual, expanded, near_duplicates, shingles
-from postmill.llm.packing import best_fit, fill_containers, least_containers, pack, report
+from postmill.llm.packing import best_fit, completions, fill_containers, least_containers, pack, report
 from postmill.llm.tokens import sized
 
 
@@ -146,3 +148,57 @@ def test_long_documents_are_sampled_in_proportion(spark):
     assert abs({r.source: r.actual_share for r in shares.collect()}["a"] - 0.1) < 0.002
     one = spark.createDataFrame([(1, "a", 900), (2, "b", 1000)], "doc_id long, source string, n_tokens long")
     assert mix(one, targets, total=1000)[0].count() == 0 and {r.doc_id for r in mix(one, targets, total=1112)[0].collect()} == {2}
+
+
+def fewest_containers(sizes, capacity):
+    """By trying every container for every item."""
+    best = len(sizes)
+
+    def put(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(sizes):
+            best = len(room)
+            return
+        for j in {r: j for j, r in enumerate(room) if r >= sizes[i]}.values():
+            put(i + 1, [*room[:j], room[j] - sizes[i], *room[j + 1 :]])
+        put(i + 1, [*room, capacity - sizes[i]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9), st.integers(30, 45))
+def test_packing_is_best_on_small_groups(sizes, capacity):
+    sizes = sorted(sizes, reverse=True)
+    want = fewest_containers(sizes, capacity)
+    assert least_containers(sizes, capacity) <= want == len(pack(sizes, capacity))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=60), st.integers(1, 200))
+def test_fullest_filling_is_among_the_completions(sizes, space):
+    reached = {0}
+    for s in sizes:
+        reached |= {r + s for r in reached if r + s <= space}
+    got = completions(sorted(set(sizes)), Counter(sizes), space)
+    assert sum(got[0]) == max(reached) and all(not Counter(f) - Counter(sizes) for f in got)
+
+
+def test_search_goes_on_and_beats_best_fit():
+    """Sizes near a third of the capacity, where best fit leaves room."""
+    rng, gains = random.Random(11), 0
+    for _ in range(20):
+        sizes = [rng.randrange(250, 420) for _ in range(60)]
+        gains += len(best_fit(sizes, 1000)) - len(pack(sizes, 1000))
+    assert gains >= 10
+
+
+def test_rows_without_a_key_spread_over_groups(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), (F.col("id") % 90 + 1).alias("n_tokens"))
+    out = fill_containers(df, 100, group=100)
+    # The group is in the number of a container, so one group would give numbers of one range.
+    groups = out.select(F.shiftright("container", 24).alias("g")).distinct().count()
+    assert groups >= 40 and out.count() == 4000 and report(out, 100).first().unused < 0.03
