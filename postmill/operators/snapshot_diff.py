@@ -41,14 +41,13 @@ def snapshot_changes(
     one row per snapshot. Two shuffles: by key and snapshot (combined), then by key.
     """
     content = F.xxhash64(*[strip_or_empty(F.col(f).cast("string")) for f in fields])
-    seen = F.coalesce(instant_us(F.col(recency).cast("string")), F.lit(0))
+    seen = F.coalesce(instant_us(F.col(recency).cast("string")), F.lit(-(1 << 63)))
     rows = df.select(F.col(snapshot).alias("__s"), canonical_key(key).alias("__k"), content.alias("__h"), seen.alias("__t"))
     rows = rows.where(F.col("__s").isNotNull() & F.col("__k").isNotNull())
-    # The last ten bits of the order break ties, so that the choice does not hang on task order.
-    order = F.col("__t") * 1024 + F.pmod(F.col("__h"), F.lit(1024))
-    states = rows.groupBy("__k", "__s").agg(F.max_by("__h", order).alias("__h"))
+    # The hash breaks ties, so that the choice does not hang on task order.
+    states = rows.groupBy("__k", "__s").agg(F.max(F.struct("__t", "__h")).alias("__m")).select("__k", "__s", F.col("__m.__h").alias("__h"))
 
-    # One row per snapshot, each a delivery of the whole table: so few that one task can number them.
+    # One row per snapshot, each a delivery of the whole table: so few that one task can number them and all can hold them.
     ids = df.select(F.col(snapshot).alias("__r")).where(F.col("__r").isNotNull()).distinct()
     order_of_runs = Window.orderBy("__r")
     index = ids.select("__r", F.row_number().over(order_of_runs).alias("__i"), F.lead("__r").over(order_of_runs).alias("__next"))

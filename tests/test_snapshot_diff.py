@@ -37,3 +37,12 @@ def test_equals_brute_force(spark):
 def test_empty_and_single(spark):
     assert snapshot_changes(spark.createDataFrame([], SCHEMA)).count() == 0
     assert snapshot_changes(spark.createDataFrame([(1, "k", "t", None, None, None, 0, None, "", "")], SCHEMA)).count() == 0
+
+
+def test_far_dates_and_ties(spark):
+    """A last_seen beyond the microseconds of a shifted clock, unreadable ones, and full ties."""
+    rows = [(1, "k", "old", None, None, None, 0, None, "2026-01-01T00:00:00Z", ""), (2, "k", "far", None, None, None, 0, None, "9999-12-31T23:59:59Z", ""), (2, "k", "old", None, None, None, 0, None, "never", "")]
+    rows += [(r, "t", x, None, None, None, 0, None, "2026-01-01T00:00:00Z", "") for r in (1, 2) for x in ("a", "b")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for parts in (1, 5):
+        assert [tuple(r) for r in snapshot_changes(df.repartition(parts)).collect()] == [(2, "k", "changed")]
