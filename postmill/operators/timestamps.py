@@ -2,15 +2,14 @@
 
 Every value becomes an array of its valid readings. Along the record order of each source a
 Viterbi pass picks one reading per value: changing the written form costs, so does a step back in
-time. What a source is known to do (its day/month order, its zone) is a hard condition on the
-readings; the pass decides where that leaves several.
+time, and a reading against what the source is known to do costs more than any path can save.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
@@ -19,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.session import spill
+
 # Month names and their usual short forms in en, de, fr, sv, da and es.
 MONTHS = {
     1: "january jan januar jänner janvier janv januari enero ene",
@@ -55,7 +56,8 @@ _LEAD = re.compile(r"^(?:(?:posted|publicerad|veröffentlicht|publié|publicado|
 _AGO = re.compile(r"^(?:vor|il y a|för|for|hace)?\s*(\d+|an?|one)\s*([^\W\d]+)\.?\s*(?:ago|sedan|siden)?$", re.I)
 _CLOCK = r"(\d{1,2})[:.h](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)?\s*([ap]\.?m\.?)?"
 _ISO = re.compile(r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T\s]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*(.*))?$", re.I)
-_PACKED = re.compile(r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?\s*(.*))?$", re.I)
+_WEEK = re.compile(r"^(\d{4})-?W(\d{2})-?([1-7])$", re.I)
+_PACKED = re.compile(r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?\s*(.*))?$", re.I)
 _FIGURES = re.compile(rf"^(\d{{1,2}})([/.])(\d{{1,2}})\2(\d{{4}}|\d{{2}})(?:,?\s+{_CLOCK}\s*(.*))?$", re.I)
 _DAY_WORD = re.compile(
     rf"^(?:[^\W\d]{{2,10}}\.?,?\s+)?(\d{{1,2}})(?:\.|st|nd|rd|th|er)?\s+(?:de\s+)?([^\W\d]+)\.?,?\s+(?:de\s+)?(\d{{4}})(?:,?\s+(?:à|kl\.?|um|at|a las)?\s*{_CLOCK}\s*(?:uhr)?\s*(.*))?$",
@@ -100,11 +102,12 @@ def local(naive: datetime, tz: ZoneInfo) -> list[datetime]:
 
 @dataclass(frozen=True)
 class Reading:
-    """One way to take a value. ``form`` names the written form, ``us`` orders readings in time."""
+    """One way to take a value. ``form`` names the written form, ``us`` orders readings in time, ``cost`` is that of the reading alone."""
 
     form: str
     norm: str
     us: int
+    cost: float = 0.0
 
 
 def _instant(form: str, at: datetime, ms: int) -> Reading:
@@ -129,8 +132,13 @@ def _built(form: str, y: int, mo: int, d: int, clock: tuple, rest: str | None, b
         if not 1 <= h <= 12:
             return []
         h = h % 12 + (12 if half == "pm" else 0)
-    if h > 23 or mi > 59 or s > 59:
+    if h > 23 or mi > 59 or s > 60:
         return []
+    if s == 60:
+        # A leap second ends a day in UTC; it is taken as the instant after it.
+        at = _built(form, y, mo, d, (clock[0], clock[1], "59", None, clock[4]), rest, board_zone)
+        after = [Reading(r.form, _instant("", EPOCH + timedelta(microseconds=r.us + 1_000_000), 0).norm, r.us + 1_000_000) for r in at]
+        return [r for r in after if r.us % 86_400_000_000 == 0]
     naive, ms = datetime(y, mo, d, h, mi, s), int((part + "000")[:3])
     m = _ZONE.match((rest or "").strip())
     if not m:
@@ -151,16 +159,29 @@ def _built(form: str, y: int, mo: int, d: int, clock: tuple, rest: str | None, b
         return []
 
 
+CONTRARY = 1e9  # cost of a reading against what the board is known to do: more than a path can save
+
+
 def readings(value: str | None, fetched_at: str | None, board_zone: str | None, date_order: str | None) -> list[Reading]:
-    """All valid readings of a value; none when no instant or day follows from it."""
+    """The readings of a value that agree with what is known of its board."""
+    return [r for r in interpretations(value, fetched_at, board_zone, date_order) if r.cost < CONTRARY]
+
+
+def interpretations(value: str | None, fetched_at: str | None, board_zone: str | None, date_order: str | None) -> list[Reading]:
+    """All valid readings of a value, with their costs; none when no instant or day follows from it."""
     v = " ".join((value or "").split())
     if not v:
         return []
-    if re.fullmatch(r"\d{9,13}", v):
-        # Ten figures reach seconds of this era, thirteen reach milliseconds.
-        n = int(v)
-        s, ms = (n, 0) if len(v) <= 10 else divmod(n, 1000)
-        return [_instant("epoch", EPOCH + timedelta(seconds=s), ms)]
+    if re.fullmatch(r"\d{9,13}|\d{15,19}", v):
+        # Ten figures reach seconds of this era, thirteen milliseconds, sixteen microseconds, nineteen nanoseconds.
+        unit = next(u for most, u in ((10, 1), (13, 1000), (17, 1_000_000), (19, 1_000_000_000)) if len(v) <= most)
+        s, part = divmod(int(v), unit)
+        return [_instant("epoch", EPOCH + timedelta(seconds=s), part * 1000 // unit)]
+    if m := _WEEK.match(v):
+        try:
+            return [_day("week", date.fromisocalendar(*map(int, m.groups())))]
+        except ValueError:
+            return []
     v = _LEAD.sub("", v)
     low = v.lower()
     if low in TODAY or low in YESTERDAY or (ago := _AGO.match(low)):
@@ -189,11 +210,13 @@ def readings(value: str | None, fetched_at: str | None, board_zone: str | None,
     if m := _FIGURES.match(v):
         a, mark, b, y, *g = m.groups()
         y = int(y) + (2000 if len(y) == 2 else 0)
-        orders = ["DMY"] if mark == "." else [date_order] if date_order in ("DMY", "MDY") else ["DMY", "MDY"]
         out = []
-        for o in orders:
+        # The board's own order comes first, so that it names a date that reads alike both ways.
+        for o in ["DMY"] if mark == "." else sorted(("DMY", "MDY"), key=lambda o: o != date_order):
             d, mo = (int(a), int(b)) if o == "DMY" else (int(b), int(a))
-            out += [r for r in _built(f"figures{mark}{o}", y, mo, d, tuple(g[:5]), g[5], board_zone) if r.norm not in {x.norm for x in out}]
+            against = CONTRARY if mark == "/" and date_order in ("DMY", "MDY") and o != date_order else 0.0
+            same = {x.norm for x in out}
+            out += [replace(r, cost=against) for r in _built(f"figures{mark}{o}", y, mo, d, tuple(g[:5]), g[5], board_zone) if r.norm not in same]
         return out
     if m := _DAY_WORD.match(v):
         d, word, y, *g = m.groups()
@@ -215,21 +238,21 @@ def step_cost(a: Reading, b: Reading) -> float:
 
 
 def block_matrix(seq: list[list[Reading]]) -> list[list[float]]:
-    """Least cost from each reading of the first value to each reading of the last one."""
+    """Least cost from each reading of the first value to each reading of the last one, without that of the first reading."""
     first = seq[0]
     rows = [[0.0 if i == j else float("inf") for j in range(len(first))] for i in range(len(first))]
     for prev, cur in zip(seq, seq[1:]):
-        cost = [[step_cost(a, b) for a in prev] for b in cur]
+        cost = [[step_cost(a, b) + b.cost for a in prev] for b in cur]
         rows = [[min(r[k] + c[k] for k in range(len(prev))) for c in cost] for r in rows]
     return rows
 
 
 def viterbi(seq: list[list[Reading]], start: list[float] | None = None, end: int | None = None) -> list[int]:
     """The cheapest choice of one reading per value; ties go to the earlier reading."""
-    cost, back = list(start or [0.0] * len(seq[0])), []
+    cost, back = list(start or [r.cost for r in seq[0]]), []
     for prev, cur in zip(seq, seq[1:]):
         best = [min(range(len(prev)), key=lambda k: (cost[k] + step_cost(prev[k], b), k)) for b in cur]
-        cost = [cost[k] + step_cost(prev[k], b) for k, b in zip(best, cur)]
+        cost = [cost[k] + step_cost(prev[k], b) + b.cost for k, b in zip(best, cur)]
         back.append(best)
     at = min(range(len(cost)), key=lambda k: (cost[k], k)) if end is None else end
     path = [at]
@@ -241,13 +264,21 @@ def viterbi(seq: list[list[Reading]], start: list[float] | None = None, end: int
 BLOCK = 20_000
 
 
+PARSED = "row_id bigint, value string, forms array<string>, norms array<string>, us array<bigint>, costs array<double>"
+
+
+def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of values with what is known of their boards gain the parts of their readings."""
+    for pdf in it:
+        known = [[x if isinstance(x, str) else None for x in pdf[c]] for c in ("value", "fetched_at", "time_zone", "date_order")]
+        all_ = [interpretations(*x) for x in zip(*known)]
+        parts = {name: [[getattr(r, a) for r in rs] for rs in all_] for name, a in (("forms", "form"), ("norms", "norm"), ("us", "us"), ("costs", "cost"))}
+        yield pdf.drop(columns=["fetched_at", "time_zone", "date_order"]).assign(**parts)
+
+
 def _readable(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[list[Reading]]]:
-    pdf = pdf.sort_values(["row_id", "value", "fetched_at"], kind="stable", na_position="first").reset_index(drop=True)
-    # Blocks come back from parquet or Arrow with NaN for null.
-    text = [x if isinstance(x, str) else None for x in pdf["fetched_at"]]
-    zones = [x if isinstance(x, str) else None for x in pdf["time_zone"]]
-    orders = [x if isinstance(x, str) else None for x in pdf["date_order"]]
-    return pdf, [readings(v, f, z, o) for v, f, z, o in zip(pdf["value"], text, zones, orders)]
+    pdf = pdf.sort_values(["row_id", "value"], kind="stable", na_position="first").reset_index(drop=True)
+    return pdf, [[Reading(f, n, int(u), float(c)) for f, n, u, c in zip(*x)] for x in zip(pdf["forms"], pdf["norms"], pdf["us"], pdf["costs"])]
 
 
 def normalise(df: DataFrame, boards: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -256,37 +287,47 @@ def normalise(df: DataFrame, boards: DataFrame, *, block: int = BLOCK) -> DataFr
     ``boards(board, time_zone, date_order)`` tells what is known of each board. The result has
     (tbl, board, row_id, value, readings array<string>, chosen, norm). ``readings`` are all valid
     readings, ``chosen`` the one on the cheapest path through the board's records in row order, or
-    null; ``norm`` is ``chosen`` when it is the only reading or the board's form decided it, else
-    ``unresolved``.
+    null; ``norm`` is ``chosen`` when it agrees with what is known and is the only reading of its
+    form, else ``unresolved``.
 
     * Null and blank values are left out. A value without a valid reading is ``unresolved``.
+    * Both orders of day and month are read. The board's own costs nothing and the other CONTRARY,
+      so the path takes that one only where it is the only one, and the norm is ``unresolved``; on a
+      board without a known order the path decides.
     * A local time that came twice keeps both readings; since no single instant follows, its norm
       is ``unresolved`` although the path has a choice. One that never came has no reading.
-    * A board that is missing or has no zone leaves local times and ages unresolved; without a
-      day/month order both orders are read and the path decides. A null board is a board of its own.
-    * Repeated rows come out as often as they went in. Further columns are ignored.
-
-    The records of a board are cut into blocks of ``block`` row numbers. The cost matrix of each
-    block (first by last reading) is all that is put in sequence, so a board with a third of all
-    rows still spreads over the cluster. Only blocks with a choice to make are put in sequence.
+    * A board that is missing or has no zone leaves local times and ages unresolved. A null board is
+      a board of its own. Rows with a null row_id come before all others, in no order of their own.
+    * Epochs are read in seconds to nanoseconds, a leap second as the instant after it, ISO week
+      dates as days; a week alone is none. Repeated rows come out as often as they went in. Further
+      columns are ignored.
+
+    Values are read once and written down. The records of a board are cut into blocks of ``block``
+    row numbers, rows without one by their place in the written table. The cost matrix of each block
+    (first by last reading) is all that is put in sequence, so a board with a third of all rows
+    still spreads over the cluster.
     """
+    # A board is a row of a configuration; a list of them too long to send is joined by shuffle.
     known = boards.select(F.col("board").alias("__b"), "time_zone", "date_order").dropDuplicates(["__b"])
     rows = df.select("tbl", "board", F.col("row_id").cast("bigint").alias("row_id"), "value", "fetched_at")
     rows = rows.where(F.regexp_replace("value", r"(?U)\s", "") != "")
     rows = rows.join(known, F.col("board") == F.col("__b"), "left").drop("__b")
-    rows = rows.withColumn("block", F.floor(F.col("row_id") / F.lit(block)))
+    # Null row numbers get blocks below all others.
+    loose = F.floor(F.monotonically_increasing_id() / F.lit(block)) - F.lit(1 << 50)
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("row_id") / F.lit(block)), loose))
     fields = "tbl string, board string, block bigint, "
+    rows = spill(rows.select("tbl", "board", "block", "row_id", "value", "fetched_at", "time_zone", "date_order").mapInPandas(parse, fields + PARSED))
 
     def read_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, all_ = _readable(pdf)
         seq = [r for r in all_ if r]
         m = block_matrix(seq) if seq else []
-        choice = any(len({x.form for x in r}) > 1 for r in seq)
-        ends = [[(x.form, x.us) for x in r] for r in (seq[:1] + seq[-1:])]
+        ends = [[(x.form, x.us, x.cost) for x in r] for r in (seq[:1] + seq[-1:])]
+        first, last = ends or ([], [])
         return pd.DataFrame([{
-            "tbl": pdf["tbl"][0], "board": pdf["board"][0], "block": pdf["block"][0], "matrix": m, "choice": choice,
-            "first_form": [f for f, _ in ends[0]] if ends else [], "first_us": [u for _, u in ends[0]] if ends else [],
-            "last_form": [f for f, _ in ends[1]] if ends else [], "last_us": [u for _, u in ends[1]] if ends else [],
+            "tbl": pdf["tbl"][0], "board": pdf["board"][0], "block": pdf["block"][0], "matrix": m,
+            "first_form": [x[0] for x in first], "first_us": [x[1] for x in first], "first_cost": [x[2] for x in first],
+            "last_form": [x[0] for x in last], "last_us": [x[1] for x in last],
         }])
 
     def link_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -297,18 +338,21 @@ def normalise(df: DataFrame, boards: DataFrame, *, block: int = BLOCK) -> DataFr
         cost: list[float] = []
         back: list[tuple[list[int], list[int]]] = []
         for n, i in enumerate(live):
-            first = [Reading(f, "", u) for f, u in zip(pdf["first_form"][i], pdf["first_us"][i])]
+            first = [Reading(f, "", u, c) for f, u, c in zip(pdf["first_form"][i], pdf["first_us"][i], pdf["first_cost"][i])]
             if n == 0:
-                enter, via = [0.0] * len(first), [0] * len(first)
+                enter, via = [b.cost for b in first], [0] * len(first)
             else:
                 p = live[n - 1]
                 last = [Reading(f, "", u) for f, u in zip(pdf["last_form"][p], pdf["last_us"][p])]
                 via = [min(range(len(last)), key=lambda k: (cost[k] + step_cost(last[k], b), k)) for b in first]
-                enter = [cost[k] + step_cost(last[k], b) for k, b in zip(via, first)]
+                enter = [cost[k] + step_cost(last[k], b) + b.cost for k, b in zip(via, first)]
             m = pdf["matrix"][i]
             out = range(len(pdf["last_form"][i]))
             frm = [min(range(len(first)), key=lambda k: (enter[k] + m[k][j], k)) for j in out]
             cost = [enter[k] + m[k][j] for j, k in enumerate(frm)]
+            # Many contrary readings must not drown the steps in rounding.
+            least = min(cost)
+            cost = [c - least for c in cost]
             back.append((via, frm))
         if live:
             at = min(range(len(cost)), key=lambda k: (cost[k], k))
@@ -327,13 +371,13 @@ def normalise(df: DataFrame, boards: DataFrame, *, block: int = BLOCK) -> DataFr
         picks = iter(viterbi(seq, [0.0 if k == start else float("inf") for k in range(len(seq[0]))], end) if seq else [])
         chosen = [r[next(picks)] if r else None for r in all_]
         # Two instants of one form come from a clock that showed the time twice: nothing decides between them.
-        norm = [c.norm if c and sum(x.form == c.form for x in r) == 1 else UNRESOLVED for c, r in zip(chosen, all_)]
+        norm = [c.norm if c and c.cost < CONTRARY and sum(x.form == c.form for x in r) == 1 else UNRESOLVED for c, r in zip(chosen, all_)]
         return pd.DataFrame({"tbl": pdf["tbl"], "board": pdf["board"], "row_id": pdf["row_id"], "value": pdf["value"],
                              "readings": [[x.norm for x in r] for r in all_], "chosen": [c.norm if c else None for c in chosen], "norm": norm})
 
     key = ["tbl", "board", "block"]
     blocks = rows.groupBy(*key).applyInPandas(
-        read_block, fields + "matrix array<array<double>>, choice boolean, first_form array<string>, first_us array<bigint>, last_form array<string>, last_us array<bigint>"
+        read_block, fields + "matrix array<array<double>>, first_form array<string>, first_us array<bigint>, first_cost array<double>, last_form array<string>, last_us array<bigint>"
     )
     links = blocks.groupBy("tbl", "board").applyInPandas(link_blocks, fields + "start int, end int")
     same = [rows[c].eqNullSafe(links[c]) for c in key]
@@ -341,10 +385,3 @@ def normalise(df: DataFrame, boards: DataFrame, *, block: int = BLOCK) -> DataFr
     return joined.groupBy(*key).applyInPandas(
         settle, "tbl string, board string, row_id bigint, value string, readings array<string>, chosen string, norm string"
     )
-
-
-def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Readings of rows whose order does not matter: (value, fetched_at, time_zone, date_order) gains norm."""
-    for pdf in it:
-        out = [readings(v, f, z, o) for v, f, z, o in zip(pdf["value"], pdf["fetched_at"], pdf["time_zone"], pdf["date_order"])]
-        yield pdf.assign(norm=[r[0].norm if len(r) == 1 else UNRESOLVED for r in out])

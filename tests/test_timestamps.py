@@ -3,7 +3,7 @@ from itertools import product
 
 import pytest
 
-from postmill.operators.timestamps import Reading, block_matrix, normalise, readings, step_cost, viterbi
+from postmill.operators.timestamps import CONTRARY, Reading, block_matrix, interpretations, normalise, readings, step_cost, viterbi
 
 CASES = [
     ("2025-08-17T10:31:25.301Z", "Europe/Paris", "DMY", "2025-08-17T10:31:25.301Z"),
@@ -78,3 +78,28 @@ def test_normalise_defined_results(spark):
         assert got[(None, 20)] == "2025-01-01" and got[("unknown", 5)] == "unresolved"
         assert sum(r.row_id == 1 for r in out) == 2
     assert normalise(df.limit(0), boards).count() == 0
+
+
+@pytest.mark.parametrize(
+    "value,want",
+    [
+        ("1749013960066123", "2025-06-04T05:12:40.066Z"), ("1749013960066123456", "2025-06-04T05:12:40.066Z"), ("20260210120000", "2026-02-10T11:00:00.000Z"),
+        ("2016-12-31T23:59:60Z", "2017-01-01T00:00:00.000Z"), ("2017-01-01T00:59:60+01:00", "2017-01-01T00:00:00.000Z"), ("2016-12-31T22:59:60Z", "unresolved"),
+        ("2026-W05-3", "2026-01-28"), ("2026W053", "2026-01-28"), ("2026-W54-1", "unresolved"), ("2026-W05", "unresolved"),
+    ],
+)
+def test_rarer_forms(value, want):
+    r = readings(value, FETCHED, "Europe/Berlin", "DMY")
+    assert (r[0].norm if len(r) == 1 else "unresolved") == want
+
+
+def test_the_path_decides_the_order(spark):
+    """One board known to put the month first, one unknown: the same values, read both ways."""
+    assert {(r.norm, r.cost) for r in interpretations("03/04/2025", FETCHED, "Europe/Berlin", "MDY")} == {("2025-03-04", 0.0), ("2025-04-03", CONTRARY)}
+    boards = spark.createDataFrame([("known", "Europe/Berlin", "MDY"), ("day", "Europe/Berlin", None), ("month", "Europe/Berlin", None)], "board string, time_zone string, date_order string")
+    values = {"known": ["03/04/2025", "25/04/2025"], "day": ["24/03/2025", "03/04/2025", "25/04/2025"], "month": ["03/24/2025", "04/03/2025", "04/25/2025"]}
+    rows = [("t", b, i, v, FETCHED) for b, vs in values.items() for i, v in enumerate(vs)] + [("t", "day", None, "03/04/2025", FETCHED)] * 3
+    out = normalise(spark.createDataFrame(rows, "tbl string, board string, row_id long, value string, fetched_at string"), boards, block=2).collect()
+    got = {(r.board, r.row_id): r.norm for r in out}
+    assert got[("known", 0)] == "2025-03-04" and got[("known", 1)] == "unresolved"
+    assert got[("day", 1)] == got[("month", 1)] == "2025-04-03" and len(out) == len(rows)
