@@ -21,21 +21,54 @@ def confusion(verdicts: DataFrame, *, wanted: str = "wanted", kept: str = "kept"
 
 
 def layer_report(verdicts: DataFrame, layers: int) -> DataFrame:
-    """Per layer 1..layers: how many reached it, were dropped by it, and how many of these were wanted.
+    """Per layer 1..layers: how many reached it, were dropped by it, and how many of these were wanted."""
+    return layer_confusion(verdicts, layers).select("layer", "reached", "dropped", "wanted_lost")
+
+
+def layer_confusion(verdicts: DataFrame, layers: int) -> DataFrame:
+    """Per layer 1..layers: what reached it, what it dropped, how many of these were wanted, and the confusion after it.
 
     ``verdicts`` has depth (the layer that dropped the row, layers + 1 if none did) and wanted.
+    drop_precision is the share of its drops that were not wanted, null without drops.
     """
     counts = verdicts.groupBy("depth").agg(F.count("*").alias("n"), F.count_if("wanted").alias("w"))
     depths = verdicts.sparkSession.range(1, layers + 2).select(F.col("id").cast("int").alias("depth"))
     full = depths.join(counts, "depth", "left").fillna(0)
     # One row per layer, so the window has a handful of rows.
     later = Window.orderBy("depth").rowsBetween(0, Window.unboundedFollowing)
-    return full.select(F.col("depth").alias("layer"), F.sum("n").over(later).alias("reached"), F.col("n").alias("dropped"), F.col("w").alias("wanted_lost")).where(F.col("layer") <= layers)
+    past, sofar = Window.orderBy("depth").rowsBetween(1, Window.unboundedFollowing), Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    unwanted = F.col("n") - F.col("w")
+    report = full.select(
+        F.col("depth").alias("layer"), F.sum("n").over(later).alias("reached"), F.col("n").alias("dropped"), F.col("w").alias("wanted_lost"),
+        F.coalesce(F.sum("w").over(past), F.lit(0)).alias("tp"), F.coalesce(F.sum(unwanted).over(past), F.lit(0)).alias("fp"),
+        F.sum("w").over(sofar).alias("fn"), F.sum(unwanted).over(sofar).alias("tn"),
+        F.round(F.try_divide(unwanted, F.col("n")), 6).alias("drop_precision"),
+    )
+    return report.where(F.col("layer") <= layers)
 
 
 def rule_counts(drops: DataFrame) -> DataFrame:
-    """(layer, rule, n, wanted): what each rule dropped."""
-    return drops.groupBy("layer", "rule").agg(F.count("*").alias("n"), F.count_if("wanted").alias("wanted"))
+    """(layer, rule, n, wanted): what each rule dropped, costliest first within a layer."""
+    counts = drops.groupBy("layer", "rule").agg(F.count("*").alias("n"), F.count_if("wanted").alias("wanted"))
+    return counts.orderBy("layer", F.desc("wanted"), F.desc("n"), "rule")
+
+
+def costly_rules(drops: DataFrame) -> DataFrame:
+    """(layer, rule, lost, n): the rules that dropped wanted rows, worst first."""
+    return rule_counts(drops).where("wanted > 0").select("layer", "rule", F.col("wanted").alias("lost"), "n").orderBy(F.desc("lost"), F.desc("n"), "rule")
+
+
+def net_effect(before: DataFrame, after: DataFrame, *, key: str, kept: str = "kept", wanted: str = "wanted") -> DataFrame:
+    """One row: keys newly kept and newly dropped by ``after``, and how many of each are wanted."""
+    both = before.select(key, F.col(kept).alias("b"), wanted).join(after.select(key, F.col(kept).alias("a")), key)
+    w, gained, lost = F.col(wanted), F.col("a") & ~F.col("b"), F.col("b") & ~F.col("a")
+    return both.agg(F.count_if(gained).alias("newly_kept"), F.count_if(lost).alias("newly_dropped"), F.count_if(gained & w).alias("recovered"), F.count_if(lost & w).alias("newly_lost"))
+
+
+def changed_verdicts(before: DataFrame, after: DataFrame, *, key: str, kept: str = "kept", wanted: str = "wanted", title: str = "title") -> DataFrame:
+    """(key, title, wanted, newly_kept) of the keys that one keeps and the other drops; newly kept first, then the wanted, then by title."""
+    both = before.select(key, title, wanted, F.col(kept).alias("b")).join(after.select(key, F.col(kept).alias("a")), key).where("a <> b")
+    return both.select(key, title, wanted, F.col("a").alias("newly_kept")).orderBy(F.desc("newly_kept"), F.desc(wanted), title, key)
 
 
 def unanimous(labels: DataFrame, *, key: str, label: str, ordinal: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,6 +42,159 @@ def count_misses(stored: DataFrame, sighted: DataFrame, scraped: DataFrame, *, k
     return both.withColumn("misses", misses.cast("int")).drop("__seen", "__ok")
 
 
+# The states of a stored posting.
+STATES = ("new", "seen", "shortlisted", "rejected", "delisted")
+OVERWRITTEN = ("source_name", "company", "title", "location", "detail_url", "apply_url")
+
+
+def merge_sightings(stored: DataFrame, batch: DataFrame, *, run_id: int, now: str, status: str = "new") -> DataFrame:
+    """Merge what a run sighted into the store, one row per key.
+
+    ``batch`` has the columns of the store that a reader knows, and ord, the order in the batch. New
+    keys get first_seen and last_seen ``now`` and ``status``. Known ones keep first_seen and status,
+    but for delisted, which becomes seen; the descriptive columns and last_seen, last_run_id are
+    overwritten; experience_level and description_text only by what is not empty, with
+    description_fetched_at going along with the text; misses fall to 0; hybrid_confirmed only rises.
+    All other columns stay. Rows without a key are left out; of rows with one key the last counts,
+    for the sticky columns the last that is not empty.
+    """
+    if status not in STATES:
+        raise ValueError(f"unknown status {status!r}")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in batch.columns else F.lit("")
+    has = lambda c: F.when(text(c) != "", F.col("ord"))
+    rows = batch.where(F.coalesce(F.col("dedupe_key"), F.lit("")) != "")
+    folded = rows.groupBy("dedupe_key").agg(
+        *[F.max_by(text(c), "ord").alias(f"b_{c}") for c in OVERWRITTEN],
+        F.coalesce(F.max_by(text("experience_level"), has("experience_level")), F.lit("")).alias("b_level"),
+        F.max_by(F.struct(text("description_text").alias("t"), text("description_fetched_at").alias("at")), has("description_text")).alias("b_text"),
+        F.max(F.coalesce(F.col("hybrid_confirmed").cast("int"), F.lit(0)) if "hybrid_confirmed" in batch.columns else F.lit(0)).alias("b_hybrid"),
+    )
+    both = stored.join(folded, "dedupe_key", "full_outer")
+    hit, new = F.col("b_title").isNotNull(), F.col("first_seen").isNull()
+    told = F.col("b_text").isNotNull()
+    made = {c: F.when(hit, F.col(f"b_{c}")).otherwise(F.col(c)) for c in OVERWRITTEN} | {
+        "first_seen": F.when(new, now).otherwise(F.col("first_seen")),
+        "last_seen": F.when(hit, now).otherwise(F.col("last_seen")),
+        "last_run_id": F.when(hit, F.lit(run_id)).otherwise(F.col("last_run_id")).cast("bigint"),
+        "status": F.when(new, status).when(hit & (F.col("status") == "delisted"), "seen").otherwise(F.col("status")),
+        "experience_level": F.when(F.col("b_level") != "", F.col("b_level")).otherwise(F.coalesce("experience_level", F.lit(""))),
+        "misses": F.when(hit, 0).otherwise(F.col("misses")),
+        "hybrid_confirmed": F.greatest(F.coalesce("hybrid_confirmed", F.lit(0)), F.coalesce("b_hybrid", F.lit(0))),
+        "description_text": F.when(told, F.col("b_text.t")).otherwise(F.coalesce("description_text", F.lit(""))),
+        "description_fetched_at": F.when(told, F.col("b_text.at")).otherwise(F.coalesce("description_fetched_at", F.lit(""))),
+    }
+    return both.select(*[made[c].alias(c) if c in made else F.col(c) for c in stored.columns])
+
+
+def merge_counts(stored: DataFrame, batch: DataFrame, *, key: str = "dedupe_key") -> DataFrame:
+    """One row: keys that a merge inserts, and rows that it updates (a second row of a new key counts as one)."""
+    rows = batch.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.count("*").alias("n"))
+    both = rows.join(stored.select(key).withColumn("known", F.lit(True)), key, "left")
+    new = F.col("known").isNull()
+    return both.agg(F.count_if(new).alias("inserted"), F.coalesce(F.sum(F.col("n") - new.cast("int")), F.lit(0)).alias("updated"))
+
+
+def delist(stored: DataFrame, sighted: DataFrame, scraped: DataFrame, *, threshold: int, forced: Sequence[str] = ()) -> DataFrame:
+    """The store after a run's misses: counters, and who is delisted by them.
+
+    Only postings of ``scraped`` sources (read well, with rows) change: sighted ones fall to 0
+    misses, unsighted ones that are not delisted gain one, and new or seen ones with ``threshold``
+    misses are delisted. New and seen postings of ``forced`` sources are delisted at once.
+    """
+    if threshold < 1:
+        raise ValueError(f"the threshold must be at least 1, got {threshold}")
+    s = sighted.select("dedupe_key").distinct().withColumn("__seen", F.lit(True))
+    ok = scraped.select("source_name").distinct().withColumn("__ok", F.lit(True))
+    both = stored.join(s, "dedupe_key", "left").join(ok, "source_name", "left")
+    had = F.coalesce("misses", F.lit(0))
+    n = F.when(F.col("__ok") & F.col("__seen"), 0).when(F.col("__ok") & (F.col("status") != "delisted"), had + 1).otherwise(had)
+    open_ = F.col("status").isin("new", "seen")
+    gone = open_ & ((F.coalesce("__ok", F.lit(False)) & (F.col("__n") >= threshold)) | F.col("source_name").isin(list(forced)))
+    out = both.withColumn("__n", n.cast("int")).withColumn("status", F.when(gone, "delisted").otherwise(F.col("status"))).withColumn("misses", F.col("__n"))
+    return out.select(*stored.columns)
+
+
+def with_changes(stored: DataFrame, changes: DataFrame, column: str, *, key: str = "dedupe_key", where: Column | None = None) -> DataFrame:
+    """The store with ``column`` replaced for the keys of ``changes`` (key, column), where ``where`` holds.
+
+    An empty value is refused when it is read, since empty means not determined. Of several changes
+    of one key the greatest counts.
+    """
+    new = changes.groupBy(key).agg(F.max(column).alias("__new"))
+    checked = F.when(F.coalesce(F.col("__new"), F.lit("")) == "", F.raise_error(F.lit(f"refusing to write an empty {column}"))).otherwise(F.col("__new"))
+    both = stored.join(new.withColumn("__hit", F.lit(True)), key, "left")
+    hit = F.coalesce("__hit", F.lit(False)) & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    return both.withColumn(column, F.when(hit, checked).otherwise(F.col(column))).select(*stored.columns)
+
+
+def row_numbers(tokens: Sequence[str]) -> list[int]:
+    """Numbers and inclusive ranges like 9-12 as numbers; anything else is refused."""
+    out: list[int] = []
+    for token in tokens:
+        a, dash, b = token.partition("-")
+        if not a.strip().isdigit() or dash and not b.strip().isdigit():
+            raise ValueError(f"{token!r} is neither a row number nor a range")
+        first, last = int(a), int(b) if dash else int(a)
+        if first > last:
+            raise ValueError(f"the range {token!r} runs backwards")
+        out += range(first, last + 1)
+    return out
+
+
+def decide(stored: DataFrame, sheet: DataFrame, decisions: dict[str, Sequence[int]], sweep: str | None = None) -> DataFrame:
+    """The store after decisions on rows of the last exported ``sheet`` (row_number, dedupe_key).
+
+    ``decisions`` maps a status to row numbers. A number under two statuses or on no row of the sheet
+    refuses all of them. ``sweep`` then gives its status to all postings that are still new.
+    """
+    numbers = [(int(n), status) for status, ns in decisions.items() for n in set(ns)]
+    if len({n for n, _ in numbers}) < len(numbers):
+        raise ValueError("a row is given two states")
+    for status in [*decisions, *([sweep] if sweep else [])]:
+        if status not in STATES:
+            raise ValueError(f"unknown status {status!r}")
+    out = stored
+    if numbers:
+        # As many rows as were typed.
+        asked = stored.sparkSession.createDataFrame(numbers, "row_number long, status string").join(sheet.select(F.col("row_number").cast("bigint"), "dedupe_key"), "row_number", "left")
+        lost = sorted(r.row_number for r in asked.where("dedupe_key IS NULL").collect())
+        if lost:
+            raise ValueError(f"no such row in the sheet: {', '.join(map(str, lost))}")
+        out = with_changes(out, asked, "status")
+    return out.withColumn("status", F.when(F.col("status") == "new", sweep).otherwise(F.col("status"))) if sweep else out
+
+
+def health_record(health: DataFrame, rows: DataFrame) -> DataFrame:
+    """Health with ``rows`` (source_name, run_id, rows_found, ok, error, at) in place of older ones of a source and run; at gives their order."""
+    both = health.unionByName(rows, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in ("source_name", "run_id", "at")]
+    last = both.groupBy("source_name", "run_id").agg(F.max_by(F.struct(*rest, "at"), F.coalesce(F.col("at"), F.lit(""))).alias("r"))
+    return last.select("source_name", "run_id", *[F.col(f"r.{c}").alias(c) for c in [*rest, "at"]])
+
+
+def begin_run(runs: DataFrame, *, kind: str, at: str) -> tuple[int, DataFrame]:
+    """The next run's number and the runs with it, not finished."""
+    if kind not in ("scrape", "refilter"):
+        raise ValueError(f"unknown kind {kind!r}")
+    n = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
+    return n, runs.unionByName(runs.sparkSession.createDataFrame([(n, at, None, kind)], "run_id long, started_at string, finished_at string, kind string"))
+
+
+def finish_run(runs: DataFrame, run_id: int, at: str) -> DataFrame:
+    return runs.withColumn("finished_at", F.when(F.col("run_id") == run_id, F.lit(at)).otherwise(F.col("finished_at")))
+
+
+def import_seen(stored: DataFrame, rows: DataFrame, *, run_id: int, now: str) -> DataFrame:
+    """The store with ``rows`` as seen: unknown keys come in so, new or delisted ones become so; decisions stay."""
+    keys = rows.where(F.trim(F.coalesce("dedupe_key", F.lit(""))) != "").withColumn("dedupe_key", F.trim("dedupe_key"))
+    known = stored.join(keys.select("dedupe_key").distinct().withColumn("__hit", F.lit(True)), "dedupe_key", "left")
+    turned = known.withColumn("status", F.when(F.col("__hit") & F.col("status").isin("new", "delisted"), "seen").otherwise(F.col("status"))).select(*stored.columns)
+    text = {c: F.coalesce(F.first(F.col(c).cast("string")), F.lit("")) if c in rows.columns else F.lit("") for c in OVERWRITTEN}
+    fresh = keys.join(stored.select("dedupe_key"), "dedupe_key", "left_anti").groupBy("dedupe_key").agg(*[text[c].alias(c) for c in OVERWRITTEN])
+    fresh = fresh.select("*", F.lit(now).alias("first_seen"), F.lit(now).alias("last_seen"), F.lit(run_id).cast("bigint").alias("last_run_id"), F.lit("seen").alias("status"), F.lit(0).alias("misses"))
+    return turned.unionByName(fresh.select(*[c for c in fresh.columns if c in stored.columns]), allowMissingColumns=True)
+
+
 def kept_runs(runs: DataFrame, logged: DataFrame, last: int) -> DataFrame:
     """The runs whose log is kept: the ``last`` scrapes that logged anything, and all runs from the oldest of these on."""
     ids = logged.select("run_id").distinct()
@@ -63,31 +216,61 @@ def miss_streaks(states: DataFrame, *, key: str = "dedupe_key", order: str = "ru
 
 
 class VersionedStore:
-    """Versions v=N of tables under a folder, and a CURRENT file that names the one in force.
+    """Versions v=N of tables under a folder of any Hadoop file system, and a CURRENT file that names the one in force.
 
-    A run writes a whole new version, checks it, and publishes by replacing CURRENT at once; a run
-    that fails or is dry leaves CURRENT as it was.
+    A run writes a whole new version, checks it, and publishes by renaming a new CURRENT over the
+    old one; a run that fails or is dry leaves CURRENT as it was. The one before is kept as
+    CURRENT.before.
     """
 
     def __init__(self, root: str) -> None:
-        self.root = root
+        self.root = root.rstrip("/")
 
-    def current(self) -> int | None:
-        try:
-            with open(os.path.join(self.root, "CURRENT")) as f:
-                return int(f.read())
-        except FileNotFoundError:
+    def _path(self, spark: SparkSession, name: str) -> tuple[object, object]:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _text(self, spark: SparkSession, name: str) -> str | None:
+        path, fs = self._path(spark, name)
+        if not fs.exists(path):
             return None
+        stream = fs.open(path)
+        try:
+            return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, spark: SparkSession, name: str, text: str) -> None:
+        """Write under another name, then rename over the old file in one step."""
+        path, fs = self._path(spark, name)
+        part, _ = self._path(spark, f".{name}.{uuid.uuid4().hex}")
+        stream = fs.create(part, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        jvm = spark.sparkContext._jvm
+        overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(part), fs.makeQualified(path), overwrite)
+
+    def current(self, spark: SparkSession | None = None) -> int | None:
+        text = self._text(spark or SparkSession.active(), "CURRENT")
+        return int(text) if text else None
 
     def read(self, spark: SparkSession, table: str) -> DataFrame | None:
-        v = self.current()
-        return None if v is None else spark.read.parquet(os.path.join(self.root, f"v={v}", table))
+        v = self.current(spark)
+        return None if v is None else spark.read.parquet(f"{self.root}/v={v}/{table}")
 
     def write(self, tables: dict[str, DataFrame], checks: dict[str, Callable[[DataFrame], Column]] | None = None, *, dry: bool = False, unique: dict[str, str] | None = None) -> int:
         """Write the tables as the next version, check them and publish; returns its number."""
-        v = (self.current() or 0) + 1
+        spark = SparkSession.active()
+        before = self.current(spark)
+        v = (before or 0) + 1
         for name, df in tables.items():
-            path = os.path.join(self.root, f"v={v}", name)
+            path = f"{self.root}/v={v}/{name}"
             df.write.mode("overwrite").parquet(path)
             written = df.sparkSession.read.parquet(path)
             for what, test in (checks or {}).items():
@@ -97,8 +280,7 @@ class VersionedStore:
             if key and not written.groupBy(key).count().where("count > 1").isEmpty():
                 raise ValueError(f"{name}.{key} is not unique")
         if not dry:
-            tmp = os.path.join(self.root, ".CURRENT.new")
-            with open(tmp, "w") as f:
-                f.write(str(v))
-            os.replace(tmp, os.path.join(self.root, "CURRENT"))
+            if before is not None:
+                self._put(spark, "CURRENT.before", str(before))
+            self._put(spark, "CURRENT", str(v))
         return v
