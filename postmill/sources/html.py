@@ -59,6 +59,17 @@ def anchors(html: pd.Series) -> pd.Series:
     return html.map(lambda x: read_page(x)[1])
 
 
+@F.pandas_udf(StringType())
+def _tagless(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: read_page(x, frozenset({"script", "style"}))[0])
+
+
+def plain_text(html: Column) -> Column:
+    """The text of a piece of HTML, joined by single spaces; text without marks never leaves the JVM."""
+    plain = F.trim(F.regexp_replace(html, r"(?U)\s+", " "))
+    return F.when(F.contains(html, F.lit("<")) | F.contains(html, F.lit("&")), _tagless(html)).otherwise(plain)
+
+
 def posting_links(html: Column, pattern: str) -> Column:
     """The links whose address matches a pattern, each address once, in order."""
     hits = F.filter(anchors(html), lambda a: a["href"].rlike(pattern))
