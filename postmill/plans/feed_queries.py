@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.session import table
-from postmill.sources import feeds
+from postmill.sources import boards, feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,120 @@ def source_status(spark: SparkSession, sf: str) -> DataFrame:
 def company_stamping(spark: SparkSession, sf: str) -> DataFrame:
     rows = feeds.greenhouse(table(spark, sf, "givewell"), F.col("board"))
     return feeds.stamped(rows, table(spark, sf, "sources")).select("source_name", "posting_id", "company")
+
+
+# HTML listings: pages of a hundred cards a board, written from the feed in each layout.
+
+
+def html_postings(spark: SparkSession, sf: str, layout: str, card: Callable[[dict[str, Column]], list[Column | str]], wrap: tuple[str, str] = ("", ""), data: Callable | None = None) -> DataFrame:
+    """The postings that a layout's reader finds on pages with a card for each row of the feed."""
+
+    def safe(c: str) -> Column:
+        out = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    parts = card({c: safe(c) for c in ("row_id", "title", "department", "location")})
+    one = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    rows = table(spark, sf, "coefficient_giving")
+    more = [data().alias("data")] if data else []
+    got = rows.select("board", F.floor(F.col("row_id") / 100).alias("page"), one.alias("card"), *more).groupBy("board", "page")
+    got = got.agg(F.array_join(F.collect_list("card"), "").alias("cards"), F.count("*").alias("n"), *([F.to_json(F.collect_list("data")).alias("data")] if data else []))
+    tail = F.replace(F.lit(wrap[1]), F.lit("{n}"), F.col("n").cast("string"))
+    tail = F.replace(tail, F.lit("{data}"), F.col("data")) if data else tail
+    html = F.concat(F.lit(wrap[0]), F.col("cards"), tail)
+    pages_ = got.select(F.col("board").alias("source_name"), F.lit("https://x.test/careers/").alias("url"), html.alias("html"))
+    return boards.postings(boards.read_pages(pages_, F.lit(layout)))
+
+
+def _words(c: str) -> str:
+    return f"trim(regexp_replace(coalesce({c}, ''), '[\\s ]+', ' ', 'g'))"
+
+
+T, D, L = _words("title"), _words("department"), _words("location")
+FROM = f"FROM coefficient_giving WHERE {T} <> ''"
+PARTS = f"list_filter([{D}, {L}], lambda x: x <> '' AND lower(x) NOT IN ('hybrid', 'remote', 'on-site', 'onsite', 'on site'))"
+
+
+@query(f"SELECT board AS source_name, {T} AS title, CASE WHEN len({PARTS}) > 1 THEN {PARTS}[-2] ELSE '' END AS department, coalesce({PARTS}[-1], '') AS location, 'https://x.test/jobs/' || row_id AS detail_url {FROM}")
+def html_reader_teamtailor(spark: SparkSession, sf: str) -> DataFrame:
+    card = lambda r: ['<li><a href="/jobs/', r["row_id"], '"><h3>', r["title"], "</h3><p>", r["department"], " · ", r["location"], "</p></a></li>"]
+    return html_postings(spark, sf, "teamtailor", card, ("<ul>", "</ul>")).select("source_name", "title", "department", "location", "detail_url")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, {L} AS location, 'https://x.test/open-roles/offer/?id=' || row_id AS detail_url {FROM}")
+def html_reader_bearingpoint(spark: SparkSession, sf: str) -> DataFrame:
+    card = lambda r: ['<a href="/open-roles/offer/?id=', r["row_id"], '"><div class="row"><h3>', r["title"], '</h3><div class="columns job-info">', r["location"], "</div></div></a>"]
+    return html_postings(spark, sf, "bearingpoint", card).select("source_name", "title", "location", "detail_url")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, 'https://x.test/careers/' || row_id AS detail_url {FROM}")
+def html_reader_gfi_europe(spark: SparkSession, sf: str) -> DataFrame:
+    card = lambda r: ['<a href="', r["row_id"], '">', r["title"], '</a><a href="https://other.test/careers/', r["row_id"], '">elsewhere</a><a href="/about/x">no role</a>']
+    return html_postings(spark, sf, "gfi_europe", card).select("source_name", "title", "detail_url")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, {D} AS department, 'https://x.test/careers/' || row_id AS detail_url {FROM}")
+def html_reader_giving_what_we_can(spark: SparkSession, sf: str) -> DataFrame:
+    card = lambda r: ['<li><a href="/careers/', r["row_id"], '"><span><span><span>', r["title"], "</span></span><span>Team</span></span><span>", r["department"], "</span></a></li>"]
+    return html_postings(spark, sf, "giving_what_we_can", card, ('<section id="open-roles"><ul>', "</ul></section>")).select("source_name", "title", "department", "detail_url")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, {L} AS location, 'https://x.test/Vacancies/' || row_id || '/x' AS detail_url {FROM}")
+def html_reader_mammut(spark: SparkSession, sf: str) -> DataFrame:
+    span = '<span class="table-as-list__subtitle">'
+    card = lambda r: [f'<tr><td><img></td><td>{span}<a href="/Vacancies/', r["row_id"], '/x">', r["title"], f"</a></span>{span}| Full</span>{span}| ", r["location"], "</span></td></tr>"]
+    return html_postings(spark, sf, "mammut", card, ("<table>", "</table>")).select("source_name", "title", "location", "detail_url")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, 'https://x.test/careers/n.aspx?n=' || row_id AS detail_url {FROM}")
+def html_reader_against_malaria(spark: SparkSession, sf: str) -> DataFrame:
+    card = lambda r: ["<h3>", r["title"], ' - posted 12th March</h3><p>Text.</p><p><a href="n.aspx?n=', r["row_id"], '">More details</a></p>']
+    return html_postings(spark, sf, "against_malaria", card).select("source_name", "title", "detail_url")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, {L} AS location, 'https://x.test/jobs/apply/' || row_id AS detail_url, CASE WHEN row_id % 2 = 0 THEN 'Do it & well' ELSE '' END AS description_text {FROM}")
+def html_reader_asana(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other card has its description among the data of the page."""
+    card = lambda r: ['<a href="/jobs/apply/', r["row_id"], '"><p>', r["title"], "</p><p>", r["location"], "</p></a>"]
+    data = lambda: F.when(F.col("row_id") % 2 == 0, F.struct(F.col("row_id").alias("id"), F.lit("&lt;p&gt;Do &lt;b&gt;it&lt;/b&gt; &amp;amp; well&lt;/p&gt;").alias("content")))
+    tail = '<script id="__NEXT_DATA__" type="application/json">{"props":[{"componentName":"greenhouseJobsList","jobs":{data}}]}</script>'
+    return html_postings(spark, sf, "asana", card, ("", tail), data).select("source_name", "title", "location", "detail_url", "description_text")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, {L} AS location, 'https://a.test/' || row_id AS apply_url {FROM}")
+def html_reader_pure_earth(spark: SparkSession, sf: str) -> DataFrame:
+    head, body = '<div class="card"><div class="card-header"><a>HQ: ', '</a></div><div class="card-body"><p><strong>Localização</strong>: '
+    card = lambda r: [head, r["title"], body, r["location"], '</p><p><a href="d.pdf">Job</a></p><p><a href="https://a.test/', r["row_id"], '">Apply now</a></p></div></div>']
+    return html_postings(spark, sf, "pure_earth", card, ('<div id="accordion">', "</div>")).select("source_name", "title", "location", "apply_url")
+
+
+@query("SELECT board AS source_name, 'Chef ' || row_id AS title, 'Visby' AS location, 'https://x.test/careers/' || row_id || '-chef-' || row_id AS detail_url FROM coefficient_giving")
+def html_reader_sida(spark: SparkSession, sf: str) -> DataFrame:
+    """One page a row, so that the places in the flat array are known; every second page links its ad, none disagrees with the stated total."""
+    n = F.col("row_id").cast("string")
+    flat = F.concat(F.lit('["https://r.test/?rmjob='), n, F.lit('","Chef '), n, F.lit('","Visby",{"projectNr":0,"url":0,"title":1,"Area2":2}]'))
+    link = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit('<a href="/lediga-tjanster/'), n, F.lit("-chef-"), n, F.lit('">Chef</a>'))).otherwise("")
+    html = F.concat(link, F.lit('<p>Totalt 1 lediga tjänster</p><script id="__NUXT_DATA__">'), flat, F.lit("</script>"))
+    rows = table(spark, sf, "coefficient_giving").select(F.col("board").alias("source_name"), F.lit("https://x.test/lediga-tjanster/").alias("url"), html.alias("html"))
+    out = boards.postings(boards.read_pages(rows, F.lit("sida")))
+    return out.select("source_name", "title", "location", F.replace("detail_url", F.lit("/lediga-tjanster/"), F.lit("/careers/")).alias("detail_url"))
+
+
+@query(f"SELECT board AS source_name, count(*) AS rows_found FROM coefficient_giving WHERE {T} <> '' GROUP BY 1")
+def html_status(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "coefficient_giving").where(F.trim("title") != "")
+    html = F.concat(F.lit('<h3>'), F.lit("Title - posted x"), F.lit("</h3>"))
+    pages_ = rows.select(F.col("board").alias("source_name"), F.lit("https://x.test/").alias("url"), html.alias("html"))
+    return boards.status(boards.read_pages(pages_, F.lit("against_malaria"))).select("source_name", "rows_found")
+
+
+@query(f"SELECT board AS source_name, row_id, lower({L}) = lower({T}) AS misread FROM coefficient_giving WHERE {L} <> '' UNION ALL SELECT board, -row_id - 1, true FROM coefficient_giving WHERE {T} <> ''")
+def misread_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed's own locations, and the titles cut short in their place."""
+    rows = table(spark, sf, "coefficient_giving")
+    own = rows.where(F.trim(F.coalesce("location", F.lit(""))) != "").select(F.col("board").alias("source_name"), "row_id", "title", "location")
+    cut = rows.where(F.trim(F.coalesce("title", F.lit(""))) != "").select(F.col("board").alias("source_name"), (-F.col("row_id") - 1).alias("row_id"), "title", F.concat(F.substring(F.trim("title"), 1, 4), F.lit("…")).alias("location"))
+    both = own.unionByName(cut)
+    return both.select("source_name", "row_id", boards.title_read_as_location("title", "location").alias("misread"))
