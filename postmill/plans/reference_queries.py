@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.session import table
 from postmill.functions.text import instant_us, strip_or_empty
-from postmill.operators import analytics, evaluate, identity, matchers, store
+from postmill.operators import analytics, evaluate, exports, identity, matchers, store
 from postmill.operators.snapshot_diff import canonical_key
 from postmill.sources import feeds
 
@@ -415,11 +415,13 @@ SELECT source_name, row_number, dedupe_key, is_recent FROM n
 """)
 def export_map(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of each source's sheet in review order, numbered from 2, with the two newest days marked."""
-    order = Window.partitionBy("source_name").orderBy(F.col("score").desc_nulls_last(), F.desc("first_seen"), "dedupe_key")
-    days = Window.partitionBy("source_name").orderBy(F.substring("first_seen", 1, 10).desc())
-    # The sheet of a source is written by one writer; its keys alone take part in the sort.
-    jobs = table(spark, sf, "jobs").select("source_name", "dedupe_key", "score", "first_seen")
-    return jobs.select("source_name", (F.row_number().over(order) + 1).alias("row_number"), "dedupe_key", (F.dense_rank().over(days) <= 2).alias("is_recent"))
+    jobs = table(spark, sf, "jobs").select("source_name", "dedupe_key", "score", "first_seen", F.substring("first_seen", 1, 10).alias("day"))
+    sheet = exports.numbered_within(jobs, "source_name", [F.col("score").desc_nulls_last(), F.desc("first_seen"), F.col("dedupe_key")], start=2)
+    # The days of a source are few beside its rows.
+    days = jobs.select("source_name", "day").distinct().withColumn("i", F.dense_rank().over(Window.partitionBy("source_name").orderBy(F.desc("day"))))
+    newest = days.where("i <= 2").select(F.col("source_name").alias("s"), F.col("day").alias("d"))
+    both = sheet.join(newest, F.col("source_name").eqNullSafe(F.col("s")) & F.col("day").eqNullSafe(F.col("d")), "left")
+    return both.select("source_name", "row_number", "dedupe_key", F.coalesce(F.col("s").isNotNull(), F.lit(False)).alias("is_recent"))
 
 
 @query("""
