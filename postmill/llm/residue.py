@@ -205,7 +205,7 @@ def residues(text: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-_A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 def _word_hash(w: str) -> int:
@@ -328,7 +328,8 @@ class Slots:
         first = np.nonzero((at[here - 1] == 0) | (ended == 1))[0]
         last = np.r_[first[1:], len(here)]
         first = first + ((rows[first, 5] & np.uint64(2) > 0) & (last - first > 1))
-        head = rows[first, 4] * np.uint64(_A) + (last - first).astype(np.uint64) * np.uint64(_B)
+        second = np.minimum(first + 1, last - 1)
+        head = rows[first, 4] * np.uint64(_A) + (rows[second, 4] ^ (last - first).astype(np.uint64)) * np.uint64(_B) + rows[last - 1, 4] * np.uint64(_C)
         head = (head ^ np.uint64(1 << 63)).view(np.int64)
         for i in np.nonzero(self.on(head))[0].tolist():
             start = int(here[first[i]])
@@ -359,9 +360,9 @@ def word_key(w: str) -> int:
 
 
 def head_key(template: str) -> int:
-    """The key of a sentence's first word and length, by which Slots.count() knows the ones to look at."""
+    """The key of a sentence's first two and last words and length, by which Slots.count() knows the ones to look at."""
     w = template.split()
-    h = (_word_hash(w[0]) * _A + len(w) * _B) & ((1 << 64) - 1)
+    h = (_word_hash(w[0]) * _A + (_word_hash(w[min(1, len(w) - 1)]) ^ len(w)) * _B + _word_hash(w[-1]) * _C) & ((1 << 64) - 1)
     return h - (1 << 63) or 1
 
 
