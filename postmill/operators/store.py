@@ -284,3 +284,29 @@ class VersionedStore:
                 self._put(spark, "CURRENT.before", str(before))
             self._put(spark, "CURRENT", str(v))
         return v
+
+
+def stored_index(postings: DataFrame, stored: DataFrame, *, key: str = "dedupe_key", columns: Sequence[str] = ("status", "experience_level", "hybrid_confirmed")) -> DataFrame:
+    """Postings with what the store knows of them: is_stored, ``columns`` as stored_..., and the length of the stored text."""
+    known = stored.select(key, *[F.col(c).alias(f"stored_{c}") for c in columns], F.length(F.coalesce("description_text", F.lit(""))).alias("stored_chars"), F.lit(True).alias("is_stored"))
+    return postings.join(known, key, "left").withColumn("is_stored", F.coalesce("is_stored", F.lit(False)))
+
+
+def by_status(postings: DataFrame, stored: DataFrame, status: str, *, key: str = "dedupe_key") -> tuple[DataFrame, DataFrame]:
+    """(postings whose stored state is ``status``, all others); the side of keys is as long as the store, so both are hashed."""
+    keys = stored.where(F.col("status") == status).select(key)
+    return postings.join(keys, key, "left_semi"), postings.join(keys, key, "left_anti")
+
+
+def latest_locations(labels: DataFrame, *seen: DataFrame, key: str = "dedupe_key", at: str = "at") -> DataFrame:
+    """Labels with the location last seen under their key in any of ``seen`` (key, location, at), and whether it differs from their own.
+
+    Of several at one time the greatest text counts; a key that was never seen keeps its own.
+    """
+    every = seen[0].select(key, "location", at)
+    for s in seen[1:]:
+        every = every.unionByName(s.select(key, "location", at))
+    last = every.where(F.coalesce("location", F.lit("")) != "").groupBy(key).agg(F.max(F.struct(F.col(at), F.col("location"))).alias("m"))
+    both = labels.join(last, key, "left")
+    new = F.coalesce("m.location", "location")
+    return both.withColumn("latest", new).withColumn("differs", ~new.eqNullSafe(F.col("location"))).drop("m")

@@ -243,6 +243,26 @@ def html_reader_sida(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source_name", "title", "location", F.replace("detail_url", F.lit("/lediga-tjanster/"), F.lit("/careers/")).alias("detail_url"))
 
 
+@query(f"SELECT board AS source_name, {T} AS title, {L} AS location, 'https://x.test/m/JobDetail/x/' || row_id AS detail_url {FROM}")
+def html_reader_unops(spark: SparkSession, sf: str) -> DataFrame:
+    card = lambda r: ['<article class="article"><h3><a href="/m/JobDetail/x/', r["row_id"], '">', r["title"], '</a></h3><span class="list-item-Duty Station">', r["location"], "</span></article>"]
+    return html_postings(spark, sf, "unops", card, ("", "<p>1-6 of {n} results</p>")).select("source_name", "title", "location", "detail_url")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, {L} AS location, 'https://x.test/jobs/vacant-positions/cvtp-' || row_id || '/' AS detail_url {FROM}")
+def html_reader_niras(spark: SparkSession, sf: str) -> DataFrame:
+    card = lambda r: ['<a href="/jobs/vacant-positions/cvtp-', r["row_id"], '/"><div><p class="headline">', r["title"], '</p><p class="list-tags">Country: <span>', r["location"], '</span></p><p class="list-tags">Deadline: <span>x</span></p></div></a>']
+    return html_postings(spark, sf, "niras", card).select("source_name", "title", "location", "detail_url")
+
+
+@query(f"SELECT board AS source_name, {T} AS title, {D} AS company, {L} AS location, 'https://x.test/jobs/' || row_id AS detail_url FROM coefficient_giving")
+def html_reader_impactpool(spark: SparkSession, sf: str) -> DataFrame:
+    """Blank titles stay: leaving them out is the pipeline's business."""
+    field = '<div type="bodyEmphasis">'
+    card = lambda r: ['<div class="job"><a href="/jobs/', r["row_id"], '"><h3 type="cardTitle">', r["title"], f'</h3><div class="ip-layout">{field}', r["department"], f'</div><div class="ip-layout">{field}', r["location"], f"</div>{field}P-3</div></div></div></a></div>"]
+    return html_postings(spark, sf, "impactpool", card).select("source_name", "title", "company", "location", "detail_url")
+
+
 @query(f"SELECT board AS source_name, count(*) AS rows_found FROM coefficient_giving WHERE {T} <> '' GROUP BY 1")
 def html_status(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "coefficient_giving").where(F.trim("title") != "")

@@ -311,3 +311,76 @@ def shared_board_identity(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "sources").select(
         "source_name", identity.board_identity(a).alias("a"), identity.board_identity(c).alias("c"), identity.board_identity("url").alias("d"), identity.same_board(a, b).alias("same")
     )
+
+
+# Postings against the store
+
+
+@query("SELECT p.row_id, j.dedupe_key IS NOT NULL AS is_stored, j.status AS stored_status, CAST(length(coalesce(j.description_text, '')) AS INTEGER) AS stored_chars FROM (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN (SELECT dedupe_key FROM jobs ORDER BY dedupe_key LIMIT 1) ELSE externalPath END AS dedupe_key FROM path_feed) p LEFT JOIN (SELECT * FROM jobs) j ON j.dedupe_key = p.dedupe_key".replace("CAST(length(coalesce(j.description_text, '')) AS INTEGER)", "CASE WHEN j.dedupe_key IS NOT NULL THEN CAST(length(coalesce(j.description_text, '')) AS INTEGER) END"))
+def stored_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second row of the list walk as the same stored posting, the others as new ones."""
+    jobs = table(spark, sf, "jobs")
+    first = jobs.agg(F.min("dedupe_key")).first()[0]
+    rows = table(spark, sf, "path_feed").select("row_id", F.when(F.col("row_id") % 2 == 0, first).otherwise(F.col("externalPath")).alias("dedupe_key"))
+    return store.stored_index(rows, jobs).select("row_id", "is_stored", "stored_status", "stored_chars")
+
+
+PAIR = f"WITH s AS (SELECT DISTINCT run_id, regexp_replace(trim(dedupe_key, {WS}), '^http://', 'https://') AS dedupe_key FROM job_snapshots)"
+
+
+def snapshot_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "job_snapshots").select("run_id", canonical_key("dedupe_key").alias("dedupe_key")).distinct()
+
+
+@query(PAIR + " SELECT run_id, dedupe_key FROM s WHERE dedupe_key IN (SELECT dedupe_key FROM jobs WHERE status = 'rejected')")
+def rejected_semi(spark: SparkSession, sf: str) -> DataFrame:
+    return store.by_status(snapshot_keys(spark, sf), table(spark, sf, "jobs"), "rejected")[0].select("run_id", "dedupe_key")
+
+
+@query(PAIR + " SELECT run_id, dedupe_key FROM s WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE status = 'rejected' AND jobs.dedupe_key = s.dedupe_key)")
+def rejected_anti(spark: SparkSession, sf: str) -> DataFrame:
+    return store.by_status(snapshot_keys(spark, sf), table(spark, sf, "jobs"), "rejected")[1].select("run_id", "dedupe_key")
+
+
+@query(LOG + f""", a AS (SELECT dedupe_key, location, last_seen AS ts FROM jobs UNION ALL SELECT regexp_replace(trim(dedupe_key, {WS}), '^http://', 'https://'), location, excluded_at FROM l),
+m AS (SELECT dedupe_key, arg_max(location, (coalesce(ts, ''), location)) AS x FROM (SELECT dedupe_key, ts, location FROM a WHERE coalesce(location, '') <> '') GROUP BY 1), j AS (SELECT dedupe_key, CASE WHEN length(title) % 2 = 0 THEN location ELSE 'elsewhere' END AS location FROM jobs WHERE status <> 'new')
+SELECT j.dedupe_key, coalesce(x, location) AS latest, coalesce(x, location) IS DISTINCT FROM location AS differs FROM j LEFT JOIN m USING (dedupe_key)""")
+def label_locations(spark: SparkSession, sf: str) -> DataFrame:
+    """Decided postings as labels, half of them with another location, against the store and the log."""
+    jobs = table(spark, sf, "jobs")
+    labels = jobs.where("status <> 'new'").select("dedupe_key", F.when(F.length("title") % 2 == 0, F.col("location")).otherwise("elsewhere").alias("location"))
+    log = drop_log(spark, sf).select(canonical_key("dedupe_key").alias("dedupe_key"), "location", F.col("excluded_at").alias("at"))
+    stored = jobs.select("dedupe_key", "location", F.coalesce("last_seen", F.lit("")).alias("at"))
+    return store.latest_locations(labels, stored, log).select("dedupe_key", "latest", "differs")
+
+
+CAUSE = "CASE WHEN coalesce(description_text, '') = '' THEN 'empty' WHEN length(description_text) < 500 THEN 'short' WHEN description_fetched_at IS NULL OR description_fetched_at = '' THEN 'unfetched' ELSE 'read' END"
+
+
+@query(f"SELECT source_name, count(*) FILTER (WHERE c = 'read') AS read, count(*) FILTER (WHERE c = 'short') AS short, count(*) FILTER (WHERE c = 'empty') AS empty, count(*) FILTER (WHERE c = 'unfetched') AS unfetched, count(*) AS rows FROM (SELECT source_name, {CAUSE} AS c FROM jobs) GROUP BY 1")
+def causes_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("description_text", F.lit(""))
+    cause = F.when(text == "", "empty").when(F.length(text) < 500, "short").when(F.coalesce("description_fetched_at", F.lit("")) == "", "unfetched").otherwise("read")
+    return droplog.counts_by_cause(table(spark, sf, "jobs").withColumn("cause", cause), ("read", "short", "empty", "unfetched"))
+
+
+@query("WITH h AS (SELECT board AS source_name, page_no AS run_id, count(*) AS n FROM path_feed GROUP BY 1, 2) SELECT source_name FROM h WHERE run_id = 2 AND n % 3 = 0")
+def empty_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of the walk as a run; counts that three divides stand for none."""
+    h = table(spark, sf, "path_feed").groupBy(F.col("board").alias("source_name"), F.col("page_no").alias("run_id")).agg(F.count("*").alias("n"))
+    h = h.select("source_name", "run_id", F.when(F.col("n") % 3 == 0, 0).otherwise(F.col("n")).alias("rows_found"), F.lit(True).alias("ok"))
+    return analytics.empty_sources(h, 2)
+
+
+@query(HEALTH + " SELECT DISTINCT source_name FROM h WHERE ok AND rows_found > 0 AND run_id = (SELECT max(run_id) FROM job_snapshots)")
+def good_sources(spark: SparkSession, sf: str) -> DataFrame:
+    last = table(spark, sf, "job_snapshots").agg(F.max("run_id")).first()[0]
+    return analytics.good_in(health(spark, sf), last)
+
+
+@query("SELECT board AS source_name FROM path_feed UNION SELECT board FROM oecd UNION SELECT board FROM givewell UNION SELECT source_name FROM sources")
+def all_source_names(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "sources").select("source_name")
+    for t in ("path_feed", "oecd", "givewell"):
+        names = names.union(table(spark, sf, t).select(F.col("board").alias("source_name")).distinct())
+    return names.distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from postmill.functions.text import fold_case, strip_or_empty
 from postmill.sources.dom import Node, parse
 
-FIELDS = ("title", "department", "location", "detail_url", "apply_url", "description_text")
+FIELDS = ("title", "department", "location", "detail_url", "apply_url", "description_text", "company")
 Row = dict[str, str]
 
 
@@ -28,8 +28,8 @@ class Unreadable(ValueError):
     """The page does not have the shape that its reader knows."""
 
 
-def row(title: str, url: str, *, location: str = "", department: str = "", apply_url: str = "", text: str = "") -> Row:
-    return dict(zip(FIELDS, (title, department, location, url, apply_url or url, text)))
+def row(title: str, url: str, *, location: str = "", department: str = "", apply_url: str = "", text: str = "", company: str = "") -> Row:
+    return dict(zip(FIELDS, (title, department, location, url, apply_url or url, text, company)))
 
 
 def read_as_place(title: str, location: str) -> bool:
@@ -271,15 +271,74 @@ def sida(page: Node, url: str) -> list[Row]:
     return out
 
 
+def unops(page: Node, url: str) -> list[Row]:
+    """Articles with a link to JobDetail; the place is the span of the duty station."""
+    out = []
+    for article in page.all("article"):
+        a = article.first("a", lambda n: "JobDetail" in n.get("href"))
+        if a is not None and a.text():
+            station = article.first("span", lambda n: n.get("class").split() == ["list-item-Duty", "Station"])
+            out.append(row(a.text(), urljoin(url, a.get("href")), location=_text(station)))
+    return out
+
+
+def unops_total(page: Node) -> int | None:
+    """The "N" of "1-6 of N results", or of a label that is "N results" and nothing else."""
+    m = re.search(r"\bof\s+(\d[\d,\s]*)\s+results\b", page.text(), re.I)
+    labels = (re.fullmatch(r"\s*(\d[\d,\s]*?)\s+results\s*", n.get("aria-label"), re.I) for n in page.walk() if n.get("aria-label"))
+    m = m or next((x for x in labels if x), None)
+    return int(re.sub(r"\D", "", m[1])) if m else None
+
+
+def niras(page: Node, url: str) -> list[Row]:
+    """Cards of one anchor: the headline paragraph and the element that begins with "Country:"."""
+    out = []
+    for a, full in links(page, url, lambda h: "/jobs/vacant-positions/cvtp" in h):
+        headline = a.first("p", lambda n: n.has_class("headline")) or next((c for c in a.elements() if c.text()), a)
+        country = next((t[len("Country:") :].strip() for t in (n.text() for n in a.walk()) if t.startswith("Country:")), "")
+        if headline.text():
+            out.append(row(headline.text(), full, location=country))
+    return out
+
+
+def niras_total(page: Node) -> int | None:
+    figures = re.sub(r"\D", "", _text(page.first("span", lambda n: n.has_class("filter-result-text"))))
+    return int(figures) if figures else None
+
+
+def impactpool(page: Node, url: str) -> list[Row]:
+    """Cards by the roles of their fields: title, organisation, and a place unless there is only a grade; a blank title is kept for the pipeline to leave out."""
+    out: dict[str, Row] = {}
+    for card in page.all("div", lambda n: n.has_class("job")):
+        a = card.first("a")
+        if a is None or not a.get("href").startswith("/jobs/"):
+            continue
+        title = a.first(test=lambda n: n.get("type") == "cardTitle")
+        outer = next((c for c in a.elements() if c.has_class("ip-layout")), None)
+        inner = next((c for c in outer.elements() if c.has_class("ip-layout")), None) if outer is not None else None
+        fields = [[c.text() for c in n.elements() if c.get("type") == "bodyEmphasis"] if n is not None else [] for n in (outer, inner)]
+        if title is None or len(fields[0]) != 1 or len(fields[1]) not in (1, 2):
+            raise Unreadable(f"the card {a.get('href')!r} has other fields than the reader knows")
+        full = urljoin(url, a.get("href"))
+        out.setdefault(full, row(title.text(), full, location=fields[1][0] if len(fields[1]) == 2 else "", company=fields[0][0]))
+    return list(out.values())
+
+
 READERS: dict[str, Callable[[Node, str], list[Row]]] = {
     "teamtailor": teamtailor, "bearingpoint": bearingpoint, "gfi_europe": gfi_europe, "giving_what_we_can": giving_what_we_can, "mammut": mammut,
     "against_malaria": against_malaria, "asana": asana, "pure_earth": pure_earth, "sida": sida,
+    "unops": unops, "niras": niras, "impactpool": impactpool,
 }
-RESULT = "rows array<struct<" + ",".join(f"{c}:string" for c in FIELDS) + ">>, error string"
+# Layouts that state how many postings there are; a total counts only on a page that shows some.
+TOTALS: dict[str, Callable[[Node], int | None]] = {"unops": unops_total, "niras": niras_total}
+RESULT = "rows array<struct<" + ",".join(f"{c}:string" for c in FIELDS) + ">>, stated int, error string"
 
 
 def read_pages(pages: DataFrame, layout: Column | str, *, source: str = "source_name", url: str = "url", payload: str = "html") -> DataFrame:
-    """Pages with their rows, or the error that kept them from being read: (source, url, rows, error). ``layout`` names each page's reader."""
+    """Pages with their rows, or the error that kept them from being read: (source, url, rows, stated, error).
+
+    ``layout`` names each page's reader; stated is the total that the page states, if its layout has one.
+    """
     kind = pages.schema[source].dataType.simpleString()
     asked = pages.select(F.col(source).alias("s"), F.col(url).alias("u"), F.col(payload).alias("p"), (F.col(layout) if isinstance(layout, str) else layout).alias("l"))
 
@@ -287,18 +346,20 @@ def read_pages(pages: DataFrame, layout: Column | str, *, source: str = "source_
         for pdf in it:
             out = []
             for s, u, p, name in zip(pdf["s"], pdf["u"], pdf["p"], pdf["l"]):
-                rows, error = [], None
+                rows, stated, error = [], None, None
                 try:
                     if name not in READERS:
                         raise Unreadable(f"no reader is called {name!r}")
-                    rows = READERS[name](parse(p if isinstance(p, str) else ""), u if isinstance(u, str) else "")
+                    tree = parse(p if isinstance(p, str) else "")
+                    rows = READERS[name](tree, u if isinstance(u, str) else "")
+                    stated = TOTALS[name](tree) if rows and name in TOTALS else None
                 except ValueError as e:
                     error = str(e)
-                out.append((s, u, rows, error))
-            yield pd.DataFrame(out, columns=["s", "u", "rows", "error"])
+                out.append((s, u, rows, stated, error))
+            yield pd.DataFrame(out, columns=["s", "u", "rows", "stated", "error"]).astype({"stated": "Int32"})
 
     done = asked.mapInPandas(read, f"s {kind}, u string, {RESULT}")
-    return done.select(F.col("s").alias(source), F.col("u").alias(url), "rows", "error")
+    return done.select(F.col("s").alias(source), F.col("u").alias(url), "rows", "stated", "error")
 
 
 def postings(read: DataFrame, *, source: str = "source_name") -> DataFrame:
@@ -309,6 +370,13 @@ def postings(read: DataFrame, *, source: str = "source_name") -> DataFrame:
 
 
 def status(read: DataFrame, *, source: str = "source_name") -> DataFrame:
-    """A health row per source: a page that could not be read fails its source, which then has no rows."""
-    g = read.groupBy(source).agg(F.sum(F.size("rows")).alias("n"), F.min("error").alias("error"))
-    return g.select(source, F.when(F.col("error").isNull(), F.col("n")).otherwise(0).alias("rows_found"), F.col("error").isNull().alias("ok"), "error")
+    """A health row per source: a page that could not be read, or fewer addresses than a page states, fails its source, which then has no rows.
+
+    rows_found counts the rows of all pages, the total is held against their different addresses.
+    """
+    g = read.groupBy(source).agg(F.sum(F.size("rows")).alias("n"), F.max("stated").alias("stated"), F.min("error").alias("bad"))
+    unique = read.where("stated IS NOT NULL").select(source, F.explode("rows.detail_url").alias("a")).distinct().groupBy(source).agg(F.count("*").alias("unique"))
+    both = g.join(unique, source, "left")
+    short = F.when(F.col("unique") < F.col("stated"), F.format_string("%d of %d postings", F.col("unique"), F.col("stated")))
+    error = F.coalesce("bad", short)
+    return both.select(source, F.when(error.isNull(), F.col("n")).otherwise(0).alias("rows_found"), error.isNull().alias("ok"), error.alias("error"))

@@ -104,3 +104,22 @@ def test_walks_and_required_fields(spark):
     assert {r.source_name: (r.rows_found, r.ok) for r in s} == {"ok": (0, True), "bad": (0, False), "broken": (0, False), "other": (0, False)}
     x = spark.createDataFrame([("s", "<workzag-jobs><position><id>4</id><name> Lead </name></position><position><name>no id</name></position></workzag-jobs>")], "source_name string, payload string")
     assert [r.detail_url for r in feeds.read_payloads(x, "positions", base=F.lit("https://p.test")).collect()] == ["https://p.test/job/4?language=en"]
+
+
+def test_totals_hold_walks(spark):
+    card = lambda n: f'<article><h3><a href="/m/JobDetail/x/{n}">Lead {n}</a></h3><span class="list-item-Duty Station">Oslo</span></article>'
+    assert rows("unops", card(1) + "<article><a href='/x'>no</a></article>") == [("Lead 1", "", "Oslo", "https://x.test/m/JobDetail/x/1")]
+    page = '<p>Vacant positions: <span class="filter-result-text">2</span></p><a href="/jobs/vacant-positions/cvtp-1-a/"><div><p class="headline">Lead</p><p class="list-tags">Country: <span>Kenya</span></p><p class="list-tags">Employment: x</p></div></a>'
+    assert rows("niras", page) == [("Lead", "", "Kenya", "https://x.test/jobs/vacant-positions/cvtp-1-a/")]
+    tails = {"whole": "<p>1-6 of 2 results</p>", "short": '<b aria-label="3 results"></b>', "prose": "<p>Search results, 10 results per page</p>"}
+    pages = [(s, f"u{i}", card(i) + t, "unops") for s, t in tails.items() for i in (1, 2)] + [("whole", "u3", "<p>1-6 of 9 results</p>", "unops")]
+    read = boards.read_pages(spark.createDataFrame(pages, "source_name string, url string, html string, layout string"), "layout")
+    assert {r.source_name: (r.rows_found, r.ok, r.error) for r in boards.status(read).collect()} == {"whole": (2, True, None), "short": (0, False, "2 of 3 postings"), "prose": (2, True, None)}
+
+
+def test_fields_by_role():
+    card = lambda n, title, *details: f'<div class="job"><a href="/jobs/{n}"><h3 type="cardTitle">{title}</h3><div class="ip-layout"><div type="bodyEmphasis">Org</div><div class="ip-layout">{"".join(f"<div type=bodyEmphasis>{d}</div>" for d in details)}</div></div></a></div>'
+    got = boards.impactpool(parse(card(1, "Lead", "Oslo", "P-3") + card(2, "", "P-3") + card(1, "Lead", "Oslo", "P-3") + '<div class="job"><a href="/about">x</a></div>'), AT)
+    assert [(r["title"], r["company"], r["location"]) for r in got] == [("Lead", "Org", "Oslo"), ("", "Org", "")]
+    with pytest.raises(boards.Unreadable):
+        rows("impactpool", card(1, "Lead", "a", "b", "c"))
