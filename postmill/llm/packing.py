@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from postmill.functions.session import spill
 
 GROUP = 2000  # items that are packed together, about
-NODES = 4000  # containers that the branch and bound may open in a group
-STEPS = 2000  # fillings it looks through for one container beside the fullest, which is found exactly
+NODES = 1000  # containers that the branch and bound may open in a group
+STEPS = 500  # fillings it looks through for one container beside the fullest, which is found exactly
 FULL = 0.995  # a container at least this full is not opened again
 
 
