@@ -92,12 +92,20 @@ def value_kind(location: Column | str, title: Column | str) -> Column:
     def plain(x: Column | str) -> Column:
         return fold_case(F.trim(F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), r"(?U)\s+", " ")))
 
-    c, either = plain(location), "|".join
-    return (
-        F.when(c == "", "empty")
-        .when(c == plain(title), "title")
-        .when(c.rlike(rf"^([0-9]+|{either(COUNTS)}) ({either(WHERES)})$") | c.isin(*ALONE), "placeholder")
-        .when(c.isin(*LABELS), "label")
-        .when(c.rlike(rf"^({either(GRADES)})[ -]?[0-9]{{1,2}}$|^({either(GRADE_WORDS)}) \S+$"), "grade")
-        .otherwise("place")
-    )
+    either = "|".join
+    many = rf"^([0-9]+|{either(COUNTS)}) ({either(WHERES)})$"
+    grade = rf"^({either(GRADES)})[ -]?[0-9]{{1,2}}$|^({either(GRADE_WORDS)}) \S+$"
+
+    def kind(x: Column) -> Column:
+        c = x["c"]
+        return (
+            F.when(c == "", "empty")
+            .when(c == x["t"], "title")
+            .when(c.rlike(many) | c.isin(*ALONE), "placeholder")
+            .when(c.isin(*LABELS), "label")
+            .when(c.rlike(grade), "grade")
+            .otherwise("place")
+        )
+
+    # Inside the lambda the plain texts are values: no arm works them out again.
+    return F.get(F.transform(F.array(F.struct(plain(location).alias("c"), plain(title).alias("t"))), kind), F.lit(0))
