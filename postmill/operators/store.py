@@ -261,8 +261,12 @@ class VersionedStore:
         return int(text) if text else None
 
     def read(self, spark: SparkSession, table: str) -> DataFrame | None:
+        """A table of the version in force; None where there is no version or no such table."""
         v = self.current(spark)
-        return None if v is None else spark.read.parquet(f"{self.root}/v={v}/{table}")
+        if v is None:
+            return None
+        path, fs = self._path(spark, f"v={v}/{table}")
+        return spark.read.parquet(f"{self.root}/v={v}/{table}") if fs.exists(path) else None
 
     def write(self, tables: dict[str, DataFrame], checks: dict[str, Callable[[DataFrame], Column]] | None = None, *, dry: bool = False, unique: dict[str, str] | None = None) -> int:
         """Write the tables as the next version, check them and publish; returns its number."""

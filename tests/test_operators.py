@@ -106,3 +106,19 @@ def test_first_occurrence(spark):
     df = spark.createDataFrame([("u", 2, 1, "late"), ("u", 1, 9, "first"), ("v", 1, 1, "only")], "url string, page int, pos int, title string")
     got = {r.url: r.title for r in analytics.first_seen_per_walk(df, keys=["url"], order=["page", "pos"]).collect()}
     assert got == {"u": "first", "v": "only"}
+
+
+def test_replayed_batches_are_passed_over(spark, tmp_path):
+    schema = "dedupe_key string, title string, company string, location string, last_seen string, description_text string, ord int"
+    src, v = tmp_path / "in", store.VersionedStore(str(tmp_path / "store"))
+    spark.createDataFrame([("a", "t1", "c", "l", "2026-01-01", "", 1)], schema).write.parquet(str(src))
+    for checkpoint in ("one", "one", "two"):
+        into_store(spark.readStream.schema(schema).parquet(str(src)), v, str(tmp_path / checkpoint)).awaitTermination()
+    # The second start finds nothing new; another checkpoint reads the files as its own first batch.
+    assert v.current() == 2 and v.read(spark, "jobs").count() == 1
+    assert {(r.checkpoint, r.batch) for r in v.read(spark, "batches").collect()} == {(str(tmp_path / c), 0) for c in ("one", "two")}
+    import shutil
+
+    shutil.rmtree(tmp_path / "one" / "commits")
+    into_store(spark.readStream.schema(schema).parquet(str(src)), v, str(tmp_path / "one")).awaitTermination()
+    assert v.current() == 2 and v.read(spark, "none") is None
