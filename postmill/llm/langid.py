@@ -10,19 +10,21 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.pages import read_pages
+from postmill.llm.pages import body_lines, load
 
 LANGUAGES = ("en", "de", "fr", "sv", "da", "es")
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "langid_weights.npz")
 BATCH = 512  # lines read side by side, of like lengths
 POSITIONS = 200_000  # bytes read side by side: fewer lines the longer they are, a longer line alone
-STRETCH = 256  # steps after which the states of a batch are turned into scores
+STRETCH = 16  # steps after which the states of a batch are turned into scores
+BLANK = 128  # whole lines' worth of blank places at the ends of lines read side by side
 
 # Spellings of the languages as labels.
 SPELLINGS = {
@@ -37,6 +39,7 @@ SPELLING = {w: k for k, v in SPELLINGS.items() for w in v.split()}
 NO_LANGUAGE = {"", "und", "unknown", "n/a", "none", "null", "other", "xx", "zxx", "mul", "-"}
 
 
+@lru_cache(maxsize=10_000)
 def named(label: str | None) -> str | None:
     """The language a declared label names: one of LANGUAGES, "other", or None for no language."""
     low = (label or "").strip().casefold()
@@ -46,79 +49,79 @@ def named(label: str | None) -> str | None:
 
 
 class Network:
-    """Both directions: arrays have a leading axis of 2 (forward, backward)."""
+    """Both directions: arrays have an axis of 2 (forward, backward)."""
 
     def __init__(self, table: np.ndarray, u: np.ndarray, v: np.ndarray, c: np.ndarray) -> None:
         # table (2, 256, 3H): input weights and biases applied to every byte; u (2, H, 3H); v (2, H, L); c (L).
         table, u, self.v, self.c = (np.ascontiguousarray(x, dtype=np.float32) for x in (table, u, v, c))
         self.h = h = u.shape[1]
-        # Halved gate inputs turn the sigmoid into a tanh.
+        # Halved gate inputs turn the sigmoid into a tanh; the candidate takes half its states beside half times that tanh.
         half = np.array([0.5, 0.5, 1.0], dtype=np.float32)
-        # One array for each direction and gate: everything a step touches is one piece of memory.
-        self.table = [[np.ascontiguousarray(table[k, :, i * h : (i + 1) * h] * half[i]) for i in range(3)] for k in (0, 1)]
-        self.u = [[np.ascontiguousarray(u[k, :, i * h : (i + 1) * h] * half[i]) for i in range(3)] for k in (0, 1)]
+        # Gates z, r and the candidate, of both directions: everything a step touches is one piece of memory.
+        self.table = [[np.ascontiguousarray(table[k, :, i * h : (i + 1) * h] * half[i]) for k in (0, 1)] for i in range(3)]
+        gates = np.stack([u[:, :, i * h : (i + 1) * h] * np.float32(0.5) for i in range(3)])
+        self.u_gates, self.u_new = np.ascontiguousarray(gates[:2]), np.ascontiguousarray(gates[2])
+        # States lie between -1 and 1, so no score is larger than this.
+        self.most = float(np.abs(self.v).sum(axis=(0, 1)).max() + np.abs(self.c).max())
 
     @classmethod
     def load(cls) -> Network:
         with np.load(WEIGHTS) as z:
             return cls(z["table"], z["u"], z["v"], z["c"])
 
-    def scores(self, k: int, x: np.ndarray, live: list[int]) -> np.ndarray:
-        """What direction k adds to the scores (time, batch, L) of the bytes x (time, batch); ``live`` lines are read at a step."""
+    def scores(self, x: np.ndarray, live: list[int]) -> np.ndarray:
+        """Scores (time, batch, L) of the bytes x (time, batch), of which the first ``live`` lines go on at a time."""
         t, n = x.shape
-        h, (tz, tr, tc), (uz, ur, uc), v = self.h, self.table[k], self.u[k], self.v[k]
-        out = np.empty((t, n, v.shape[1]), dtype=np.float32)
-        s, z, r, c, g = (np.zeros((n, h), dtype=np.float32) for _ in range(5))
-        states = np.zeros((min(t, STRETCH), n, h), dtype=np.float32)
-        m = n
+        h, u_gates, u_new = self.h, self.u_gates, self.u_new
+        take = [[w.take for w in row] for row in self.table]
+        out = np.tile(self.c, (t, n, 1))
+        gates, fed = (np.empty((2, 2, n, h), dtype=np.float32) for _ in range(2))
+        z, r = gates
+        c, g = (np.empty((2, n, h), dtype=np.float32) for _ in range(2))
+        s = np.zeros((2, n, h), dtype=np.float32)
+        states = np.empty((min(t, STRETCH), 2, n, h), dtype=np.float32)
+        half = np.full((), 0.5, dtype=np.float32)
         for i in range(t):
-            if live[i] < m:
-                m = live[i]
-                s, z, r, c, g = s[:m], z[:m], r[:m], c[:m], g[:m]
-            b = x[i, :m]
-            np.take(tz, b, axis=0, out=z, mode="clip")
-            np.take(tr, b, axis=0, out=r, mode="clip")
-            np.take(tc, b, axis=0, out=c, mode="clip")
-            z += np.matmul(s, uz, out=g)
-            r += np.matmul(s, ur, out=g)
-            np.tanh(z, out=z)
-            np.tanh(r, out=r)
-            np.matmul(s, uc, out=g)
-            r *= 0.5
-            r += 0.5
+            # The backward direction goes from the longest line's end; a line joins where it ends, with no state before.
+            for k, b in (0, x[i]), (1, x[t - 1 - i]):
+                take[0][k](b, 0, z[k], "clip")
+                take[1][k](b, 0, r[k], "clip")
+                take[2][k](b, 0, c[k], "clip")
+            gates += np.matmul(s, u_gates, out=fed)
+            np.tanh(gates, out=gates)
+            c += np.matmul(s, u_new, out=g)
             g *= r
             c += g
             np.tanh(c, out=c)
-            z *= 0.5
-            z += 0.5
-            s -= c
-            s *= z
-            s += c
+            z *= half
+            z += half
+            np.subtract(s, c, out=g)
+            g *= z
             at = i % STRETCH
-            states[at, :m] = s
+            s = np.add(g, c, out=states[at])
+            if live[t - 1 - i] < n:
+                s[1, live[t - 1 - i] :] = 0
             if at == STRETCH - 1 or i == t - 1:
-                out[i - at : i + 1] = states[: at + 1] @ v
+                out[i - at : i + 1] += states[: at + 1, 0] @ self.v[0]
+                out[t - 1 - i : t - i + at] += (states[: at + 1, 1] @ self.v[1])[::-1]
         return out
 
     def logits(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Sums over the positions of log probabilities (batch, L) of byte rows x (batch, time), sorted by length downwards."""
         n, t = x.shape
-        mirror = lengths[:, None] - 1 - np.arange(t)[None, :]
-        inside = mirror >= 0
-        mirror[~inside] = 0
         live = np.searchsorted(-lengths, -np.arange(t), side="left").tolist()  # rows longer than i
-        z = self.scores(0, x.T.astype(np.intp, order="C"), live)
-        rear = self.scores(1, np.take_along_axis(x, mirror, axis=1).T.astype(np.intp, order="C"), live)
-        z += rear[mirror.T, np.arange(n)[None, :]]
-        z += self.c
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        z *= inside.T[:, :, None]
-        return z.sum(axis=0)
+        z = self.scores(x.T.astype(np.intp, order="C"), live)
+        if self.most > 80:
+            z -= z.max(axis=2, keepdims=True)
+        part = np.log(np.exp(z) @ np.ones(z.shape[2], dtype=np.float32))
+        for i in range(int(lengths[-1]), t):
+            z[i, live[i] :] = 0
+            part[i, live[i] :] = 0
+        return z.sum(axis=0) - part.sum(axis=0)[:, None]
 
     def read(self, lines: list[str]) -> np.ndarray:
         """Log probabilities (lines, L) of lines; see read_bytes()."""
-        return self.read_bytes([prepared(s) for s in lines])
+        return self.read_bytes(all_prepared(lines))
 
     def read_bytes(self, lines: list[bytes]) -> np.ndarray:
         """Log probabilities (lines, L) of prepared lines, pooled over bytes; an empty line is all even.
@@ -132,12 +135,15 @@ class Network:
         order = order[: int((size > 0).sum())]
         at = 0
         while at < len(order):
-            part = order[at : at + max(1, min(BATCH, POSITIONS // int(size[order[at]])))]
+            longest = int(size[order[at]])
+            part = order[at : at + max(1, min(BATCH, POSITIONS // longest))]
+            # Lines too short for the first one start a batch of their own.
+            blank = np.cumsum(longest - size[part])
+            part = part[: max(1, int(np.searchsorted(blank, BLANK * longest, side="right")))]
             at += len(part)
             lengths = size[part]
-            x = np.zeros((len(part), int(lengths[0])), dtype=np.uint8)
-            for row, i in enumerate(part):
-                x[row, : lengths[row]] = np.frombuffer(lines[i], dtype=np.uint8)
+            x = np.zeros((len(part), longest), dtype=np.uint8)
+            x[np.arange(longest) < lengths[:, None]] = np.frombuffer(b"".join([lines[i] for i in part.tolist()]), dtype=np.uint8)
             total[part] = self.logits(x, lengths)
         total /= np.sqrt(np.maximum(size, 1))[:, None]
         total -= total.max(axis=1, keepdims=True)
@@ -152,6 +158,47 @@ def prepared(s: str) -> bytes:
     return _PLAIN.sub(" ", s).strip().casefold().encode("utf-8", "replace")
 
 
+KEPT, SIGN, FIGURE, END = range(4)
+AT_ONCE = 1 << 20  # characters prepared side by side
+
+
+def _kind(c: str) -> int:
+    """What prepared() does with a character."""
+    return FIGURE if c.isdecimal() else KEPT if c.isalnum() or c in "_'’-" else END if c == "\n" else SIGN
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    return np.array([_kind(chr(i)) for i in range(1 << 16)], dtype=np.uint8)
+
+
+def all_prepared(lines: list[str]) -> list[bytes]:
+    """prepared() of many lines, character by character on arrays."""
+    out: list[bytes] = []
+    ends = np.cumsum([len(s) + 1 for s in lines])
+    at = 0
+    while at < len(lines):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE)))
+        part = lines[at:end]
+        text = "\n".join(part)
+        if text.count("\n") >= len(part):
+            # A line feed within a line is a sign like any other.
+            text = "\n".join([s.replace("\n", " ") for s in part])
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        k = kinds()[np.minimum(c, 0xFFFF)]
+        for i in np.nonzero(c > 0xFFFF)[0].tolist():
+            k[i] = _kind(chr(c[i]))
+        stays = (k == KEPT) | (k == END)
+        blank = ~stays
+        # The first of a run stands for it.
+        stays[:1] = True
+        stays[1:] |= k[1:] != k[:-1]
+        text = np.where(blank, np.uint32(32), c)[stays].tobytes().decode("utf-32-le", "surrogatepass")
+        out += [s.strip().casefold().encode("utf-8", "replace") for s in text.split("\n")]
+        at = end
+    return out
+
+
 # A title or line differs from the main language only if it is this sure of it.
 SURE = 0.6
 
@@ -177,7 +224,12 @@ def languages(
     """
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("k"), F.col(title).alias("title"), F.col(lines).alias("body"), F.col(numbers).alias("body_no"), F.col(label).alias("label"))
-    return rows.mapInPandas(lambda it: read_languages(it, sure), f"k {kind}, {FOUND}").withColumnRenamed("k", key)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[Records]:
+        for b in it:
+            yield b.column("k"), *(b.column(c).to_pylist() for c in ("title", "body", "body_no", "label"))
+
+    return rows.mapInArrow(lambda it: read_languages(batches(it), sure), f"k {kind}, {FOUND}").withColumnRenamed("k", key)
 
 
 def page_languages(df: DataFrame, *, key: str = "dedupe_key", text: str = "description_text", title: str = "title", label: str = "lang_label", sure: float = SURE) -> DataFrame:
@@ -185,14 +237,18 @@ def page_languages(df: DataFrame, *, key: str = "dedupe_key", text: str = "descr
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(title).alias("name"), F.col(text).alias("t"), F.col(label).alias("label"))
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[Records]:
         """Batches as they came, so that lines are shared in all of one."""
-        for pdf in it:
-            parts = list(read_pages(iter([pdf]), ("title", "body", "body_no")))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+        reader = load()
+        for b in it:
+            names, texts = b.column("name").to_pylist(), b.column("t").to_pylist()
+            lines, numbers = [], []
+            for on, body in body_lines(reader, texts, names):
+                lines += body
+                numbers += on
+            yield b.column("k"), names, lines, numbers, b.column("label").to_pylist()
 
-    return rows.mapInPandas(lambda it: read_languages(batches(it), sure), f"k {kind}, {FOUND}").withColumnRenamed("k", key)
+    return rows.mapInArrow(lambda it: read_languages(batches(it), sure), f"k {kind}, {FOUND}").withColumnRenamed("k", key)
 
 
 FOUND = (
@@ -201,44 +257,80 @@ FOUND = (
 )
 
 
-def read_languages(it: Iterator[pd.DataFrame], sure: float) -> Iterator[pd.DataFrame]:
-    """Batches of (k, title, body, body_no, label) as batches of k and FOUND."""
+# Keys, titles, lines, their numbers and labels of a batch of records.
+Records = tuple[pa.Array, list[str | None], list[list[str | None] | None], list[list[int] | None], list[str | None]]
+
+
+def read_languages(it: Iterator[Records], sure: float) -> Iterator[pa.RecordBatch]:
+    """Batches of records as batches of k and FOUND."""
     net = Network.load()
-    for pdf in it:
-        if len(pdf):
-            texts = [[s or "" for s in x] if x is not None else [] for x in pdf["body"]]
-            names = [x if isinstance(x, str) else "" for x in pdf["title"]]
-            # Lines that the network reads alike are read once a batch.
-            index: dict[bytes, int] = {}
-            place: dict[str, int] = {}
-            for s in [*names, *(s for x in texts for s in x)]:
-                if s not in place:
-                    place[s] = index.setdefault(prepared(s), len(index))
-            scores = net.read_bytes(list(index))
-            out = []
-            for k, name, ls, ns, lab in zip(pdf["k"], names, texts, pdf["body_no"], pdf["label"]):
-                found = scores[[place[s] for s in ls]] if ls else np.zeros((0, len(LANGUAGES)))
-                out.append((k, named(lab if isinstance(lab, str) else None), *judged(found, ls, list(ns) if ns is not None else [], scores[place[name]] if name.strip() else None, sure)))
-            yield pd.DataFrame(out, columns=["k", "declared", "lang", "confidence", "title_lang", "title_confidence", "segments"])
+    for keys, names, texts, numbers, labels in it:
+        if not len(keys):
+            continue
+        texts = [[s or "" for s in x] if x else [] for x in texts]
+        names = [x or "" for x in names]
+        # Lines that the network reads alike are read once a batch.
+        number: dict[str, int] = {}
+        for s in names:
+            number.setdefault(s, len(number))
+        flat = [number.setdefault(s, len(number)) for x in texts for s in x]
+        index: dict[bytes, int] = {}
+        to = np.array([index.setdefault(b, len(index)) for b in all_prepared(list(number))], dtype=np.int64)
+        prob = np.exp(net.read_bytes(list(index)))
+        words = np.array([len(s.split()) for s in number], dtype=np.int64)
+        at, title = np.array(flat, dtype=np.int64), np.array([number[s] for s in names], dtype=np.int64)
+        counts = np.array([len(x) for x in texts], dtype=np.int64)
+        main, conf, title_pick, title_conf, pick, line_conf = judge(prob[to[at]], words[at], counts, prob[to[title]], sure)
+        no_title = np.array([not s.strip() for s in names])
+        # Lines without a number are no segments.
+        shown = [min(len(x), len(ns) if ns is not None else 0) for x, ns in zip(texts, numbers)]
+        if shown != counts.tolist():
+            on = np.concatenate([np.arange(n) < m for n, m in zip(counts, shown)])
+            at, pick, line_conf = at[on], pick[on], line_conf[on]
+        nos = pa.array([i for ns, m in zip(numbers, shown) if m for i in ns[:m]], type=pa.int32())
+        parts = [nos, pa.array(words[at], type=pa.int32()), named_by(pick), pa.array(line_conf)]
+        segments = pa.ListArray.from_arrays(
+            pa.array(np.r_[0, np.cumsum(shown)], type=pa.int32()), pa.StructArray.from_arrays(parts, names=["line_no", "pieces", "lang", "confidence"])
+        )
+        declared = pa.array([named(x) for x in labels], type=pa.string())
+        title_lang = named_by(np.where(no_title, -1, title_pick))
+        columns = [keys, declared, named_by(main), pa.array(conf), title_lang, pa.array(np.where(no_title, 0.0, title_conf)), segments]
+        yield pa.RecordBatch.from_arrays(columns, names=["k", "declared", "lang", "confidence", "title_lang", "title_confidence", "segments"])
+
+
+def named_by(pick: np.ndarray) -> pa.Array:
+    """Names of the languages with these numbers, null for -1."""
+    return pa.array(LANGUAGES, type=pa.string()).take(pa.array(pick, type=pa.int32(), mask=pick < 0))
+
+
+def judge(prob: np.ndarray, words: np.ndarray, counts: np.ndarray, title: np.ndarray, sure: float) -> tuple[np.ndarray, ...]:
+    """Main language (-1 for none) and confidence of records, language and confidence of their titles and of their lines.
+
+    ``prob`` and ``words`` are of all lines, of which the records have ``counts`` in order; ``title`` is of the titles.
+    """
+    n, one = len(counts), np.arange(len(counts))
+    pooled, total = np.zeros((n, len(LANGUAGES))), np.zeros(n, dtype=np.int64)
+    some = np.nonzero(counts)[0]
+    if len(some):
+        start = (np.cumsum(counts) - counts)[some]
+        pooled[some] = np.add.reduceat(prob * words[:, None], start, axis=0)
+        total[some] = np.add.reduceat(words, start)
+    main = np.where(total > 0, pooled.argmax(axis=1), -1)
+    conf = np.where(total > 0, pooled[one, main] / np.maximum(total, 1), 0.0)
+
+    def unless_unsure(p: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, best = np.arange(len(p)), p.argmax(axis=1)
+        pick = np.where((of < 0) | (p[row, best] >= sure), best, of)
+        return pick, p[row, pick]
+
+    return main, conf, *unless_unsure(title, main), *unless_unsure(prob, np.repeat(main, counts))
 
 
 def judged(scores: np.ndarray, lines: list[str], numbers: list[int], title: np.ndarray | None, sure: float) -> tuple:
     """Main language, title language and segments of one record from the log probabilities."""
-    pieces = [len(s.split()) for s in lines]
-    best = scores.argmax(axis=1) if len(scores) else []
-    pooled = np.array(pieces) @ np.exp(scores) if len(scores) else np.zeros(len(LANGUAGES))
-    words = sum(pieces)
-    main = int(pooled.argmax()) if words else None
-    segments = []
-    for z, b, n, no in zip(scores, best, pieces, numbers):
-        p = np.exp(z)
-        pick = int(b) if main is None or p[b] >= sure else main
-        segments.append({"line_no": int(no), "pieces": n, "lang": LANGUAGES[pick], "confidence": float(p[pick])})
-    t_lang, t_conf = None, 0.0
-    if title is not None:
-        p = np.exp(title)
-        pick = int(p.argmax())
-        if main is not None and p[pick] < sure:
-            pick = main
-        t_lang, t_conf = LANGUAGES[pick], float(p[pick])
-    return (LANGUAGES[main] if main is not None else None, float(pooled[main] / words) if main is not None else 0.0, t_lang, t_conf, segments)
+    words = np.array([len(s.split()) for s in lines], dtype=np.int64)
+    name = np.exp(title if title is not None else np.zeros(len(LANGUAGES)))[None]
+    main, conf, t_pick, t_conf, pick, line_conf = judge(np.exp(scores), words, np.array([len(lines)]), name, sure)
+    segments = [{"line_no": int(no), "pieces": int(n), "lang": LANGUAGES[i], "confidence": float(p)} for no, n, i, p in zip(numbers, words, pick, line_conf)]
+    t = (LANGUAGES[t_pick[0]], float(t_conf[0])) if title is not None else (None, 0.0)
+    return (LANGUAGES[main[0]] if main[0] >= 0 else None, float(conf[0]), *t, segments)
