@@ -3,8 +3,9 @@
 import time
 
 import numpy as np
+import pandas as pd
 
-from postmill.llm import langid, pages, residue
+from postmill.llm import langid, neardup, pages, residue
 
 ODD = ["", "a\nb 12,3 4", "Ⓐ x  9９ ٣", "🚀 go𝟘 ß İ", "’s -_- ", "ͅ ǰ", " tab\there\xa0and  there ", "x" * 5, "\ud800 lone"]
 
@@ -68,3 +69,42 @@ def test_long_lines_without_a_stop_take_linear_time():
     six = "We look at what people need. " * 6
     assert not residue.is_short(six) and residue.is_short(six[:-29] + "- short. " * 9 + "No stop for people at the end of it")
     assert not residue.is_short("- " + "\n- ".join(["1 of what the people need!"] * 6))
+
+
+def test_words_of_many_texts():
+    for texts in (ODD, [*ODD, "ΟΔΟΣ και Σ"], [s for s in ODD if "🚀" not in s and "Ⓐ" not in s], ["ﬁ ǅ ½ A_b"], ["\n", ""], [""], []):
+        assert neardup.words_of(texts) == [neardup._WORDS.findall(t.lower()) for t in texts]
+
+
+def test_runs_and_bands_of_many_sets():
+    sets = [neardup.shingles(f"we write to you about {i} and about {i} and what people need there", 3) for i in range(5)]
+    assert all(np.array_equal(np.unique(s), s) for s in sets)
+    together = neardup.banded(np.stack([neardup.minima(s) for s in sets]))
+    assert all(np.array_equal(b, neardup.bands(s)) for b, s in zip(together, sets))
+    s = sets[0]
+    assert np.unpackbits(neardup.bitmap(s).view(np.uint8), bitorder="little").nonzero()[0].tolist() == sorted({int(x >> np.uint64(17)) % neardup.BITS for x in s})
+
+
+def test_members_of_a_cell_all_meet(monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    cells = {7: 1, 8: 2, 9: 3, 10: 4, 11: 8}
+    pairs = rng.permutation(np.array([(c, 100 * c + i) for c, n in cells.items() for i in range(n)], dtype=np.int64))
+    tasks = pd.concat(neardup.cell_tasks(pairs))
+    met = []
+    for _, t in tasks.groupby("cell"):
+        m, side = t["class"].tolist(), t["side"].tolist()
+        met += [(min(a, b), max(a, b)) for i, a in enumerate(m) for j, b in enumerate(m) if i < j and (side[i] == side[j] == 0 or {side[i], side[j]} == {1, 2})]
+    assert sorted(met) == sorted((100 * c + i, 100 * c + j) for c, n in cells.items() for j in range(n) for i in range(j))
+
+
+def test_cells_in_many_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [[f"w{x}" for x in rng.integers(0, 500, 40)] for _ in range(30)]
+    rows = [(f"{i}-{j}", " ".join(w[: 40 - j])) for i, w in enumerate(base) for j in range(4)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    links = lambda: sorted(tuple(r) for r in neardup.near_duplicates(df, width=3, threshold=0.6)[1].collect())
+    want = links()
+    monkeypatch.setattr(neardup, "GROUP", 1 << 9)
+    monkeypatch.setattr(neardup, "ROWS_OUT", 7)
+    assert links() == want and len(want) >= 180
