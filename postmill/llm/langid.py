@@ -21,10 +21,10 @@ from postmill.llm.pages import body_lines, load
 
 LANGUAGES = ("en", "de", "fr", "sv", "da", "es")
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "langid_weights.npz")
-BATCH = 512  # lines read side by side, of like lengths
-POSITIONS = 200_000  # bytes read side by side: fewer lines the longer they are, a longer line alone
-STRETCH = 16  # steps after which the states of a batch are turned into scores
-BLANK = 128  # whole lines' worth of blank places at the ends of lines read side by side
+POSITIONS = 1 << 22  # bytes of lines whose starts and ends are shared; a longer line alone
+WIDTH = 2048  # nodes read side by side
+WORD = 8  # bytes of a line taken together as a number
+SUMMED = 1 << 15  # bytes whose distributions are summed at a time; a longer line alone
 
 # Spellings of the languages as labels.
 SPELLINGS = {
@@ -48,19 +48,22 @@ def named(label: str | None) -> str | None:
     return SPELLING.get(low) or SPELLING.get(re.split(r"[-_ (]", low)[0]) or "other"
 
 
+def as_words(lines: list[bytes], size: np.ndarray) -> np.ndarray:
+    """The words of WORD bytes of lines of these sizes, each line filled up with zeros, which no line has."""
+    return np.frombuffer(b"".join([s.ljust(n, b"\0") for s, n in zip(lines, (-(-size // WORD) * WORD).tolist())]), dtype=np.uint64)
+
+
 class Network:
-    """Both directions: arrays have an axis of 2 (forward, backward)."""
+    """Both directions: arrays and lists have two parts (forward, backward)."""
 
     def __init__(self, table: np.ndarray, u: np.ndarray, v: np.ndarray, c: np.ndarray) -> None:
         # table (2, 256, 3H): input weights and biases applied to every byte; u (2, H, 3H); v (2, H, L); c (L).
         table, u, self.v, self.c = (np.ascontiguousarray(x, dtype=np.float32) for x in (table, u, v, c))
         self.h = h = u.shape[1]
-        # Halved gate inputs turn the sigmoid into a tanh; the candidate takes half its states beside half times that tanh.
-        half = np.array([0.5, 0.5, 1.0], dtype=np.float32)
-        # Gates z, r and the candidate, of both directions: everything a step touches is one piece of memory.
-        self.table = [[np.ascontiguousarray(table[k, :, i * h : (i + 1) * h] * half[i]) for k in (0, 1)] for i in range(3)]
-        gates = np.stack([u[:, :, i * h : (i + 1) * h] * np.float32(0.5) for i in range(3)])
-        self.u_gates, self.u_new = np.ascontiguousarray(gates[:2]), np.ascontiguousarray(gates[2])
+        # The gates z and r are 1 / (1 + e^-x), the candidate 1 - 2 / (1 + e^2x): inputs come with the factors of x.
+        by = np.array([-1, -1, 2], dtype=np.float32)
+        self.table = [[np.ascontiguousarray(t[:, i * h : (i + 1) * h] * by[i]) for i in range(3)] for t in table]
+        self.u = [np.stack([w[:, i * h : (i + 1) * h] * by[i] for i in range(3)]) for w in u]
         # States lie between -1 and 1, so no score is larger than this.
         self.most = float(np.abs(self.v).sum(axis=(0, 1)).max() + np.abs(self.c).max())
 
@@ -69,55 +72,98 @@ class Network:
         with np.load(WEIGHTS) as z:
             return cls(z["table"], z["u"], z["v"], z["c"])
 
-    def scores(self, x: np.ndarray, live: list[int]) -> np.ndarray:
-        """Scores (time, batch, L) of the bytes x (time, batch), of which the first ``live`` lines go on at a time."""
-        t, n = x.shape
-        h, u_gates, u_new = self.h, self.u_gates, self.u_new
-        take = [[w.take for w in row] for row in self.table]
-        out = np.tile(self.c, (t, n, 1))
-        gates, fed = (np.empty((2, 2, n, h), dtype=np.float32) for _ in range(2))
-        z, r = gates
-        c, g = (np.empty((2, n, h), dtype=np.float32) for _ in range(2))
-        s = np.zeros((2, n, h), dtype=np.float32)
-        states = np.empty((min(t, STRETCH), 2, n, h), dtype=np.float32)
-        half = np.full((), 0.5, dtype=np.float32)
-        for i in range(t):
-            # The backward direction goes from the longest line's end; a line joins where it ends, with no state before.
-            for k, b in (0, x[i]), (1, x[t - 1 - i]):
-                take[0][k](b, 0, z[k], "clip")
-                take[1][k](b, 0, r[k], "clip")
-                take[2][k](b, 0, c[k], "clip")
-            gates += np.matmul(s, u_gates, out=fed)
-            np.tanh(gates, out=gates)
-            c += np.matmul(s, u_new, out=g)
-            g *= r
-            c += g
-            np.tanh(c, out=c)
-            z *= half
-            z += half
-            np.subtract(s, c, out=g)
-            g *= z
-            at = i % STRETCH
-            s = np.add(g, c, out=states[at])
-            if live[t - 1 - i] < n:
-                s[1, live[t - 1 - i] :] = 0
-            if at == STRETCH - 1 or i == t - 1:
-                out[i - at : i + 1] += states[: at + 1, 0] @ self.v[0]
-                out[t - 1 - i : t - i + at] += (states[: at + 1, 1] @ self.v[1])[::-1]
-        return out
-
-    def logits(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Sums over the positions of log probabilities (batch, L) of byte rows x (batch, time), sorted by length downwards."""
-        n, t = x.shape
-        live = np.searchsorted(-lengths, -np.arange(t), side="left").tolist()  # rows longer than i
-        z = self.scores(x.T.astype(np.intp, order="C"), live)
-        if self.most > 80:
-            z -= z.max(axis=2, keepdims=True)
-        part = np.log(np.exp(z) @ np.ones(z.shape[2], dtype=np.float32))
-        for i in range(int(lengths[-1]), t):
-            z[i, live[i] :] = 0
-            part[i, live[i] :] = 0
-        return z.sum(axis=0) - part.sum(axis=0)[:, None]
+    def scores(self, k: int, words: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (nodes, WORD, L) of one direction over sorted lines of these numbers of words, and the node of every word.
+
+        What a direction has read up to a word is the start of the line, so a start that lines share is
+        one node, read once. Lines in order keep lines with the same start side by side.
+        """
+        h, u, v, (of_z, of_r, of_c) = self.h, self.u[k], self.v[k], [w.take for w in self.table[k]]
+        out, place = np.empty((len(words), WORD, v.shape[1]), dtype=np.float32), np.empty(len(words), dtype=np.int64)
+        gates, fed = (np.empty((3, WIDTH, h), dtype=np.float32) for _ in range(2))
+        kept = np.empty((WIDTH, WORD, h), dtype=np.float32)
+        one, two = np.ones((), dtype=np.float32), np.full((), -2, dtype=np.float32)
+        # Of the lines that go on: where their next word is, words left, their node, whether it is theirs alone or the first of several.
+        at, left, node, own = np.cumsum(count) - count, count, np.zeros(len(count), dtype=np.int64), np.zeros(len(count), dtype=bool)
+        done, states = 0, np.zeros((1, h), dtype=np.float32)
+        while len(at):
+            # Nothing is shared with a line that has ended, so the first one stands for itself.
+            own[0] = True
+            w = words[at]
+            own[1:] |= w[1:] != w[:-1]
+            made = np.flatnonzero(own)
+            parent, letters = node[made], w[made].view(np.uint8).reshape(-1, WORD).T.astype(np.intp, order="C")
+            node = np.cumsum(own) - 1
+            place[at] = node + done
+            before, states = states, np.empty((len(made), h), dtype=np.float32)
+            for i in range(0, len(made), WIDTH):
+                s = states[i : i + WIDTH]
+                n = len(s)
+                (z, r, c), f = gates[:, :n], fed[:, :n]
+                zr, fzr, fc = gates[:2, :n], f[:2], f[2]
+                before.take(parent[i : i + WIDTH], 0, s, "clip")
+                for j in range(WORD):
+                    b = letters[j, i : i + WIDTH]
+                    of_z(b, 0, z, "clip")
+                    of_r(b, 0, r, "clip")
+                    of_c(b, 0, c, "clip")
+                    np.matmul(s, u, f)
+                    zr += fzr
+                    np.exp(zr, zr)
+                    zr += one
+                    np.divide(one, zr, zr)
+                    r *= fc
+                    c += r
+                    np.exp(c, c)
+                    c += one
+                    np.divide(two, c, c)
+                    c += one
+                    s -= c
+                    s *= z
+                    s += c
+                    kept[:n, j] = s
+                np.matmul(kept[:n].reshape(-1, h), v, out[done + i : done + i + n].reshape(-1, v.shape[1]))
+            done += len(made)
+            on = left > 1
+            own[1:] |= ~on[:-1]
+            at, left, node, own = at[on] + 1, left[on] - 1, node[on], own[on]
+        return out[:done], place
+
+    def logits(self, lines: list[bytes]) -> np.ndarray:
+        """Sums over the bytes of log probabilities (lines, L) of lines in order, none of them empty."""
+        size = np.array(list(map(len, lines)), dtype=np.int64)
+        back = [s[::-1] for s in lines]
+        order = np.array(sorted(range(len(back)), key=back.__getitem__), dtype=np.int64)
+        # Lines are filled up to whole words; what is read beyond their ends is not looked at.
+        count = -(-size // WORD)
+        # A gate far from 0 goes beyond what a float holds and is then 0, as it should be.
+        with np.errstate(over="ignore"):
+            ahead, node = self.scores(0, as_words(lines, size), count)
+            behind, back_node = self.scores(1, as_words([back[i] for i in order.tolist()], size[order]), count[order])
+        first, back_first = np.cumsum(count) - count, np.empty(len(size), dtype=np.int64)
+        back_first[order] = np.cumsum(count[order]) - count[order]
+        ends = np.cumsum(size)
+        ones, total = np.ones(len(self.c), dtype=np.float32), np.empty((len(size), len(self.c)))
+        i = 0
+        while i < len(size):
+            start = int(ends[i] - size[i])
+            j = max(i + 1, int(np.searchsorted(ends, start + SUMMED, side="right")))
+            n = count[i:j]
+            # Words of the part as they follow each other, and the bytes of these: forwards, and backwards from the last.
+            f, nth = np.cumsum(n) - n, np.arange(int(n.sum()))
+            z = ahead.take(node[np.repeat(first[i:j] - f, n) + nth], 0).reshape(-1, len(self.c))
+            y = behind.take(back_node[np.repeat(back_first[i:j] - f, n) + nth], 0).reshape(-1, len(self.c))
+            m, to = size[i:j], ends[i:j] - start
+            byte = np.arange(int(to[-1]))
+            z = z.take(np.repeat(f * WORD - to + m, m) + byte, 0)
+            z += y.take(np.repeat(f * WORD + to - 1, m) - byte, 0)
+            z += self.c
+            if self.most > 80:
+                z -= z.max(axis=1, keepdims=True)
+            z -= np.log(np.exp(z) @ ones)[:, None]
+            total[i:j] = np.add.reduceat(z, to - m, axis=0)
+            i = j
+        return total
 
     def read(self, lines: list[str]) -> np.ndarray:
         """Log probabilities (lines, L) of lines; see read_bytes()."""
@@ -131,20 +177,13 @@ class Network:
         """
         total = np.zeros((len(lines), len(LANGUAGES)))
         size = np.array([len(b) for b in lines], dtype=np.int64)
-        order = np.argsort(-size, kind="stable")
-        order = order[: int((size > 0).sum())]
+        order = np.array(sorted(np.flatnonzero(size).tolist(), key=lines.__getitem__), dtype=np.int64)
+        ends = np.cumsum(size[order])
         at = 0
         while at < len(order):
-            longest = int(size[order[at]])
-            part = order[at : at + max(1, min(BATCH, POSITIONS // longest))]
-            # Lines too short for the first one start a batch of their own.
-            blank = np.cumsum(longest - size[part])
-            part = part[: max(1, int(np.searchsorted(blank, BLANK * longest, side="right")))]
-            at += len(part)
-            lengths = size[part]
-            x = np.zeros((len(part), longest), dtype=np.uint8)
-            x[np.arange(longest) < lengths[:, None]] = np.frombuffer(b"".join([lines[i] for i in part.tolist()]), dtype=np.uint8)
-            total[part] = self.logits(x, lengths)
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSITIONS, side="right")))
+            total[order[at:end]] = self.logits([lines[i] for i in order[at:end].tolist()])
+            at = end
         total /= np.sqrt(np.maximum(size, 1))[:, None]
         total -= total.max(axis=1, keepdims=True)
         return total - np.log(np.exp(total).sum(axis=1, keepdims=True))

@@ -24,6 +24,45 @@ def test_lines_of_unlike_length_are_read_as_alone():
     assert np.allclose(together, np.concatenate([net.read([s]) for s in lines]), atol=1e-4)
 
 
+def plainly(w: dict[str, np.ndarray], line: bytes) -> np.ndarray:
+    """Log probabilities of a line, one byte after the other by the formulas of the network."""
+    scores = np.tile(w["c"], (len(line), 1))
+    for k, to in (0, range(len(line))), (1, range(len(line) - 1, -1, -1)):
+        s = np.zeros(16)
+        for i in to:
+            (xz, xr, xc), (uz, ur, uc) = w["table"][k, line[i]].reshape(3, 16), np.split(s @ w["u"][k], 3)
+            z, r = (0.5 + 0.5 * np.tanh(x / 2) for x in (xz + uz, xr + ur))
+            s = z * s + (1 - z) * np.tanh(xc + r * uc)
+            scores[i] += s @ w["v"][k]
+    p = (scores - np.logaddexp.reduce(scores, axis=1, keepdims=True)).sum(axis=0) / np.sqrt(len(line))
+    return p - np.logaddexp.reduce(p)
+
+
+def test_starts_and_ends_that_lines_share_are_read_once(monkeypatch):
+    with np.load(langid.WEIGHTS) as f:
+        w = {k: f[k].astype(np.float64) for k in f.files}
+    base = "vi söker dig som vill arbeta hos oss and we look for people".encode()
+    lines = [base[:n] for n in (1, 7, 8, 9, 15, 16, 17, 40, 60)] + [base[i:] for i in (1, 8, 9, 30)]
+    lines += [base + b" aa " + base, base + b" ab " + base, b"", base[:8], base[:8] + b"x", b"y" + base[:8]]
+    want = np.array([plainly(w, s) if s else np.full(6, -np.log(6)) for s in lines])
+    net = langid.Network.load()
+    assert np.allclose(net.read_bytes(lines), want, atol=1e-4)
+    for name, size in ("WIDTH", 3), ("SUMMED", 20), ("POSITIONS", 100):
+        monkeypatch.setattr(langid, name, size)
+        assert np.allclose(net.read_bytes(lines), want, atol=1e-4)
+    # 500 lines with a common start of 400 bytes: its 50 words are read once and not 500 times.
+    same = sorted(b"we write " * 44 + b"    " + b"%03d" % i for i in range(500))
+    size = np.array(list(map(len, same)))
+    nodes, place = net.scores(0, langid.as_words(same, size), -(-size // langid.WORD))
+    assert len(place) == 500 * 51 and len(nodes) == 50 + 500
+
+
+def test_gates_far_from_zero_are_shut_or_open():
+    with np.load(langid.WEIGHTS) as f:
+        net = langid.Network(f["table"].astype(np.float32) * 1000, f["u"], f["v"], f["c"])
+    assert np.isfinite(net.read(["vi soker dig", "we look for you"])).all()
+
+
 def test_records_judged_together_as_alone():
     rng = np.random.default_rng(4)
     counts, lines = np.array([0, 3, 1, 0, 5]), ["a b", "", "c", "d e f", "", "g", "h i", "j", "k"]
