@@ -21,10 +21,13 @@ from postmill.llm.pages import body_lines, load
 
 LANGUAGES = ("en", "de", "fr", "sv", "da", "es")
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "langid_weights.npz")
-POSITIONS = 1 << 22  # bytes of lines whose starts and ends are shared; a longer line alone
+LONG = 4096  # bytes up to which a line's start and end are shared
+POSITIONS = 1 << 22  # bytes of lines that are read with shared starts and ends; a longer line alone
 WIDTH = 2048  # nodes read side by side
 WORD = 8  # bytes of a line taken together as a number
 SUMMED = 1 << 15  # bytes whose distributions are summed at a time; a longer line alone
+ABREAST = 200_000  # bytes of long lines read side by side; a longer line alone
+STRETCH = 16  # steps after which the states of long lines are turned into scores
 
 # Spellings of the languages as labels.
 SPELLINGS = {
@@ -53,6 +56,28 @@ def as_words(lines: list[bytes], size: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([s.ljust(n, b"\0") for s, n in zip(lines, (-(-size // WORD) * WORD).tolist())]), dtype=np.uint64)
 
 
+ONE, TWO = np.ones((), dtype=np.float32), np.full((), -2, dtype=np.float32)
+
+
+def step(gates: np.ndarray, fed: np.ndarray, s: np.ndarray) -> None:
+    """Carry the states s (.., H) on by the inputs of their bytes and what the states feed back, both (3, .., H), which are overwritten."""
+    z, c, zr = gates[0], gates[2], gates[:2]
+    zr += fed[:2]
+    np.exp(zr, zr)
+    zr += ONE
+    np.divide(ONE, zr, zr)
+    r = gates[1]
+    r *= fed[2]
+    c += r
+    np.exp(c, c)
+    c += ONE
+    np.divide(TWO, c, c)
+    c += ONE
+    s -= c
+    s *= z
+    s += c
+
+
 class Network:
     """Both directions: arrays and lists have two parts (forward, backward)."""
 
@@ -63,7 +88,7 @@ class Network:
         # The gates z and r are 1 / (1 + e^-x), the candidate 1 - 2 / (1 + e^2x): inputs come with the factors of x.
         by = np.array([-1, -1, 2], dtype=np.float32)
         self.table = [[np.ascontiguousarray(t[:, i * h : (i + 1) * h] * by[i]) for i in range(3)] for t in table]
-        self.u = [np.stack([w[:, i * h : (i + 1) * h] * by[i] for i in range(3)]) for w in u]
+        self.u = np.stack([np.stack([w[:, i * h : (i + 1) * h] * by[i] for i in range(3)]) for w in u])
         # States lie between -1 and 1, so no score is larger than this.
         self.most = float(np.abs(self.v).sum(axis=(0, 1)).max() + np.abs(self.c).max())
 
@@ -72,7 +97,43 @@ class Network:
         with np.load(WEIGHTS) as z:
             return cls(z["table"], z["u"], z["v"], z["c"])
 
-    def scores(self, k: int, words: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, x: np.ndarray, live: list[int]) -> np.ndarray:
+        """Scores (time, batch, L) of the bytes x (time, batch), of which the first ``live`` lines go on at a time."""
+        t, n = x.shape
+        h, u = self.h, np.ascontiguousarray(self.u.swapaxes(0, 1))
+        out = np.tile(self.c, (t, n, 1))
+        gates, fed = (np.empty((3, 2, n, h), dtype=np.float32) for _ in range(2))
+        s, states = np.zeros((2, n, h), dtype=np.float32), np.empty((min(t, STRETCH), 2, n, h), dtype=np.float32)
+        for i in range(t):
+            # The backward direction goes from the longest line's end; a line joins where it ends, with no state before.
+            for k, b in (0, x[i]), (1, x[t - 1 - i]):
+                for gate, weights in zip(gates, self.table[k]):
+                    weights.take(b, 0, gate[k], "clip")
+            step(gates, np.matmul(s, u, fed), s)
+            if live[t - 1 - i] < n:
+                s[1, live[t - 1 - i] :] = 0
+            at = i % STRETCH
+            states[at] = s
+            if at == STRETCH - 1 or i == t - 1:
+                out[i - at : i + 1] += states[: at + 1, 0] @ self.v[0]
+                out[t - 1 - i : t - i + at] += (states[: at + 1, 1] @ self.v[1])[::-1]
+        return out
+
+    def logits(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sums over the positions of log probabilities (batch, L) of byte rows x (batch, time), sorted by length downwards."""
+        n, t = x.shape
+        live = np.searchsorted(-lengths, -np.arange(t), side="left").tolist()  # rows longer than i
+        with np.errstate(over="ignore"):
+            z = self.scores(x.T.astype(np.intp, order="C"), live)
+        if self.most > 80:
+            z -= z.max(axis=2, keepdims=True)
+        part = np.log(np.exp(z) @ np.ones(z.shape[2], dtype=np.float32))
+        for i in range(int(lengths[-1]), t):
+            z[i, live[i] :] = 0
+            part[i, live[i] :] = 0
+        return z.sum(axis=0) - part.sum(axis=0)[:, None]
+
+    def shared_scores(self, k: int, words: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores (nodes, WORD, L) of one direction over sorted lines of these numbers of words, and the node of every word.
 
         What a direction has read up to a word is the start of the line, so a start that lines share is
@@ -82,7 +143,6 @@ class Network:
         out, place = np.empty((len(words), WORD, v.shape[1]), dtype=np.float32), np.empty(len(words), dtype=np.int64)
         gates, fed = (np.empty((3, WIDTH, h), dtype=np.float32) for _ in range(2))
         kept = np.empty((WIDTH, WORD, h), dtype=np.float32)
-        one, two = np.ones((), dtype=np.float32), np.full((), -2, dtype=np.float32)
         # Of the lines that go on: where their next word is, words left, their node, whether it is theirs alone or the first of several.
         at, left, node, own = np.cumsum(count) - count, count, np.zeros(len(count), dtype=np.int64), np.zeros(len(count), dtype=bool)
         done, states = 0, np.zeros((1, h), dtype=np.float32)
@@ -99,28 +159,15 @@ class Network:
             for i in range(0, len(made), WIDTH):
                 s = states[i : i + WIDTH]
                 n = len(s)
-                (z, r, c), f = gates[:, :n], fed[:, :n]
-                zr, fzr, fc = gates[:2, :n], f[:2], f[2]
+                g, f = gates[:, :n], fed[:, :n]
+                z, r, c = g
                 before.take(parent[i : i + WIDTH], 0, s, "clip")
                 for j in range(WORD):
                     b = letters[j, i : i + WIDTH]
                     of_z(b, 0, z, "clip")
                     of_r(b, 0, r, "clip")
                     of_c(b, 0, c, "clip")
-                    np.matmul(s, u, f)
-                    zr += fzr
-                    np.exp(zr, zr)
-                    zr += one
-                    np.divide(one, zr, zr)
-                    r *= fc
-                    c += r
-                    np.exp(c, c)
-                    c += one
-                    np.divide(two, c, c)
-                    c += one
-                    s -= c
-                    s *= z
-                    s += c
+                    step(g, np.matmul(s, u, f), s)
                     kept[:n, j] = s
                 np.matmul(kept[:n].reshape(-1, h), v, out[done + i : done + i + n].reshape(-1, v.shape[1]))
             done += len(made)
@@ -129,7 +176,7 @@ class Network:
             at, left, node, own = at[on] + 1, left[on] - 1, node[on], own[on]
         return out[:done], place
 
-    def logits(self, lines: list[bytes]) -> np.ndarray:
+    def shared_logits(self, lines: list[bytes]) -> np.ndarray:
         """Sums over the bytes of log probabilities (lines, L) of lines in order, none of them empty."""
         size = np.array(list(map(len, lines)), dtype=np.int64)
         back = [s[::-1] for s in lines]
@@ -138,8 +185,8 @@ class Network:
         count = -(-size // WORD)
         # A gate far from 0 goes beyond what a float holds and is then 0, as it should be.
         with np.errstate(over="ignore"):
-            ahead, node = self.scores(0, as_words(lines, size), count)
-            behind, back_node = self.scores(1, as_words([back[i] for i in order.tolist()], size[order]), count[order])
+            ahead, node = self.shared_scores(0, as_words(lines, size), count)
+            behind, back_node = self.shared_scores(1, as_words([back[i] for i in order.tolist()], size[order]), count[order])
         first, back_first = np.cumsum(count) - count, np.empty(len(size), dtype=np.int64)
         back_first[order] = np.cumsum(count[order]) - count[order]
         ends = np.cumsum(size)
@@ -177,13 +224,24 @@ class Network:
         """
         total = np.zeros((len(lines), len(LANGUAGES)))
         size = np.array([len(b) for b in lines], dtype=np.int64)
-        order = np.array(sorted(np.flatnonzero(size).tolist(), key=lines.__getitem__), dtype=np.int64)
+        some = np.flatnonzero((size > 0) & (size <= LONG)).tolist()
+        order = np.array(sorted(some, key=lines.__getitem__), dtype=np.int64)
         ends = np.cumsum(size[order])
         at = 0
         while at < len(order):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSITIONS, side="right")))
-            total[order[at:end]] = self.logits([lines[i] for i in order[at:end].tolist()])
+            total[order[at:end]] = self.shared_logits([lines[i] for i in order[at:end].tolist()])
             at = end
+        # Long lines are few and go side by side: fewer the longer they are.
+        order = np.argsort(-size, kind="stable")[: int((size > LONG).sum())]
+        at = 0
+        while at < len(order):
+            longest = int(size[order[at]])
+            part = order[at : at + max(1, ABREAST // longest)]
+            at += len(part)
+            x = np.zeros((len(part), longest), dtype=np.uint8)
+            x[np.arange(longest) < size[part][:, None]] = np.frombuffer(b"".join([lines[i] for i in part.tolist()]), dtype=np.uint8)
+            total[part] = self.logits(x, size[part])
         total /= np.sqrt(np.maximum(size, 1))[:, None]
         total -= total.max(axis=1, keepdims=True)
         return total - np.log(np.exp(total).sum(axis=1, keepdims=True))

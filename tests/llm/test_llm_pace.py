@@ -47,13 +47,13 @@ def test_starts_and_ends_that_lines_share_are_read_once(monkeypatch):
     want = np.array([plainly(w, s) if s else np.full(6, -np.log(6)) for s in lines])
     net = langid.Network.load()
     assert np.allclose(net.read_bytes(lines), want, atol=1e-4)
-    for name, size in ("WIDTH", 3), ("SUMMED", 20), ("POSITIONS", 100):
+    for name, size in ("WIDTH", 3), ("SUMMED", 20), ("POSITIONS", 100), ("LONG", 16), ("ABREAST", 150), ("STRETCH", 7):
         monkeypatch.setattr(langid, name, size)
         assert np.allclose(net.read_bytes(lines), want, atol=1e-4)
     # 500 lines with a common start of 400 bytes: its 50 words are read once and not 500 times.
     same = sorted(b"we write " * 44 + b"    " + b"%03d" % i for i in range(500))
     size = np.array(list(map(len, same)))
-    nodes, place = net.scores(0, langid.as_words(same, size), -(-size // langid.WORD))
+    nodes, place = net.shared_scores(0, langid.as_words(same, size), -(-size // langid.WORD))
     assert len(place) == 500 * 51 and len(nodes) == 50 + 500
 
 
